@@ -1,0 +1,84 @@
+"""Kendall's tau-b of groups that fit into one task."""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+
+# Send this module's functions to the executors with the tasks, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Up to this many rows the sign of every pair is cheaper than sorting per bit.
+DIRECT_ROWS = 128
+
+
+def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted count of concordant minus discordant pairs; pairs tied in x or y count nothing."""
+    if len(x) < 2:
+        return 0.0
+    if len(x) <= DIRECT_ROWS:
+        signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        return float(weight @ signs @ weight) / 2.0
+    # Two different x ranks agree above one highest differing bit. For each bit, split every block of ranks that agree
+    # above it into a lower and an upper half, and compare the halves' y values in y order.
+    x_rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    y_rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    by_y = np.argsort(y_rank, kind="stable")
+    x_rank, y_rank, weight = x_rank[by_y], y_rank[by_y], weight[by_y]
+    score = 0.0
+    for bit in range(int(x_rank.max()).bit_length()):
+        block = x_rank >> (bit + 1)
+        order = np.argsort(block, kind="stable")
+        block, y_sorted, w = block[order], y_rank[order], weight[order]
+        upper = ((x_rank[order] >> bit) & 1) == 1
+        lower_sum = np.concatenate([[0.0], np.cumsum(np.where(upper, 0.0, w))])
+        new_block = np.concatenate([[True], block[1:] != block[:-1]])
+        new_run = new_block | np.concatenate([[True], y_sorted[1:] != y_sorted[:-1]])
+
+        def bounds(starts):
+            first = np.flatnonzero(starts)
+            which = np.cumsum(starts) - 1
+            return first[which], np.append(first[1:], len(starts))[which]
+
+        block_start, block_end = bounds(new_block)
+        run_start, run_end = bounds(new_run)
+        below = lower_sum[run_start] - lower_sum[block_start]
+        above = lower_sum[block_end] - lower_sum[run_end]
+        score += float(np.sum((w * (below - above))[upper]))
+    return score
+
+
+def tied_pairs(values: np.ndarray) -> float:
+    ties = np.unique(values, return_counts=True)[1].astype(float)
+    return float(np.sum(ties * (ties - 1.0)) / 2.0)
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
+    n = len(x)
+    pairs = n * (n - 1) / 2.0
+    scale = (pairs - tied_pairs(x)) * (pairs - tied_pairs(y))
+    if scale <= 0:
+        return None
+    return concordance(x, y, np.ones(n)) / float(np.sqrt(scale))
+
+
+def tau_of_groups(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """tau-b per group. Rows with a NULL value only announce their group."""
+    types = dict(pixels.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n bigint, rho double"
+
+    def tau(group: pa.Table) -> pa.Table:
+        x = group["x"].to_numpy()
+        y = group["y"].to_numpy()
+        present = ~np.isnan(x)
+        x, y = x[present], y[present]
+        out = {k: group[k].slice(0, 1).combine_chunks() for k in keys}
+        out["n"] = pa.array([len(x)], pa.int64())
+        out["rho"] = pa.array([tau_b(x, y)], pa.float64())
+        return pa.table(out)
+
+    return pixels.select(*keys, "x", "y").groupBy(*keys).applyInArrow(tau, schema)
