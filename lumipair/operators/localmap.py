@@ -83,7 +83,7 @@ def local_map(scanlines: DataFrame, n: int, **options) -> DataFrame:
     patch_h, patch_w = F.expr("height div resolution"), F.expr("width div resolution")
     return rho.select(
         *IMAGE, *PAIR, "resolution", *PATCH,
-        (F.col("patch_j") * patch_w).alias("x"),
-        ((F.col("resolution") - F.col("patch_i") + 1) * patch_h).alias("y"),
+        (F.col("patch_j") * patch_w).cast("int").alias("x"),
+        ((F.col("resolution") - F.col("patch_i") + 1) * patch_h).cast("int").alias("y"),
         F.coalesce("rho", F.lit(MISSING)).alias("rho"),
     )

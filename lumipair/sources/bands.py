@@ -72,20 +72,20 @@ def bands_from_pixels(pixels: DataFrame) -> DataFrame:
     )
 
 
+def shape_summary(scanlines: DataFrame) -> DataFrame:
+    """Per image its number of rows and the smallest and largest stated or actual height and width."""
+    sizes = [F.col("width")] + [F.coalesce(F.size(f"c{c}"), F.lit(-1)) for c in channels_of(scanlines)]
+    return scanlines.groupBy(*IMAGE).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("height").alias("min_height"), F.max("height").alias("max_height"),
+        F.min(F.least(*sizes)).alias("min_width"), F.max(F.greatest(*sizes)).alias("max_width"),
+    )
+
+
 def shape_violations(scanlines: DataFrame) -> DataFrame:
     """Images whose rows or channel planes do not all have the stated size; an empty result means all is well."""
-    channels = channels_of(scanlines)
-    sizes = [F.col("width")] + [F.coalesce(F.size(f"c{c}"), F.lit(-1)) for c in channels]
-    return (
-        scanlines.groupBy(*IMAGE)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.min("height").alias("min_height"), F.max("height").alias("max_height"),
-            F.min(F.least(*sizes)).alias("min_width"), F.max(F.greatest(*sizes)).alias("max_width"),
-        )
-        .filter(
-            (F.col("min_height") != F.col("max_height"))
-            | (F.col("n_rows") != F.col("max_height"))
-            | (F.col("min_width") != F.col("max_width"))
-        )
+    return shape_summary(scanlines).filter(
+        (F.col("min_height") != F.col("max_height"))
+        | (F.col("n_rows") != F.col("max_height"))
+        | (F.col("min_width") != F.col("max_width"))
     )
