@@ -49,14 +49,14 @@ def random_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def leading_bits(key: Column, hex_digits: int) -> Column:
-    """The first hexadecimal digits of a random key as a number."""
-    return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("long")
+def key_number(key: Column, first: int, digits: int) -> Column:
+    """Hexadecimal digits of a random key, from the 1-based position ``first`` on, as a number."""
+    return F.conv(F.substring(key, first, digits), 16, 10).cast("long")
 
 
-def uniform(*parts: Column | str | int) -> Column:
-    """A reproducible uniform number strictly between 0 and 1."""
-    return (leading_bits(random_key(*parts), 13) + F.lit(0.5)) / F.lit(float(2**52))
+def uniform(key: Column, which: int = 0) -> Column:
+    """One of the two independent uniform numbers strictly between 0 and 1 that a random key holds."""
+    return (key_number(key, 1 + 13 * which, 13) + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def truncated_cauchy(u: Column, centre: float, scale: float, low: float, high: float) -> Column:

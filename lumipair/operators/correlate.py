@@ -8,12 +8,14 @@ limit are handled whole, larger ones are split by value (``large_patches``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumipair.functions.columns import has_signal
 from lumipair.operators import large_patches
-from lumipair.operators.kendall import tau_of_groups
+from lumipair.operators.kendall import LISTED_PIXELS, tau_of_arrays, tau_of_groups
 from lumipair.operators.patches import check_grid, patch_column, patch_grid, patch_rows
 from lumipair.schema import IMAGE, PAIR, PATCH, channel_pairs, channels_of
 
@@ -68,6 +70,35 @@ def pair_pixels(
     )
 
 
+def gathered_pixels(
+    scanlines: DataFrame, pairs: list[tuple[int, int]], nx: int | Column, ny: int | Column | None = None
+) -> DataFrame:
+    """Pixels with signal of every channel pair, with all pixels of a patch in one partition.
+
+    Runs of one image row and patch are what is shuffled, with every channel once; pairs and pixels are made from them
+    afterwards. Each patch also gets one pixel of NULLs, so that patches without any signal are not lost.
+    """
+    ny = nx if ny is None else ny
+    columns = ny if isinstance(ny, Column) else F.lit(ny)
+    used = sorted({c for pair in pairs for c in pair})
+    start = ((F.col("patch_j") - 1) * F.col("patch_w") + 1).cast("int")
+    runs = (
+        patch_rows(scanlines, nx, ny)
+        .withColumn("patch_j", F.explode(F.sequence(F.lit(1), columns)))
+        .select(*IMAGE, *PATCH, (F.col("row") % F.col("patch_h") == 0).alias("_first"),
+                *[F.slice(f"c{c}", start, F.col("patch_w")).alias(f"c{c}") for c in used])
+        .repartition(*IMAGE, *PATCH)
+    )
+    zipped = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
+    nothing = F.lit(None).cast("double")
+    marked = F.concat(zipped, F.array(F.struct(nothing.alias("x"), nothing.alias("y"))))
+    pixels = pair_lines(runs, pairs).select(
+        *IMAGE, *PAIR, *PATCH, "_first", F.inline(F.when(F.col("_first"), marked).otherwise(zipped))
+    )
+    marker = F.col("_first") & F.col("x").isNull() & F.col("y").isNull()
+    return pixels.filter(both_have_signal() | marker).drop("_first")
+
+
 def both_have_signal() -> Column:
     return has_signal(F.col("x")) & has_signal(F.col("y"))
 
@@ -141,29 +172,32 @@ def patch_rho(
     check_grid(nx, ny)
     pairs = check_pairs(scanlines, pairs)
     keys = IMAGE + PAIR + PATCH
-    pixels = pair_pixels(scanlines, pairs, nx, ny)
     if method == "pearson":
-        return _supported(pearson(pixels, keys), min_support)
+        return _supported(pearson(pair_pixels(scanlines, pairs, nx, ny), keys), min_support)
 
-    # One empty pixel per patch keeps patches without any signal in the result.
-    grid = patch_grid(scanlines, nx, ny).withColumn(
-        "_pair", F.explode(F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs]))
-    )
-    empty = F.lit(None).cast("double")
-    grid = grid.select(*IMAGE, "_pair.*", *PATCH, "patch_h", "patch_w", empty.alias("x"), empty.alias("y"))
-    size = F.col("patch_h").cast("long") * F.col("patch_w")
-    usable = pixels.filter(both_have_signal())
-    per_patch = spearman if method == "spearman" else tau_of_groups
     if largest is None:
         largest = largest_patch(scanlines, nx, ny)
-    if largest <= whole_patch:
-        return _supported(per_patch(usable.unionByName(grid), keys), min_support)
-    small = per_patch(usable.unionByName(grid).filter(size <= whole_patch), keys)
-    big = large_patches.METHODS[method](usable.filter(size > whole_patch), keys, whole_patch)
-    big = grid.filter(size > whole_patch).select(*keys).join(big, keys, "left").select(
-        *keys, F.coalesce("n", F.lit(0)).alias("n"), "rho"
-    )
-    return _supported(small.unionByName(big), min_support)
+    # Size classes from small to large patches; classes without an image are not planned at all.
+    size = F.expr(f"cast(height div {nx} as bigint) * (width div {ny})")
+    classes = [(0, whole_patch, spearman)]
+    if method == "kendall":
+        listed = min(LISTED_PIXELS, whole_patch)
+        classes = [(0, listed, tau_of_arrays), (listed, whole_patch, tau_of_groups)]
+    parts = []
+    for above, upto, per_patch in classes:
+        if largest > above or above == 0:
+            of_class = scanlines
+            if above > 0 or largest > upto:
+                of_class = scanlines.filter((size > above) & (size <= upto))
+            parts.append(per_patch(gathered_pixels(of_class, pairs, nx, ny), keys))
+    if largest > whole_patch:
+        large = scanlines.filter(size > whole_patch)
+        pixels = pair_pixels(large, pairs, nx, ny).filter(both_have_signal())
+        each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
+        grid = patch_grid(large, nx, ny).select(*IMAGE, F.inline(each), *PATCH)
+        ranked = large_patches.METHODS[method](pixels, keys, whole_patch)
+        parts.append(grid.join(ranked, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "rho"))
+    return _supported(reduce(DataFrame.unionByName, parts), min_support)
 
 
 def usable_rho(rho: DataFrame) -> DataFrame:

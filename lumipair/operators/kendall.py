@@ -8,30 +8,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Send this module's functions to the executors with the tasks, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Up to this many rows the sign of every pair is cheaper than sorting per bit.
-DIRECT_ROWS = 128
+# Patches up to this size go to Python many at a time, as arrays; larger ones go one at a time.
+LISTED_PIXELS = 1024
 
 
-def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Weighted count of concordant minus discordant pairs; pairs tied in x or y count nothing."""
+def dense_ranks(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """0-based ranks of distinct values within each group. ``group`` holds ascending group numbers."""
+    order = np.lexsort((values, group))
+    g, v = group[order], values[order]
+    fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
+    overall = np.cumsum(fresh) - 1
+    first_of_group = np.concatenate([[True], g[1:] != g[:-1]])
+    ranks = np.empty(len(values), dtype=np.int64)
+    ranks[order] = overall - overall[first_of_group][np.cumsum(first_of_group) - 1]
+    return ranks
+
+
+def concordance(group: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, n_groups: int) -> np.ndarray:
+    """Weighted count of concordant minus discordant pairs per group; pairs tied in x or y count nothing.
+
+    Two different x ranks share all bits above one highest differing bit. For each bit, ranks that agree above it form
+    a block, split into a lower and an upper half, and the halves' y values are compared in y order.
+    """
+    score = np.zeros(n_groups)
     if len(x) < 2:
-        return 0.0
-    if len(x) <= DIRECT_ROWS:
-        signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
-        return float(weight @ signs @ weight) / 2.0
-    # Two different x ranks agree above one highest differing bit. For each bit, split every block of ranks that agree
-    # above it into a lower and an upper half, and compare the halves' y values in y order.
-    x_rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    y_rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    by_y = np.argsort(y_rank, kind="stable")
-    x_rank, y_rank, weight = x_rank[by_y], y_rank[by_y], weight[by_y]
-    score = 0.0
+        return score
+    x_rank, y_rank = dense_ranks(group, x), dense_ranks(group, y)
+    by_y = np.lexsort((y_rank, group))
+    group, x_rank, y_rank, weight = group[by_y], x_rank[by_y], y_rank[by_y], weight[by_y]
     for bit in range(int(x_rank.max()).bit_length()):
-        block = x_rank >> (bit + 1)
+        block = (group << 32) | (x_rank >> (bit + 1))
         order = np.argsort(block, kind="stable")
         block, y_sorted, w = block[order], y_rank[order], weight[order]
         upper = ((x_rank[order] >> bit) & 1) == 1
@@ -48,37 +59,61 @@ def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
         run_start, run_end = bounds(new_run)
         below = lower_sum[run_start] - lower_sum[block_start]
         above = lower_sum[block_end] - lower_sum[run_end]
-        score += float(np.sum((w * (below - above))[upper]))
+        gain = np.where(upper, w * (below - above), 0.0)
+        score += np.bincount(group[order], weights=gain, minlength=n_groups)
     return score
 
 
-def tied_pairs(values: np.ndarray) -> float:
-    ties = np.unique(values, return_counts=True)[1].astype(float)
-    return float(np.sum(ties * (ties - 1.0)) / 2.0)
+def tied_pairs(group: np.ndarray, values: np.ndarray, n_groups: int) -> np.ndarray:
+    """Number of pairs with equal values per group."""
+    if len(values) == 0:
+        return np.zeros(n_groups)
+    order = np.lexsort((values, group))
+    g, v = group[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])]))
+    ties = np.diff(np.append(first, len(v))).astype(float)
+    return np.bincount(g[first], weights=ties * (ties - 1.0) / 2.0, minlength=n_groups)
+
+
+def tau_b(sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """tau-b of consecutive groups of the given sizes; NaN where a side is constant."""
+    n_groups = len(sizes)
+    group = np.repeat(np.arange(n_groups, dtype=np.int64), sizes)
+    pairs = sizes * (sizes - 1.0) / 2.0
+    scale = (pairs - tied_pairs(group, x, n_groups)) * (pairs - tied_pairs(group, y, n_groups))
+    score = concordance(group, x, y, np.ones(len(x)), n_groups)
+    varies = scale > 0
+    return np.where(varies, score / np.sqrt(np.where(varies, scale, 1.0)), np.nan)
+
+
+def tau_of_arrays(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """tau-b per group, for small groups: the pixels of a group become one array value."""
 
+    @F.arrow_udf("double")
+    def tau(points: pa.Array) -> pa.Array:
+        inner = points.flatten()
+        sizes = points.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        x, y = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        rho = tau_b(sizes, x, y)
+        return pa.array(rho, pa.float64(), mask=np.isnan(rho))
 
-def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    n = len(x)
-    pairs = n * (n - 1) / 2.0
-    scale = (pairs - tied_pairs(x)) * (pairs - tied_pairs(y))
-    if scale <= 0:
-        return None
-    return concordance(x, y, np.ones(n)) / float(np.sqrt(scale))
+    point = F.when(F.col("x").isNotNull(), F.struct("x", "y"))
+    gathered = pixels.groupBy(*keys).agg(F.count("x").alias("n"), F.collect_list(point).alias("points"))
+    return gathered.select(*keys, "n", tau("points").alias("rho"))
 
 
 def tau_of_groups(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """tau-b per group. Rows with a NULL value only announce their group."""
+    """tau-b per group, one group at a time. Rows with a NULL value only announce their group."""
     types = dict(pixels.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n bigint, rho double"
 
     def tau(group: pa.Table) -> pa.Table:
-        x = group["x"].to_numpy()
-        y = group["y"].to_numpy()
+        x, y = group["x"].to_numpy(), group["y"].to_numpy()
         present = ~np.isnan(x)
-        x, y = x[present], y[present]
+        rho = tau_b(np.array([present.sum()]), x[present], y[present])
         out = {k: group[k].slice(0, 1).combine_chunks() for k in keys}
-        out["n"] = pa.array([len(x)], pa.int64())
-        out["rho"] = pa.array([tau_b(x, y)], pa.float64())
+        out["n"] = pa.array([int(present.sum())], pa.int64())
+        out["rho"] = pa.array(rho, pa.float64(), mask=np.isnan(rho))
         return pa.table(out)
 
     return pixels.select(*keys, "x", "y").groupBy(*keys).applyInArrow(tau, schema)

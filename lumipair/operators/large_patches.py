@@ -61,9 +61,10 @@ def _inside_slices(cells: DataFrame, keys: list[str], by: str, x: str, y: str) -
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", score double"
 
     def score(group: pa.Table) -> pa.Table:
-        values = [group[c].to_numpy() for c in (x, y, "weight")]
+        xs, ys, weight = (group[c].to_numpy() for c in (x, y, "weight"))
+        total = concordance(np.zeros(len(xs), dtype=np.int64), xs, ys, weight.astype(np.float64), 1)
         out = {k: group[k].slice(0, 1).combine_chunks() for k in keys}
-        out["score"] = pa.array([concordance(values[0], values[1], values[2].astype(np.float64))], pa.float64())
+        out["score"] = pa.array(total, pa.float64())
         return pa.table(out)
 
     light = cells.filter(F.col(by) % 2 == 0)

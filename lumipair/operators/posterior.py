@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumipair.functions.columns import exponential, truncated_cauchy, uniform
+from lumipair.functions.columns import exponential, random_key, truncated_cauchy, uniform
 from lumipair.operators.correlate import usable_rho
 from lumipair.schema import IMAGE, PAIR
 from lumipair.shared import lookup_join, written
@@ -153,15 +153,18 @@ def draw_ids(spark: SparkSession, n: int) -> DataFrame:
 
 def prior_draws(draws: DataFrame, seed: int = 0) -> DataFrame:
     """Draws of the eight global parameters from their priors; ``draws`` has one ``draw`` id per row."""
+    parameters = ("mu", "nu", "sigma", "tau")
+    keyed = draws.select("draw", *[random_key(seed, p, F.col("draw")).alias(f"key_{p}") for p in parameters])
     columns = []
-    for side in ("control", "sample"):
+    for which, side in enumerate(("control", "sample")):
+        u = {p: uniform(F.col(f"key_{p}"), which) for p in parameters}
         columns += [
-            truncated_cauchy(uniform(seed, f"mu_{side}", F.col("draw")), *MU_PRIOR).alias(f"mu_{side}"),
-            exponential(uniform(seed, f"nu_{side}", F.col("draw"))).alias(f"nu_{side}"),
-            truncated_cauchy(uniform(seed, f"sigma_{side}", F.col("draw")), *SIGMA_PRIOR[side]).alias(f"sigma_{side}"),
-            truncated_cauchy(uniform(seed, f"tau_{side}", F.col("draw")), *TAU_PRIOR).alias(f"tau_{side}"),
+            truncated_cauchy(u["mu"], *MU_PRIOR).alias(f"mu_{side}"),
+            exponential(u["nu"]).alias(f"nu_{side}"),
+            truncated_cauchy(u["sigma"], *SIGMA_PRIOR[side]).alias(f"sigma_{side}"),
+            truncated_cauchy(u["tau"], *TAU_PRIOR).alias(f"tau_{side}"),
         ]
-    return draws.select("draw", *columns)
+    return keyed.select("draw", *columns)
 
 
 def inverse_cdf(grid: DataFrame, buckets: int = CDF_BUCKETS) -> DataFrame:
@@ -194,14 +197,15 @@ def posterior_draws(
     cells = written(inverse_cdf(grid, buckets), "cdf")
     each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
     rows = draws.select("draw", F.inline(each))
-    for side in ("control", "sample"):
-        u = uniform(seed, f"posterior_{side}", F.col("ch_x"), F.col("ch_y"), F.col("draw"))
-        rows = rows.withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * buckets))
+    rows = rows.withColumn("key", random_key(seed, "posterior", F.col("ch_x"), F.col("ch_y"), F.col("draw")))
+    most = len(pairs) * (MU_POINTS * SIGMA_POINTS + buckets)
+    for which, side in enumerate(("control", "sample")):
+        rows = rows.withColumn("u", uniform(F.col("key"), which)).withColumn("bucket", F.floor(F.col("u") * buckets))
         of_side = cells.filter(F.col("condition") == side).select(
             *PAIR, "bucket", "lo", "hi", F.col("mu").alias(f"mu_{side}"), F.col("sigma").alias(f"sigma_{side}")
         )
         rows = (
-            lookup_join(rows, of_side, [*PAIR, "bucket"])
+            lookup_join(rows, of_side, [*PAIR, "bucket"], at_most=most)
             .filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("u", "bucket", "lo", "hi")
         )
     absent = F.lit(None).cast("double")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumipair.functions.columns import leading_bits, random_key
+from lumipair.functions.columns import key_number, random_key
 from lumipair.schema import IMAGE, channels_of
 from lumipair.sources.bands import to_pixels
 
@@ -22,7 +22,7 @@ METHODS = ("block", "pixel")
 def _hash_rank(df: DataFrame, keys: list[str], key: str, group_rows: Column, slice_rows: int) -> DataFrame:
     """Add ``rank``, the 0-based position of a row in its group in the order of a random hexadecimal key."""
     slices = F.ceil(group_rows / F.lit(slice_rows)).cast("double")
-    share = leading_bits(F.col(key), 8) / F.lit(float(2**32))
+    share = key_number(F.col(key), 1, 8) / F.lit(float(2**32))
     sliced = df.withColumn("_slice", F.floor(share * slices))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

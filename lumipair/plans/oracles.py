@@ -230,10 +230,10 @@ factors AS (
 """
 
 
-def uniform(*parts: str) -> str:
+def uniform(which: int, *parts: str) -> str:
     key = ", ".join([f"'{SEED}'", *parts])
     return (
-        f"((CAST('0x' || substr(md5(concat_ws('|', {key})), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE))"
+        f"((CAST('0x' || substr(md5(concat_ws('|', {key})), {1 + 13 * which}, 13) AS BIGINT) + CAST(0.5 AS DOUBLE))"
         " / CAST(4503599627370496 AS DOUBLE))"
     )
 
@@ -247,12 +247,12 @@ def cauchy(u: str, centre: float, low: float, high: float) -> str:
 
 def _prior_columns() -> str:
     out = []
-    for side, centre in (("control", 0.0), ("sample", 0.1)):
+    for which, side, centre in ((0, "control", 0.0), (1, "sample", 0.1)):
         out += [
-            f"{cauchy(uniform(chr(39) + 'mu_' + side + chr(39), 'draw'), 0.0, -1.0, 1.0)} AS mu_{side}",
-            f"-ln(1 - {uniform(chr(39) + 'nu_' + side + chr(39), 'draw')}) AS nu_{side}",
-            f"{cauchy(uniform(chr(39) + 'sigma_' + side + chr(39), 'draw'), centre, 1e-4, 1.0)} AS sigma_{side}",
-            f"{cauchy(uniform(chr(39) + 'tau_' + side + chr(39), 'draw'), 0.1, 1e-4, 1.0)} AS tau_{side}",
+            f"""{cauchy(uniform(which, "'mu'", 'draw'), 0.0, -1.0, 1.0)} AS mu_{side}""",
+            f"""-ln(1 - {uniform(which, "'nu'", 'draw')}) AS nu_{side}""",
+            f"""{cauchy(uniform(which, "'sigma'", 'draw'), centre, 1e-4, 1.0)} AS sigma_{side}""",
+            f"""{cauchy(uniform(which, "'tau'", 'draw'), 0.1, 1e-4, 1.0)} AS tau_{side}""",
         ]
     return ", ".join(out)
 
@@ -269,7 +269,8 @@ cdf AS (
   FROM cells WHERE w > 0),
 asked AS (
   SELECT draw, ch_x, ch_y, condition,
-         {uniform("'posterior_' || condition", "ch_x", "ch_y", "draw")} AS u
+         CASE WHEN condition = 'control' THEN {uniform(0, "'posterior'", "ch_x", "ch_y", "draw")}
+              ELSE {uniform(1, "'posterior'", "ch_x", "ch_y", "draw")} END AS u
   FROM ids, (SELECT DISTINCT condition, ch_x, ch_y FROM cells)),
 drawn AS (
   SELECT a.draw, a.ch_x, a.ch_y, a.condition, c.mu, c.sigma
@@ -504,7 +505,7 @@ ORACLES: dict[str, str] = {
     },
     "unpatch_roundtrip": with_(LINEITEM) + """
         SELECT condition, image_id, channel, count(*) AS n, max("row") AS last_row, max(col) AS last_col,
-               round(sum(value * ("row" * width + col)) / CAST(1000000 AS DOUBLE), 4) AS checksum
+               round(sum(value * (("row" * width + col) % 97)), 2) AS checksum
         FROM px WHERE "row" < 3 * (height // 3) AND col < 3 * (width // 3) GROUP BY ALL""",
     "patch_lines": with_(LINEITEM) + f"""
         SELECT condition, image_id, CAST(k AS INTEGER) AS line, k * (height // {GRID}) AS y, k * (width // {GRID}) AS x

@@ -45,15 +45,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int | None = None
+    big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", at_most: int | None = None
 ) -> DataFrame:
     """Join a per-key lookup table to a large table.
 
-    The lookup is written first. Its row count then comes from Parquet footers and decides between a broadcast and an
-    ordinary shuffled join.
+    ``at_most`` is a row count the caller can prove. Otherwise the lookup is written first, and its row count comes from
+    the Parquet footers. It decides between a broadcast and an ordinary shuffled join.
     """
-    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    lookup = written(lookup, "lookup")
-    if lookup.count() <= limit:
+    if at_most is None:
+        lookup = written(lookup, "lookup")
+        at_most = lookup.count()
+    if at_most <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     return big.join(lookup, keys, how)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.functions.ranking import ordinals
-from lumipair.schema import IMAGE
+from lumipair.schema import IMAGE, scanlines_schema
 from lumipair.shared import new_table_path
 from lumipair.sources.bands import align_channels
 
@@ -55,13 +55,13 @@ def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _ingested:
         try:
-            return spark.read.parquet(_ingested[key])
+            return spark.read.schema(scanlines_schema([1, 2, 3, 4])).parquet(_ingested[key])
         except AnalysisException:
             del _ingested[key]
     path = new_table_path(spark, "lineitem")
     ingest_lineitem(spark, sf_dir, path)
     _ingested[key] = path
-    return spark.read.parquet(path)
+    return spark.read.schema(scanlines_schema([1, 2, 3, 4])).parquet(path)
 
 
 def embedding_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
