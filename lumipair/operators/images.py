@@ -64,10 +64,16 @@ def image_at(positioned: DataFrame, condition: str, index: int) -> DataFrame:
 
 
 def image_table(
-    scanlines: DataFrame, thresholds: DataFrame | None = None, files: DataFrame | None = None
+    scanlines: DataFrame, thresholds: DataFrame | None = None, files: DataFrame | None = None,
+    names: list[str] | None = None,
 ) -> DataFrame:
-    """One row per (image, channel): position, channel name, path, dimensions and threshold."""
+    """One row per (image, channel): position, channel name, path, dimensions and threshold.
+
+    Channel names come from ``names``, else from the manifest ``files``, else they are made up.
+    """
     channels = channels_of(scanlines)
+    if names is not None and len(names) != len(channels):
+        raise ValueError(f"{len(names)} names for {len(channels)} channels")
     images = stack_positions(dimensions(scanlines)).withColumn(
         "channel", F.explode(F.array(*[F.lit(c) for c in channels]))
     )
@@ -76,6 +82,10 @@ def image_table(
     else:
         absent = F.lit(None).cast("string")
         images = images.withColumn("channel_name", absent).withColumn("path", absent)
+    if names is not None:
+        images = images.withColumn(
+            "channel_name", F.element_at(F.create_map(*[F.lit(v) for cn in zip(channels, names) for v in cn]), F.col("channel"))
+        )
     if thresholds is not None:
         images = images.join(
             thresholds.select(*IMAGE, "channel", "otsu_threshold"), [*IMAGE, "channel"], "left"

@@ -171,7 +171,7 @@ def inverse_cdf(grid: DataFrame, buckets: int = CDF_BUCKETS) -> DataFrame:
     """Cells of the cumulative posterior as intervals [lo, hi), repeated for every bucket of [0, 1) they touch.
 
     The bucket turns the range join with uniform numbers into an equi-join with few candidates. The table has at most
-    (cells + buckets) rows per condition and pair.
+    (2 cells + buckets) rows per condition and pair.
     """
     order = Window.partitionBy(*GROUP).orderBy("mu_idx", "sigma_idx")
     upto = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -198,7 +198,7 @@ def posterior_draws(
     each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
     rows = draws.select("draw", F.inline(each))
     rows = rows.withColumn("key", random_key(seed, "posterior", F.col("ch_x"), F.col("ch_y"), F.col("draw")))
-    most = len(pairs) * (MU_POINTS * SIGMA_POINTS + buckets)
+    most = len(pairs) * (2 * MU_POINTS * SIGMA_POINTS + buckets)
     for which, side in enumerate(("control", "sample")):
         rows = rows.withColumn("u", uniform(F.col("key"), which)).withColumn("bucket", F.floor(F.col("u") * buckets))
         of_side = cells.filter(F.col("condition") == side).select(

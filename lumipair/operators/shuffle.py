@@ -115,7 +115,11 @@ def shuffled_control(
     """A control made from the sample itself."""
     if method not in METHODS:
         raise ValueError(f"the shuffle method must be one of {METHODS}")
-    shuffled = shuffle_pixels(sample, seed) if method == "pixel" else shuffle_blocks(sample, block, seed)
-    return shuffled.withColumn("condition", F.lit("control")).withColumn(
+    return as_control(shuffle_pixels(sample, seed) if method == "pixel" else shuffle_blocks(sample, block, seed))
+
+
+def as_control(df: DataFrame) -> DataFrame:
+    """Rows of sample images relabelled as those of their shuffled control."""
+    return df.withColumn("condition", F.lit("control")).withColumn(
         "image_id", F.concat(F.lit("shuffled_control_"), F.col("image_id"))
     )

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumipair.operators import correlate, evidence, images, localmap, mask, posterior, shuffle
+from lumipair.operators import correlate, evidence, images, localmap, mask, posterior
+from lumipair.operators.shuffle import DEFAULT_BLOCK, as_control, shuffled_control
+from lumipair.operators.shuffle import METHODS as SHUFFLE_METHODS
 from lumipair.plans.report import result_report
 from lumipair.schema import channel_pairs, channels_of
 from lumipair.shared import written
@@ -26,7 +28,7 @@ class Options:
     rho_step: float = 0.01
     shuffle: bool = False
     shuffle_method: str = "block"
-    block: int = shuffle.DEFAULT_BLOCK
+    block: int = DEFAULT_BLOCK
     mask_control: bool = False
     scale_link: str = "none"
     seed: int = 0
@@ -46,8 +48,8 @@ class Options:
             raise ValueError("the range's lower end must be below its upper end")
         if self.method not in correlate.METHODS:
             raise ValueError(f"the method must be one of {correlate.METHODS}")
-        if self.shuffle_method not in shuffle.METHODS:
-            raise ValueError(f"the shuffle method must be one of {shuffle.METHODS}")
+        if self.shuffle_method not in SHUFFLE_METHODS:
+            raise ValueError(f"the shuffle method must be one of {SHUFFLE_METHODS}")
         if self.scale_link not in posterior.SCALE_LINKS:
             raise ValueError(f"the scale link must be one of {posterior.SCALE_LINKS}")
         if self.draws < 1:
@@ -129,23 +131,21 @@ def analyse(sample: DataFrame, control: DataFrame | None = None, options: Option
             raise ValueError("sample and control images have different channels")
     sample = sample.withColumn("condition", F.lit("sample"))
     if options.shuffle:
-        raw_control = shuffle.shuffled_control(sample, options.shuffle_method, options.block, options.seed)
-        mask_control = options.mask_control
+        control = written(
+            shuffled_control(sample, options.shuffle_method, options.block, options.seed), "control"
+        )
+        # Shuffling keeps an image's values, and with them its thresholds.
+        of_sample = written(mask.otsu_thresholds(sample), "thresholds")
+        thresholds = of_sample.unionByName(as_control(of_sample))
     else:
-        raw_control = control.withColumn("condition", F.lit("control"))
-        mask_control = True
-    raw = sample.unionByName(raw_control)
-    if options.shuffle:
-        raw = written(raw, "with-control")
-    thresholds = written(mask.otsu_thresholds(raw), "thresholds")
-    if mask_control:
-        masked = mask.apply_mask(raw, thresholds)
+        control = control.withColumn("condition", F.lit("control"))
+        thresholds = written(mask.otsu_thresholds(sample.unionByName(control)), "thresholds")
+    if options.shuffle and not options.mask_control:
+        masked = mask.apply_mask(sample, thresholds).unionByName(control)
     else:
-        masked = mask.apply_mask(raw.filter(F.col("condition") == "sample"), thresholds).unionByName(
-            raw.filter(F.col("condition") == "control").select(*sample.columns)
-        )
+        masked = mask.apply_mask(sample.unionByName(control), thresholds)
     pairs = [tuple(options.pair)] if options.pair else channel_pairs(channels)
-    largest = None if options.method == "pearson" else correlate.largest_patch(raw, options.patches)
+    largest = None if options.method == "pearson" else correlate.largest_patch(sample.unionByName(control), options.patches)
     rho, summary, grid, samples = colocalization(
         masked, options.patches, pairs, options.method, n_draws=options.draws, scale_link=options.scale_link,
         seed=options.seed, largest=largest,

@@ -257,10 +257,8 @@ def _prior_columns() -> str:
     return ", ".join(out)
 
 
-PRIOR = f"""
-ids AS (SELECT o_orderkey AS draw FROM orders),
-prior_draws AS (SELECT draw, {_prior_columns()} FROM ids)
-"""
+PRIOR_DRAWS = f"prior_draws AS (SELECT draw, {_prior_columns()} FROM ids)"
+PRIOR = "ids AS (SELECT o_orderkey AS draw FROM orders),\n" + PRIOR_DRAWS
 
 DRAWS = f"""
 cdf AS (
@@ -431,15 +429,23 @@ def _report_lines() -> str:
         ("delta_rho", "posterior", "mu_sample - mu_control"),
     ):
         only = f"FILTER (kind = '{kind}')"
-        columns.append(f"round(avg({column}) {only}, 4) AS mean_{block}")
+        columns.append(f"round(avg({column}) {only}, 6) AS mean_{block}")
         for p, label in ((0.5, "median"), (0.025, "lower_credible_interval"), (0.975, "upper_credible_interval")):
-            columns.append(f"round(quantile_cont({column}, CAST({p} AS DOUBLE)) {only}, 4) AS {label}_{block}")
+            columns.append(f"round(quantile_cont({column}, CAST({p} AS DOUBLE)) {only}, 6) AS {label}_{block}")
     return (
-        "SELECT ch_x AS channel_1, ch_y AS channel_2, round(max(rho_threshold), 4) AS rho_threshold, "
-        f"round(max(bf), 4) AS bf, {', '.join(columns)} FROM samples JOIN factors USING (ch_x, ch_y) GROUP BY ALL"
+        "SELECT ch_x AS channel_1, ch_y AS channel_2, round(max(rho_threshold), 6) AS rho_threshold, "
+        f"round(max(bf), 6) AS bf, {', '.join(columns)} FROM samples JOIN factors USING (ch_x, ch_y) GROUP BY ALL"
     )
 
 
+MASKED_AND_CONTROL = """
+mixed AS (
+  SELECT * FROM masked WHERE condition = 'sample'
+  UNION ALL BY NAME
+  SELECT * REPLACE ('control' AS condition, 'shuffled_control_' || image_id AS image_id)
+  FROM shuffled WHERE condition = 'sample')
+"""
+
 MU_W = "SELECT condition, ch_x, ch_y, mu_idx, round(w, 6) AS w FROM marginal"
 KINDS = "kind, ch_x, ch_y"
 
@@ -571,14 +577,18 @@ ORACLES: dict[str, str] = {
         SELECT ch_x, ch_y, rho_threshold, round(log10(bf), 4) AS log10_bf FROM factors""",
     "bayes_factor_draws": with_(
         *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds(THRESHOLDS), kde_tails(KINDS), FACTORS) + """
-        SELECT ch_x, ch_y, rho_threshold, round(p_posterior, 4) AS p_posterior, round(p_prior, 4) AS p_prior,
-               round(bf, 4) AS bf FROM factors""",
+        SELECT ch_x, ch_y, rho_threshold, round(p_posterior, 6) AS p_posterior, round(p_prior, 6) AS p_prior,
+               round(bf, 6) AS bf FROM factors""",
     "kde_density": with_(PRIOR, ONE_DELTA, DENSITY),
     "kde_tail": with_(PRIOR, ONE_DELTA, thresholds(CURVE), kde_tails("kind")) + """
         SELECT kind, rho_threshold, round(p_above, 6) AS p_above, round(p_below, 6) AS p_below,
                round(p_empirical, 6) AS p_empirical FROM tails""",
     "result_report": with_(
         *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(),
+    "analysis_report": with_(
+        LINEITEM, CELLS, OTSU, MASKED, block_shuffle(9, "shuffled", "full_px"), MASKED_AND_CONTROL,
+        signal("mixed", GRID), rho(), SUMMARY, MODEL, weights(), "ids AS (SELECT range AS draw FROM range(2000))",
+        PRIOR_DRAWS, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(),
 }
 
 # The statement separators above put SELECT directly behind a closing parenthesis; a blank keeps them apart.

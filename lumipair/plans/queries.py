@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.operators import correlate, evidence, images, localmap, mask, patches, posterior, shuffle
+from lumipair.plans.analysis import Options, analyse
 from lumipair.plans.report import report_columns, result_report
 from lumipair.schema import GLOBAL_PARAMETERS, IMAGE, PAIR, PATCH, channel_pairs, channels_of
 from lumipair.shared import written
@@ -345,7 +346,7 @@ def bayes_factor_curve(spark, sf):
 def bayes_factor_draws(spark, sf):
     samples, n = lineitem_samples(spark, sf)
     factors = evidence.draw_bayes_factors(samples, THRESHOLDS, n)
-    return factors.select(*PAIR, "rho_threshold", *rounded("p_posterior", "p_prior", "bf", digits=4))
+    return factors.select(*PAIR, "rho_threshold", *rounded("p_posterior", "p_prior", "bf"))
 
 
 def kde_density(spark, sf):
@@ -366,7 +367,14 @@ def report(spark, sf):
     samples, n = lineitem_samples(spark, sf)
     factors = evidence.draw_bayes_factors(samples, [0.1], n)
     lines = result_report(samples, factors, n)
-    return lines.select("channel_1", "channel_2", *rounded(*report_columns()[2:], digits=4))
+    return lines.select("channel_1", "channel_2", *rounded(*report_columns()[2:]))
+
+
+def analysis_report(spark, sf):
+    """The whole analysis of the sample images against their own block-shuffled copy."""
+    sample = lineitem(spark, sf).filter(F.col("condition") == "sample")
+    result = analyse(sample, options=Options(patches=GRID, draws=2000, shuffle=True, seed=SEED))
+    return result.report.select("channel_1", "channel_2", *rounded(*report_columns()[2:]))
 
 
 QUERIES: dict[str, Query] = {
@@ -426,4 +434,5 @@ QUERIES: dict[str, Query] = {
     "kde_density": kde_density,
     "kde_tail": kde_tail,
     "result_report": report,
+    "analysis_report": analysis_report,
 }

@@ -44,6 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables this application has written in between. DataFrames that read them stop working."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/lumipair/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lookup_join(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", at_most: int | None = None
 ) -> DataFrame:
