@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumipair.functions.columns import finite_values
 from lumipair.functions.ranking import value_ranks
 from lumipair.schema import IMAGE, channels_of
 from lumipair.shared import lookup_join
+from lumipair.sources.bands import with_row_ranges
 from lumipair.sources.manifest import channel_name
 
 
@@ -25,10 +25,12 @@ def pair_combinations(channels: DataFrame) -> DataFrame:
 
 def value_range(scanlines: DataFrame, channels: list[int] | None = None) -> DataFrame:
     """Per image the smallest and largest value of every channel (``lo<c>``, ``hi<c>``), NaN and NULL left out."""
+    channels = channels or channels_of(scanlines)
+    if not {f"lo_c{c}" for c in channels} <= set(scanlines.columns):
+        scanlines = with_row_ranges(scanlines)
     found = []
-    for c in channels or channels_of(scanlines):
-        values = finite_values(F.col(f"c{c}"))
-        found += [F.min(F.array_min(values)).alias(f"lo{c}"), F.max(F.array_max(values)).alias(f"hi{c}")]
+    for c in channels:
+        found += [F.min(f"lo_c{c}").alias(f"lo{c}"), F.max(f"hi_c{c}").alias(f"hi{c}")]
     return scanlines.groupBy(*IMAGE).agg(*found)
 
 

@@ -19,31 +19,34 @@ DEFAULT_BLOCK = 9
 METHODS = ("block", "pixel")
 
 
-def _hash_rank(df: DataFrame, keys: list[str], key: str, group_rows: Column, slice_rows: int) -> DataFrame:
-    """Add ``rank``, the 0-based position of a row in its group in the order of a random hexadecimal key."""
+def _hash_rank(df: DataFrame, keys: list[str], place: list[str], seed: int, group_rows: Column, slice_rows: int) -> DataFrame:
+    """Add ``rank``, the 0-based position of a row in its group in hash order.
+
+    The hash covers the image and the columns in ``place``, which tell the rows of a group apart. Its first 60 bits are
+    the sort key, the place itself settles equal keys.
+    """
+    key = key_number(random_key(seed, F.col("image_id"), *[F.col(p) for p in place]), 1, 15)
     slices = F.ceil(group_rows / F.lit(slice_rows)).cast("double")
-    share = key_number(F.col(key), 1, 8) / F.lit(float(2**32))
-    sliced = df.withColumn("_slice", F.floor(share * slices))
+    sliced = df.withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") / F.lit(float(2**60)) * slices))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(key)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_key", *place)
     ranked = sliced.withColumn("_inside", F.row_number().over(inside) - 1)
     return (
         ranked.join(counts, [*keys, "_slice"])
         .withColumn("rank", F.col("_inside") + F.col("_before"))
-        .drop("_slice", "_inside", "_before")
+        .drop("_key", "_slice", "_inside", "_before")
     )
 
 
 def shuffle_pixels(scanlines: DataFrame, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Permute the pixels of every channel on its own."""
     channels = channels_of(scanlines)
-    keyed = to_pixels(scanlines).withColumn(
-        "_key", random_key(seed, F.col("image_id"), F.col("channel"), F.col("row"), F.col("col"))
-    )
     size = F.col("height").cast("double") * F.col("width")
-    moved = _hash_rank(keyed, [*IMAGE, "channel"], "_key", size, slice_rows)
+    moved = _hash_rank(
+        to_pixels(scanlines), [*IMAGE, "channel"], ["channel", "row", "col"], seed, size, slice_rows
+    ).drop("row", "col")
     line = F.array_sort(F.collect_list(F.struct("channel", "_col", "value")))
     lines = (
         moved.withColumn("_col", F.col("rank") % F.col("width"))
@@ -71,10 +74,9 @@ def block_moves(scanlines: DataFrame, block: int, seed: int, slice_rows: int = S
         .withColumn("from_j", F.explode(F.sequence(F.lit(0), F.expr(f"(width - 1) div {block}"))))
         .withColumn("low_h", (F.col("from_i") == F.col("full_i")).cast("int"))
         .withColumn("low_w", (F.col("from_j") == F.col("full_j")).cast("int"))
-        .withColumn("_key", random_key(seed, F.col("image_id"), F.col("from_i"), F.col("from_j")))
     )
     size = F.col("height").cast("double") * F.col("width") / (b * b)
-    ranked = _hash_rank(blocks, [*IMAGE, "low_h", "low_w"], "_key", size, slice_rows)
+    ranked = _hash_rank(blocks, [*IMAGE, "low_h", "low_w"], ["from_i", "from_j"], seed, size, slice_rows)
     across = F.when(F.col("low_w") == 1, F.lit(1)).otherwise(F.greatest(F.col("full_j"), F.lit(1)))
     to_i = F.when(F.col("low_h") == 1, F.col("full_i")).otherwise(F.call_function("div", F.col("rank"), across))
     to_j = F.when(F.col("low_w") == 1, F.col("full_j")).otherwise(F.col("rank") % across)
@@ -86,26 +88,26 @@ def shuffle_blocks(
 ) -> DataFrame:
     """Permute square blocks of pixels; all channels of an image move together.
 
-    What moves through the shuffles are runs of ``block`` pixels of all channels, not single pixels.
+    Whole image rows are joined to the moves of their row of blocks; only then are they cut, and what is shuffled to
+    build the new rows are runs of ``block`` pixels of all channels.
     """
     if block < 1:
         raise ValueError("a block is at least one pixel wide")
     channels = channels_of(scanlines)
-    last = F.expr(f"(width - 1) div {block}")
-    runs = (
-        scanlines.withColumn("from_j", F.explode(F.sequence(F.lit(0), last)))
-        .select(
-            *IMAGE, "height", "width", F.expr(f"row div {block}").alias("from_i"), "from_j",
-            F.expr(f"row % {block}").alias("_inner"),
-            *[F.slice(f"c{c}", (F.col("from_j") * block + 1).cast("int"), F.lit(block)).alias(f"c{c}") for c in channels],
-        )
+    moves = block_moves(scanlines, block, seed, slice_rows).groupBy(*IMAGE, "from_i").agg(
+        F.collect_list(F.struct("from_j", "to_i", "to_j")).alias("_moves")
+    )
+    lines = scanlines.withColumn("from_i", F.expr(f"row div {block}")).join(moves, [*IMAGE, "from_i"])
+    planes = [f"c{c}" for c in channels]
+    start = (F.col("from_j") * block + 1).cast("int")
+    runs = lines.select(*IMAGE, "row", "height", "width", *planes, F.inline("_moves")).select(
+        *IMAGE, "height", "width", "to_j", (F.col("to_i") * block + F.col("row") % block).cast("int").alias("row"),
+        *[F.slice(c, start, F.lit(block)).alias(c) for c in planes],
     )
-    moved = runs.join(block_moves(scanlines, block, seed, slice_rows), [*IMAGE, "from_i", "from_j"])
-    line = F.array_sort(F.collect_list(F.struct("to_j", *[f"c{c}" for c in channels])))
+    line = F.array_sort(F.collect_list(F.struct("to_j", *planes)))
     return (
-        moved.withColumn("row", (F.col("to_i") * block + F.col("_inner")).cast("int"))
-        .groupBy(*IMAGE, "row", "height", "width").agg(line.alias("_line"))
-        .select(*IMAGE, "row", "height", "width", *[F.flatten(F.col(f"_line.c{c}")).alias(f"c{c}") for c in channels])
+        runs.groupBy(*IMAGE, "row", "height", "width").agg(line.alias("_line"))
+        .select(*IMAGE, "row", "height", "width", *[F.flatten(F.col(f"_line.{c}")).alias(c) for c in planes])
     )
 
 

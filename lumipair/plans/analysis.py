@@ -11,7 +11,7 @@ from lumipair.operators import correlate, evidence, images, localmap, mask, post
 from lumipair.operators.shuffle import DEFAULT_BLOCK, as_control, shuffled_control
 from lumipair.operators.shuffle import METHODS as SHUFFLE_METHODS
 from lumipair.plans.report import result_report
-from lumipair.schema import channel_pairs, channels_of
+from lumipair.schema import channel_pairs, channels_of, plain_columns
 from lumipair.shared import written
 from lumipair.sources.sinks import append_report, write_new, write_samples
 
@@ -139,7 +139,9 @@ def analyse(sample: DataFrame, control: DataFrame | None = None, options: Option
         thresholds = of_sample.unionByName(as_control(of_sample))
     else:
         control = control.withColumn("condition", F.lit("control"))
-        thresholds = written(mask.otsu_thresholds(sample.unionByName(control)), "thresholds")
+        of_each = [mask.otsu_thresholds(side) for side in (sample, control)]
+        thresholds = written(of_each[0].unionByName(of_each[1]), "thresholds")
+    sample, control = (side.select(*plain_columns(side)) for side in (sample, control))
     if options.shuffle and not options.mask_control:
         masked = mask.apply_mask(sample, thresholds).unionByName(control)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumipair.operators import correlate, evidence, images, localmap, mask, patches, posterior, shuffle
 from lumipair.plans.analysis import Options, analyse
 from lumipair.plans.report import report_columns, result_report
-from lumipair.schema import GLOBAL_PARAMETERS, IMAGE, PAIR, PATCH, channel_pairs, channels_of
+from lumipair.schema import GLOBAL_PARAMETERS, IMAGE, PAIR, PATCH, channel_pairs, channels_of, plain_columns
 from lumipair.shared import written
 from lumipair.sources import fixtures, manifest
 from lumipair.sources.bands import bands_from_pixels, align_channels, shape_summary, to_bands, to_pixels
@@ -243,6 +243,7 @@ def shuffle_blocks(spark, sf):
 
 def shuffled_control_rho(spark, sf):
     sample = lineitem(spark, sf).filter(F.col("condition") == "sample")
+    sample = sample.select(*plain_columns(sample))
     both = sample.unionByName(shuffle.shuffled_control(sample, "pixel", seed=SEED))
     return rounded_rho(correlate.patch_rho(both, GRID, pairs=[(1, 2)]))
 

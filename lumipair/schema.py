@@ -6,6 +6,8 @@ Pixels have three layouts:
 * **scanlines**: one row per (image, image row) with every channel next to the others in columns ``c1 .. cN``. All
   analysis reads this layout: channels of a pixel are already together, unused channels are pruned by the Parquet
   reader, and no operator has to join pixels again.
+  A stored scanline may also carry the smallest and largest value of each channel in this row (``lo_c1``, ``hi_c1``);
+  then the value range of an image is found without reading any pixel.
 * **pixels**: one row per pixel, only ever produced inside a plan or for small outputs.
 
 Every row carries its image's ``height`` and ``width``, so patch coordinates never need a lookup.
@@ -41,9 +43,12 @@ GLOBAL_PARAMETERS = [
 _CHANNEL_COLUMN = re.compile(r"c([1-9]\d*)$")
 
 
-def scanlines_schema(channels: list[int]) -> T.StructType:
+def scanlines_schema(channels: list[int], ranges: bool = False) -> T.StructType:
     fields = [f for f in BANDS.fields if f.name not in ("channel", "values")]
-    return T.StructType(fields + [T.StructField(f"c{c}", T.ArrayType(T.DoubleType())) for c in channels])
+    fields += [T.StructField(f"c{c}", T.ArrayType(T.DoubleType())) for c in channels]
+    if ranges:
+        fields += [T.StructField(f"{side}_c{c}", T.DoubleType()) for c in channels for side in ("lo", "hi")]
+    return T.StructType(fields)
 
 
 def channels_of(scanlines: DataFrame) -> list[int]:
@@ -52,6 +57,11 @@ def channels_of(scanlines: DataFrame) -> list[int]:
     return sorted(int(m.group(1)) for m in found if m)
 
 
+def plain_columns(scanlines: DataFrame) -> list[str]:
+    """The columns of a scanline table without the optional row ranges."""
+    return [*IMAGE, "row", "height", "width", *[f"c{c}" for c in channels_of(scanlines)]]
+
+
 def channel_pairs(channels: list[int]) -> list[tuple[int, int]]:
     """All pairs x < y of the given channels."""
     ordered = sorted(channels)

@@ -13,9 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest lookup table sent to every executor. Lookup rows are a few numbers wide (about 100 bytes), so this bounds a
-# broadcast at roughly 100 MB. Anything larger is shuffled, where adaptive execution splits skewed partitions.
-BROADCAST_ROWS = 1_000_000
+# Largest lookup table sent to every executor. Anything larger is shuffled, where adaptive execution splits skewed
+# partitions.
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 _own_folders: dict[str, str] = {}
 
@@ -53,6 +53,12 @@ def remove_written(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def row_bytes(lookup: DataFrame) -> int:
+    """A generous size of one lookup row in memory. Lookups hold numbers and short names only."""
+    sizes = {"string": 80, "double": 8, "bigint": 8, "int": 8, "boolean": 8}
+    return 32 + sum(sizes[kind] for _, kind in lookup.dtypes)
+
+
 def lookup_join(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", at_most: int | None = None
 ) -> DataFrame:
@@ -64,6 +70,6 @@ def lookup_join(
     if at_most is None:
         lookup = written(lookup, "lookup")
         at_most = lookup.count()
-    if at_most <= BROADCAST_ROWS:
+    if at_most * row_bytes(lookup) <= BROADCAST_BYTES:
         lookup = F.broadcast(lookup)
     return big.join(lookup, keys, how)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumipair.functions.columns import finite_values
 from lumipair.schema import BANDS, IMAGE, channels_of, require_columns
 from lumipair.shared import lookup_join
 
@@ -16,9 +17,22 @@ def read_bands(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BANDS.fields])
 
 
+def with_row_ranges(scanlines: DataFrame) -> DataFrame:
+    """Add the value range of each row and channel, to be stored with the scanlines."""
+    found = []
+    for c in channels_of(scanlines):
+        values = finite_values(F.col(f"c{c}"))
+        found += [F.array_min(values).alias(f"lo_c{c}"), F.array_max(values).alias(f"hi_c{c}")]
+    return scanlines.select("*", *found)
+
+
 def write_scanlines(scanlines: DataFrame, path: str) -> None:
     """Store scanlines for later runs; one directory per condition, so one side of a comparison can be read alone."""
-    scanlines.write.mode("errorifexists").partitionBy("condition").parquet(path)
+    with_row_ranges(scanlines).write.mode("errorifexists").partitionBy("condition").parquet(path)
+
+
+def read_scanlines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def align_channels(bands: DataFrame, channels: list[int]) -> DataFrame:

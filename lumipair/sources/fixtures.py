@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumipair.functions.ranking import ordinals
 from lumipair.schema import IMAGE, scanlines_schema
 from lumipair.shared import new_table_path
-from lumipair.sources.bands import align_channels
+from lumipair.sources.bands import align_channels, with_row_ranges
 
 LINEITEM_WIDTH = 100
 EMBEDDING_SIDE = 8
@@ -45,9 +45,10 @@ def ingest_lineitem(spark: SparkSession, sf_dir: str, path: str) -> None:
         absent = F.array_repeat(F.lit(None).cast("double"), F.lit(LINEITEM_WIDTH) - F.size("line"))
         return F.concat(F.col(f"line.c{c}"), absent)
 
-    lines.select(
+    scanlines = lines.select(
         *IMAGE, "row", "height", F.lit(LINEITEM_WIDTH).alias("width"), *[padded(c).alias(f"c{c}") for c in values]
-    ).write.parquet(path)
+    )
+    with_row_ranges(scanlines).write.parquet(path)
 
 
 def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +56,13 @@ def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _ingested:
         try:
-            return spark.read.schema(scanlines_schema([1, 2, 3, 4])).parquet(_ingested[key])
+            return spark.read.schema(scanlines_schema([1, 2, 3, 4], ranges=True)).parquet(_ingested[key])
         except AnalysisException:
             del _ingested[key]
     path = new_table_path(spark, "lineitem")
     ingest_lineitem(spark, sf_dir, path)
     _ingested[key] = path
-    return spark.read.schema(scanlines_schema([1, 2, 3, 4])).parquet(path)
+    return spark.read.schema(scanlines_schema([1, 2, 3, 4], ranges=True)).parquet(path)
 
 
 def embedding_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_lookup_join_without_broadcast_gives_the_same(spark, monkeypatch):
     small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = sorted(shared.lookup_join(big, small, ["k"]).collect())
     assert "BroadcastHashJoin" in shared.lookup_join(big, small, ["k"])._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 200)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         joined = shared.lookup_join(big, small, ["k"])

@@ -63,6 +63,22 @@ def test_bands_from_pixels_fills_gaps(spark):
     assert rows == {0: [1.0, None, 3.0], 1: [None, 5.0, None]}
 
 
+def test_stored_scanlines_carry_row_ranges(spark, make_scanlines, tmp_path):
+    nan = float("nan")
+    scanlines = make_scanlines({("sample", "a"): [[[1, nan, 3], [4, 5, None]]], ("control", "a"): [[[9, 9, 9], [8, None, 8]]]})
+    path = str(tmp_path / "scanlines")
+    bands.write_scanlines(scanlines, path)
+    stored = bands.read_scanlines(spark, path)
+    rows = {(r.condition, r.row): (r.lo_c1, r.hi_c1) for r in stored.collect()}
+    assert rows == {("sample", 0): (1, 3), ("sample", 1): (4, 5), ("control", 0): (9, 9), ("control", 1): (8, 8)}
+    ranges = images.value_range(stored)
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert "lo_c1" in plan and "array<double>" not in plan
+    assert sorted(map(tuple, ranges.collect())) == sorted(map(tuple, images.value_range(scanlines).collect()))
+    with pytest.raises(Exception, match="(?i)already exists"):
+        bands.write_scanlines(scanlines, path)
+
+
 def test_shape_violations(spark, make_scanlines):
     good = make_scanlines({("sample", "a"): [[[1, 2], [3, 4]], [[1, 2], [3, 4]]]})
     assert bands.shape_violations(good).isEmpty()
