@@ -2,28 +2,26 @@
 
 Only pixels with a signal in both channels count, and a patch needs more than ``MIN_SUPPORT`` of them. All images, all
 pairs and all patches are computed in one plan. Pixels never leave the task that read them for Pearson: patches shrink
-to a few partial moments before the only shuffle. The rank methods have to bring a patch together; patches up to a size
-limit are handled whole, larger ones are split by value (``large_patches``).
+to a few partial moments before the only shuffle. The rank methods have to bring a patch together: patches up to a size
+limit are gathered as arrays (``rank_methods``), larger ones are split by value (``large_patches``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumipair.functions.columns import has_signal
 from lumipair.operators import large_patches
-from lumipair.operators.kendall import LISTED_PIXELS, tau_of_arrays, tau_of_groups
 from lumipair.operators.patches import check_grid, patch_column, patch_grid, patch_rows
+from lumipair.operators.rank_methods import rho_of_arrays
 from lumipair.schema import IMAGE, PAIR, PATCH, channel_pairs, channels_of
 
 # A patch whose count of usable pixels is not above this has no correlation.
 MIN_SUPPORT = 15
 
-# Largest patch (in pixels) that is ranked inside one task.
-WHOLE_PATCH_PIXELS = 4_000_000
+# Largest patch (in pixels) that is gathered into one row: 8 MB per channel.
+WHOLE_PATCH_PIXELS = 1_000_000
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -70,33 +68,19 @@ def pair_pixels(
     )
 
 
-def gathered_pixels(
-    scanlines: DataFrame, pairs: list[tuple[int, int]], nx: int | Column, ny: int | Column | None = None
-) -> DataFrame:
-    """Pixels with signal of every channel pair, with all pixels of a patch in one partition.
-
-    Runs of one image row and patch are what is shuffled, with every channel once; pairs and pixels are made from them
-    afterwards. Each patch also gets one pixel of NULLs, so that patches without any signal are not lost.
-    """
-    ny = nx if ny is None else ny
-    columns = ny if isinstance(ny, Column) else F.lit(ny)
-    used = sorted({c for pair in pairs for c in pair})
+def gathered_patches(scanlines: DataFrame, channels: list[int], nx: int, ny: int) -> DataFrame:
+    """One row per patch with each channel's pixels as one array. What is shuffled are runs of an image row."""
     start = ((F.col("patch_j") - 1) * F.col("patch_w") + 1).cast("int")
+    absent = F.array_repeat(F.lit(None).cast("double"), F.col("patch_w"))
     runs = (
         patch_rows(scanlines, nx, ny)
-        .withColumn("patch_j", F.explode(F.sequence(F.lit(1), columns)))
-        .select(*IMAGE, *PATCH, (F.col("row") % F.col("patch_h") == 0).alias("_first"),
-                *[F.slice(f"c{c}", start, F.col("patch_w")).alias(f"c{c}") for c in used])
-        .repartition(*IMAGE, *PATCH)
+        .withColumn("patch_j", F.explode(F.sequence(F.lit(1), F.lit(ny))))
+        .select(*IMAGE, *PATCH, F.struct(*[
+            F.coalesce(F.slice(f"c{c}", start, F.col("patch_w")), absent).alias(f"c{c}") for c in channels
+        ]).alias("_run"))
     )
-    zipped = F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))
-    nothing = F.lit(None).cast("double")
-    marked = F.concat(zipped, F.array(F.struct(nothing.alias("x"), nothing.alias("y"))))
-    pixels = pair_lines(runs, pairs).select(
-        *IMAGE, *PAIR, *PATCH, "_first", F.inline(F.when(F.col("_first"), marked).otherwise(zipped))
-    )
-    marker = F.col("_first") & F.col("x").isNull() & F.col("y").isNull()
-    return pixels.filter(both_have_signal() | marker).drop("_first")
+    gathered = runs.groupBy(*IMAGE, *PATCH).agg(F.collect_list("_run").alias("_runs"))
+    return gathered.select(*IMAGE, *PATCH, *[F.flatten(F.col(f"_runs.c{c}")).alias(f"c{c}") for c in channels])
 
 
 def both_have_signal() -> Column:
@@ -128,23 +112,6 @@ def pearson(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return masked.groupBy(*keys).agg(F.count("x").alias("n"), moments_rho(F.col("x"), F.col("y")).alias("rho"))
 
 
-def _average_rank(keys: list[str], value: str) -> Column:
-    ordered = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.rank().over(ordered) + (ties - 1) / F.lit(2.0)
-
-
-def spearman(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    ranked = pixels.select(*keys, "x", "y").select(
-        *keys, "x",
-        F.when(F.col("x").isNotNull(), _average_rank(keys, "x")).alias("rank_x"),
-        F.when(F.col("x").isNotNull(), _average_rank(keys, "y")).alias("rank_y"),
-    )
-    return ranked.groupBy(*keys).agg(
-        F.count("x").alias("n"), moments_rho(F.col("rank_x"), F.col("rank_y")).alias("rho")
-    )
-
-
 def largest_patch(scanlines: DataFrame, nx: int, ny: int | None = None) -> int:
     """Pixels of the largest patch; reads the size columns only."""
     ny = nx if ny is None else ny
@@ -177,27 +144,20 @@ def patch_rho(
 
     if largest is None:
         largest = largest_patch(scanlines, nx, ny)
-    # Size classes from small to large patches; classes without an image are not planned at all.
     size = F.expr(f"cast(height div {nx} as bigint) * (width div {ny})")
-    classes = [(0, whole_patch, spearman)]
-    if method == "kendall":
-        listed = min(LISTED_PIXELS, whole_patch)
-        classes = [(0, listed, tau_of_arrays), (listed, whole_patch, tau_of_groups)]
-    parts = []
-    for above, upto, per_patch in classes:
-        if largest > above or above == 0:
-            of_class = scanlines
-            if above > 0 or largest > upto:
-                of_class = scanlines.filter((size > above) & (size <= upto))
-            parts.append(per_patch(gathered_pixels(of_class, pairs, nx, ny), keys))
+    small = scanlines if largest <= whole_patch else scanlines.filter(size <= whole_patch)
+    gathered = gathered_patches(small, sorted({c for pair in pairs for c in pair}), nx, ny)
+    rho = rho_of_arrays(gathered, IMAGE + PATCH, pairs, method).select(*keys, "n", "rho")
     if largest > whole_patch:
         large = scanlines.filter(size > whole_patch)
         pixels = pair_pixels(large, pairs, nx, ny).filter(both_have_signal())
         each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
         grid = patch_grid(large, nx, ny).select(*IMAGE, F.inline(each), *PATCH)
         ranked = large_patches.METHODS[method](pixels, keys, whole_patch)
-        parts.append(grid.join(ranked, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "rho"))
-    return _supported(reduce(DataFrame.unionByName, parts), min_support)
+        rho = rho.unionByName(
+            grid.join(ranked, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "rho")
+        )
+    return _supported(rho, min_support)
 
 
 def usable_rho(rho: DataFrame) -> DataFrame:

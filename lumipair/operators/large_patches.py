@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumipair.functions.ranking import value_ranks
-from lumipair.operators.kendall import concordance
+from lumipair.operators.rank_methods import concordance
 from lumipair.shared import written
 
 # Send this module's functions to the executors with the tasks, so they need no copy of the package.

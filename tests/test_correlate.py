@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lumipair.operators import correlate, images, large_patches
-from lumipair.operators.kendall import concordance, tau_b
+from lumipair.operators.rank_methods import concordance, kendall, spearman
 
 
 def by_patch(df):
@@ -104,7 +104,7 @@ def by_image(df):
     return {r.image_id: (r.n, r.rho) for r in df.collect()}
 
 
-def test_kendall_takes_groups_one_by_one_above_the_listed_size(make_scanlines, rng):
+def test_kendall_of_one_bigger_patch(make_scanlines, rng):
     x, y = rng.integers(1, 300, (2, 40, 40)).astype(float)
     scanlines = make_scanlines({("sample", "a"): [x.tolist(), y.tolist()]})
     found = by_patch(correlate.patch_rho(scanlines, 1, method="kendall"))
@@ -168,14 +168,15 @@ def test_concordance_and_tau_of_many_groups(rng):
     weight = rng.integers(1, 4, sizes.sum()).astype(float)
     group = np.repeat(np.arange(5), sizes)
     score = concordance(group, x, y, weight, 5)
-    tau = tau_b(sizes, x, y)
+    tau, rho = kendall(group, x, y, 5), spearman(group, x, y, 5)
     for g in range(5):
         a, b, w = x[group == g], y[group == g], weight[group == g]
         signs = np.sign(a[:, None] - a) * np.sign(b[:, None] - b)
         assert score[g] == pytest.approx(w @ signs @ w / 2)
         if sizes[g] > 1:
             assert tau[g] == pytest.approx(brute_tau(a, b))
-    assert np.isnan(tau[1]) and np.isnan(tau[2])
+            assert rho[g] == pytest.approx(BRUTE["spearman"](a, b))
+    assert np.isnan(tau[1]) and np.isnan(tau[2]) and np.isnan(rho[1]) and np.isnan(rho[2])
 
 
 def test_heavy_value_has_a_slice_of_its_own(spark, rng):
