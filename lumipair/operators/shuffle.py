@@ -1,33 +1,64 @@
 """Randomised controls: pixels or blocks of pixels put in random order.
 
-The order is that of a keyed hash of the position, so it does not depend on partitioning and can be repeated. Ranks come
-from hash-prefix slices: the hash is uniform, so slices of an image are equally full however large the image is.
+The order is that of a pseudo-random key of the position, so it does not depend on partitioning and can be repeated. The
+key is a permutation of the numbers below a prime; two hashed offsets per image and channel choose the permutation.
+
+The pixels of an image up to a size limit are gathered and put in order at once. In larger images, ranks come from slices
+of the key range, which fill evenly however large the image is.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumipair.functions.columns import key_number, random_key
-from lumipair.schema import IMAGE, channels_of
+from lumipair.schema import IMAGE, channels_of, plain_columns, scanlines_schema
 from lumipair.sources.bands import to_pixels
 
+# Send this module's functions to the executors with the tasks, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# A prime for which raising to the fifth power is one-to-one, as 5 does not divide PRIME - 1.
+PRIME = 2**31 - 1
+
 # Rows of one group that are put in order inside one task.
 SLICE_ROWS = 65_536
+
+# Largest image whose pixels are gathered into one row: 16 MB per channel.
+WHOLE_IMAGE_PIXELS = 2_000_000
+
 DEFAULT_BLOCK = 9
 METHODS = ("block", "pixel")
 
 
-def _hash_rank(df: DataFrame, keys: list[str], place: list[str], seed: int, group_rows: Column, slice_rows: int) -> DataFrame:
-    """Add ``rank``, the 0-based position of a row in its group in hash order.
+def _offsets(seed: int, *names: Column) -> tuple[Column, Column]:
+    key = random_key(seed, *names)
+    return key_number(key, 1, 13) % PRIME, key_number(key, 14, 13) % PRIME
 
-    The hash covers the image and the columns in ``place``, which tell the rows of a group apart. Its first 60 bits are
-    the sort key, the place itself settles equal keys.
-    """
-    key = key_number(random_key(seed, F.col("image_id"), *[F.col(p) for p in place]), 1, 15)
+
+def _fifth_power(x):
+    """x ** 5 modulo the prime, for columns as well as for arrays of 64-bit integers."""
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
+def _with_key(df: DataFrame, position: Column, first: Column, second: Column) -> DataFrame:
+    df = df.withColumn("_key", (position.cast("long") % PRIME + first) % PRIME)
+    df = df.withColumn("_key", (_fifth_power(F.col("_key")) + second) % PRIME)
+    return df.withColumn("_key", _fifth_power(F.col("_key")))
+
+
+def _key_rank(df: DataFrame, keys: list[str], place: list[str], group_rows: Column, slice_rows: int) -> DataFrame:
+    """Add ``rank``, the 0-based position of a row in its group in the order of (``_key``, place)."""
     slices = F.ceil(group_rows / F.lit(slice_rows)).cast("double")
-    sliced = df.withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") / F.lit(float(2**60)) * slices))
+    sliced = df.withColumn("_slice", F.floor(F.col("_key") / F.lit(float(PRIME)) * slices))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
@@ -40,13 +71,49 @@ def _hash_rank(df: DataFrame, keys: list[str], place: list[str], seed: int, grou
     )
 
 
-def shuffle_pixels(scanlines: DataFrame, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Permute the pixels of every channel on its own."""
+def _shuffle_whole_images(scanlines: DataFrame, seed: int) -> DataFrame:
+    channels = channels_of(scanlines)
+    planes = [f"c{c}" for c in channels]
+    lines = F.array_sort(F.collect_list(F.struct("row", *planes)))
+    offsets = [
+        o.alias(f"{name}{c}")
+        for c in channels for name, o in zip("ab", _offsets(seed, F.col("image_id"), F.lit(c)))
+    ]
+    gathered = scanlines.groupBy(*IMAGE, "height", "width").agg(lines.alias("_lines")).select(
+        *IMAGE, "height", "width", *offsets, *[F.flatten(F.col(f"_lines.{p}")).alias(p) for p in planes]
+    )
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                condition, image_id, height, width = (batch.column(n)[k].as_py() for n in (*IMAGE, "height", "width"))
+                starts = pa.array(np.arange(0, height * width + 1, width), pa.int32())
+                moved = []
+                for c in channels:
+                    first, second = batch.column(f"a{c}")[k].as_py(), batch.column(f"b{c}")[k].as_py()
+                    key = (np.arange(height * width, dtype=np.int64) % PRIME + first) % PRIME
+                    key = _fifth_power((_fifth_power(key) + second) % PRIME)
+                    values = batch.column(f"c{c}")[k].values.take(pa.array(np.argsort(key, kind="stable")))
+                    moved.append(pa.ListArray.from_arrays(starts, values))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([condition] * height), pa.array([image_id] * height),
+                        pa.array(np.arange(height), pa.int32()), pa.array(np.full(height, height), pa.int32()),
+                        pa.array(np.full(height, width), pa.int32()), *moved,
+                    ],
+                    names=[*IMAGE, "row", "height", "width", *planes],
+                )
+
+    return gathered.mapInArrow(permute, scanlines_schema(channels))
+
+
+def _shuffle_sliced_images(scanlines: DataFrame, seed: int, slice_rows: int) -> DataFrame:
     channels = channels_of(scanlines)
+    pixels = to_pixels(scanlines)
+    position = F.col("row").cast("long") * F.col("width") + F.col("col")
+    keyed = _with_key(pixels, position, *_offsets(seed, F.col("image_id"), F.col("channel")))
     size = F.col("height").cast("double") * F.col("width")
-    moved = _hash_rank(
-        to_pixels(scanlines), [*IMAGE, "channel"], ["channel", "row", "col"], seed, size, slice_rows
-    ).drop("row", "col")
+    moved = _key_rank(keyed, [*IMAGE, "channel"], ["row", "col"], size, slice_rows).drop("row", "col")
     line = F.array_sort(F.collect_list(F.struct("channel", "_col", "value")))
     lines = (
         moved.withColumn("_col", F.col("rank") % F.col("width"))
@@ -60,6 +127,19 @@ def shuffle_pixels(scanlines: DataFrame, seed: int = 0, slice_rows: int = SLICE_
     return lines.select(*IMAGE, "row", "height", "width", *[plane(c) for c in channels])
 
 
+def shuffle_pixels(
+    scanlines: DataFrame, seed: int = 0, slice_rows: int = SLICE_ROWS, whole_image: int = WHOLE_IMAGE_PIXELS
+) -> DataFrame:
+    """Permute the pixels of every channel on its own."""
+    scanlines = scanlines.select(*plain_columns(scanlines))
+    size = F.expr("cast(height as bigint) * width")
+    largest = scanlines.agg(F.max(size).alias("size")).first()["size"] or 0
+    if largest <= whole_image:
+        return _shuffle_whole_images(scanlines, seed)
+    small = _shuffle_whole_images(scanlines.filter(size <= whole_image), seed)
+    return small.unionByName(_shuffle_sliced_images(scanlines.filter(size > whole_image), seed, slice_rows))
+
+
 def block_moves(scanlines: DataFrame, block: int, seed: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Where each block of an image goes: (from_i, from_j) to (to_i, to_j), 0-based.
 
@@ -76,7 +156,9 @@ def block_moves(scanlines: DataFrame, block: int, seed: int, slice_rows: int = S
         .withColumn("low_w", (F.col("from_j") == F.col("full_j")).cast("int"))
     )
     size = F.col("height").cast("double") * F.col("width") / (b * b)
-    ranked = _hash_rank(blocks, [*IMAGE, "low_h", "low_w"], ["from_i", "from_j"], seed, size, slice_rows)
+    position = F.col("from_i").cast("long") * (F.col("full_j") + 1) + F.col("from_j")
+    keyed = _with_key(blocks, position, *_offsets(seed, F.col("image_id")))
+    ranked = _key_rank(keyed, [*IMAGE, "low_h", "low_w"], ["from_i", "from_j"], size, slice_rows)
     across = F.when(F.col("low_w") == 1, F.lit(1)).otherwise(F.greatest(F.col("full_j"), F.lit(1)))
     to_i = F.when(F.col("low_h") == 1, F.col("full_i")).otherwise(F.call_function("div", F.col("rank"), across))
     to_j = F.when(F.col("low_w") == 1, F.col("full_j")).otherwise(F.col("rank") % across)

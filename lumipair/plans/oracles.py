@@ -353,14 +353,29 @@ FROM bins, points GROUP BY point, x
 """
 
 
+def keyed(source: str, position: str, *names: str) -> str:
+    """Rows of `source` with their pseudo-random sorting key."""
+    p = 2147483647
+    md = f"md5(concat_ws('|', {', '.join([f"'{SEED}'", *names])}))"
+    fifth = f"((z * z % {p}) * (z * z % {p}) % {p} * z % {p})"
+    return f"""
+  SELECT * EXCLUDE (z, b), {fifth} AS sort_key FROM (
+    SELECT * REPLACE (({fifth} + b) % {p} AS z) FROM (
+      SELECT *, (CAST({position} AS BIGINT) + CAST('0x' || substr({md}, 1, 13) AS BIGINT) % {p}) % {p} AS z,
+             CAST('0x' || substr({md}, 14, 13) AS BIGINT) % {p} AS b
+      FROM {source}))
+"""
+
+
 def pixel_shuffle(source: str, name: str) -> str:
-    """The channel's values in hash order, put back row by row. `source` is a full matrix."""
+    """The channel's values in key order, put back row by row. `source` is a full matrix."""
+    rows = keyed(source, '"row" * width + col', "image_id", "channel")
     return f"""
 {name} AS (
   SELECT condition, image_id, channel, CAST(k // width AS INTEGER) AS "row", CAST(k % width AS INTEGER) AS col,
          height, width, value
-  FROM (SELECT *, row_number() OVER (PARTITION BY condition, image_id, channel
-                 ORDER BY md5(concat_ws('|', '{SEED}', image_id, channel, "row", col))) - 1 AS k FROM {source}))
+  FROM (SELECT *, row_number() OVER (PARTITION BY condition, image_id, channel ORDER BY sort_key, "row", col) - 1 AS k
+        FROM ({rows})))
 """
 
 
@@ -368,12 +383,13 @@ def block_shuffle(b: int, name: str, source: str = "px") -> str:
     return f"""
 shapes AS (
   SELECT DISTINCT condition, image_id, "row" // {b} AS bi, col // {b} AS bj,
-         least({b}, height - ("row" // {b}) * {b}) AS bh, least({b}, width - (col // {b}) * {b}) AS bw FROM {source}),
+         least({b}, height - ("row" // {b}) * {b}) AS bh, least({b}, width - (col // {b}) * {b}) AS bw,
+         width // {b} + 1 AS across FROM {source}),
 keyed AS (
   SELECT *, row_number() OVER (PARTITION BY condition, image_id, bh, bw ORDER BY bi, bj) AS slot,
          row_number() OVER (PARTITION BY condition, image_id, bh, bw
-                            ORDER BY md5(concat_ws('|', '{SEED}', image_id, bi, bj))) AS turn
-  FROM shapes),
+                            ORDER BY sort_key, bi, bj) AS turn
+  FROM ({keyed("shapes", "bi * across + bj", "image_id")})),
 moves AS (
   SELECT s.condition, s.image_id, s.bi, s.bj, d.bi AS ti, d.bj AS tj
   FROM keyed s JOIN keyed d ON s.condition = d.condition AND s.image_id = d.image_id

@@ -4,11 +4,11 @@ import pytest
 from lumipair.operators import localmap, shuffle
 
 
-@pytest.mark.parametrize("slice_rows", [65_536, 7])
-def test_pixel_shuffle_keeps_values_per_channel(make_scanlines, planes_of, rng, slice_rows):
+@pytest.mark.parametrize("whole_image", [10**6, 10])
+def test_pixel_shuffle_keeps_values_per_channel(make_scanlines, planes_of, rng, whole_image):
     planes = rng.permutation(2 * 9 * 7).reshape(2, 9, 7).astype(float)
     scanlines = make_scanlines({("sample", "a"): planes.tolist()})
-    moved = planes_of(shuffle.shuffle_pixels(scanlines, 3, slice_rows))[("sample", "a")]
+    moved = planes_of(shuffle.shuffle_pixels(scanlines, 3, 7, whole_image))[("sample", "a")]
     assert moved.shape == planes.shape and (moved != planes).any()
     for c in range(2):
         assert sorted(moved[c].ravel()) == sorted(planes[c].ravel())
@@ -18,8 +18,11 @@ def test_pixel_shuffle_keeps_values_per_channel(make_scanlines, planes_of, rng,
 
 def test_slices_do_not_change_the_order(make_scanlines, planes_of, rng):
     scanlines = make_scanlines({("sample", "a"): rng.random((2, 12, 11)).tolist()})
-    whole, sliced = (planes_of(shuffle.shuffle_pixels(scanlines, 1, n))[("sample", "a")] for n in (10**6, 5))
-    assert (whole == sliced).all()
+    whole, one_slice, sliced = (
+        planes_of(shuffle.shuffle_pixels(scanlines, 1, n, limit))[("sample", "a")]
+        for n, limit in ((5, 10**6), (10**6, 10), (5, 10))
+    )
+    assert (whole == sliced).all() and (whole == one_slice).all()
     whole, sliced = (planes_of(shuffle.shuffle_blocks(scanlines, 3, 1, n))[("sample", "a")] for n in (10**6, 2))
     assert (whole == sliced).all()
 
@@ -41,6 +44,24 @@ def test_block_shuffle_moves_whole_blocks_of_all_channels(make_scanlines, planes
             assert blocks[tuple(part.ravel())] == part.shape
 
 
+def test_missing_values_move_too_and_sizes_mix(make_scanlines, planes_of, rng):
+    small, big = rng.random((4, 5)).tolist(), rng.random((9, 8)).tolist()
+    small[1][2] = None
+    scanlines = make_scanlines({("sample", "small"): [small], ("sample", "big"): [big]})
+    mixed = planes_of(shuffle.shuffle_pixels(scanlines, 1, 5, 30))
+    whole = planes_of(shuffle.shuffle_pixels(scanlines, 1))
+    assert np.isnan(whole[("sample", "small")]).sum() == 1
+    for k in whole:
+        np.testing.assert_array_equal(mixed[k], whole[k])
+
+
+def test_keys_are_a_permutation():
+    x = np.arange(200_000, dtype=np.int64)
+    keys = shuffle._fifth_power((shuffle._fifth_power((x + 12345) % shuffle.PRIME) + 678) % shuffle.PRIME)
+    assert len(np.unique(keys)) == len(x) and abs(np.corrcoef(x, keys)[0, 1]) < 0.01
+    assert abs(np.corrcoef(keys[1:], keys[:-1])[0, 1]) < 0.01
+
+
 def test_shuffled_control_labels(make_scanlines):
     scanlines = make_scanlines({("sample", "a"): [[[1, 2], [3, 4]]] * 2})
     for method in shuffle.METHODS:
