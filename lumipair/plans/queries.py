@@ -210,7 +210,7 @@ def patch_kendall_all_pairs(spark, sf):
 def patch_kendall_large(spark, sf):
     """The path for patches too large for one task, forced by a low limit."""
     return rounded_rho(
-        correlate.patch_rho(lineitem(spark, sf), GRID, pairs=[(1, 3)], method="kendall", whole_patch=150)
+        correlate.patch_rho(lineitem(spark, sf), GRID, pairs=[(1, 3)], method="kendall", whole_patch=300)
     )
 
 
