@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumipair.llm import exact_dedup
+from lumipair.llm import bpe, exact_dedup, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": token_files.op1_token_files,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
