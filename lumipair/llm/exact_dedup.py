@@ -93,11 +93,12 @@ class Index:
         dealt = (
             self.rows.withColumn("__cell", _prefix(F.col("__hash"), self.depth))
             .join(F.broadcast(self.directory), F.col("__cell") == F.col("cell"))
-            .withColumn("__page", F.col("first_page") + F.pmod(F.xxhash64("__id"), F.col("n_pages")))
+            .withColumn("__page", (F.col("first_page") + F.pmod(F.xxhash64("__id"), F.col("n_pages"))).cast("int"))
             .withColumn("__n_pages", F.col("n_pages"))
             .drop("cell", "first_page", "n_pages", "__cell")
         )
-        owned = dealt.repartitionById(int(self.pages), F.col("__page").cast("int"))
+        # The grouping below needs no exchange of its own: pages are whole in their task.
+        owned = dealt.repartitionById(int(self.pages), "__page")
         return owned.groupBy("__page", "__hash", "__text", "__n_pages").agg(*found)
 
 
