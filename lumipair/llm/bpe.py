@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.llm.common import batches, documents, texts_of
-from lumipair.llm.tokens import Memory, vocabulary, vocabulary_path
+from lumipair.llm.tokens import Memory, by_parts, remembered, vocabulary, vocabulary_path
 
 NO_PAIR = 1 << 40
 
@@ -80,21 +80,16 @@ def encode_word(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]])
 def _encoder(path: str) -> Memory:
     own, merges = vocabulary(path), _merges(path)
 
-    def word_ids(word: bytes) -> list[int]:
-        return encode_word([own.ids[s] for s in own.symbols(word.decode())], merges)
-
-    words = Memory(word_ids)
-
-    def piece_ids(piece: bytes) -> bytes:
+    def ids(part: bytes) -> bytes:
         found: list[int] = []
-        for word in own.words(piece):
+        for word in own.words(part):
             if isinstance(word, int):
                 found.append(word)
             else:
-                found.extend(words.of([word.encode()])[0])
+                found.extend(encode_word([own.ids[s] for s in own.symbols(word)], merges))
         return np.array(found, "<i4").tobytes()
 
-    return Memory(piece_ids)
+    return by_parts(own, lambda parts: list(map(ids, parts)), b"".join)
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -104,7 +99,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, encoder = vocabulary(path), _encoder(path)
-        encoded = [b"".join(encoder.of(own.pieces(t))) for t in texts_of(batch.column(0))]
+        encoded = list(map(b"".join, remembered(texts_of(batch.column(0)), own, encoder)))
         offsets = np.zeros(len(encoded) + 1, np.int32)
         np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
         values = pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())

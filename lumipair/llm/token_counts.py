@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.llm.common import batches, documents, texts_of
-from lumipair.llm.tokens import Memory, vocabulary, vocabulary_path
+from lumipair.llm.tokens import Memory, by_parts, remembered, vocabulary, vocabulary_path
 
 TOKEN_LIMIT = 2048
 
@@ -59,17 +59,11 @@ def count_of_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 def _counter(path: str) -> Memory:
     own, ranks = vocabulary(path), _ranks(path)
 
-    def word_count(word: bytes) -> int:
-        return count_of_word(own.symbols(word.decode()), ranks)
+    def count(part: bytes) -> int:
+        words = own.words(part)
+        return sum(1 if isinstance(w, int) else count_of_word(own.symbols(w), ranks) for w in words)
 
-    words = Memory(word_count)
-
-    def piece_count(piece: bytes) -> int:
-        found = own.words(piece)
-        special = sum(isinstance(w, int) for w in found)
-        return special + sum(words.of([w.encode() for w in found if not isinstance(w, int)]))
-
-    return Memory(piece_count)
+    return by_parts(own, lambda parts: list(map(count, parts)), sum)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -80,7 +74,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
         own, counter = vocabulary(path), _counter(path)
         texts = texts_of(batch.column(1))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((sum(counter.of(own.pieces(t))) for t in texts), pa.int64())],
+            [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(sum, remembered(texts, own, counter)), pa.int64())],
             names=["doc_id", "n_bytes", "n_tokens"],
         )
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.llm.common import documents, texts_of, whole_text
-from lumipair.llm.tokens import Memory, library_tokenizer, vocabulary_path
+from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import new_table_path
 
 LENGTH = 2048
@@ -42,20 +42,15 @@ MANIFEST = "part int, file string, n_tokens long, n_documents long"
 
 
 @lru_cache(maxsize=4)
-def _library(path: str, dtype: str) -> Memory:
-    tokenizer = library_tokenizer(path)
+def library_memory(path: str, dtype: str) -> Memory:
+    """Piece of text to its ids, as bytes, by the tokenizers library."""
+    tokenizer, own = library_tokenizer(path), vocabulary(path)
 
-    def piece_ids(piece: bytes) -> bytes:
-        return np.array(tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype).tobytes()
+    def ids(parts: list[bytes]) -> list[bytes]:
+        found = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+        return [np.array(f.ids, dtype).tobytes() for f in found]
 
-    return Memory(piece_ids)
-
-
-def _drops_white_space(path: str) -> bool:
-    """Whether no token of the vocabulary crosses white space, so that pieces can be encoded one by one."""
-    import json
-
-    return bool(json.load(open(path))["model"].get("end_of_word_suffix"))
+    return by_parts(own, ids, b"".join)
 
 
 class TokenWriter:
@@ -144,13 +139,12 @@ def write_token_files(
     too: (part, file, n_tokens, n_documents), one row per file in doc_id order."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     dtype = "<u2" if max(library_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    by_piece = _drops_white_space(path)
     rows = docs.select("doc_id", whole_text().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     n_files = max(1, -(-total // file_bytes))
 
     def write(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part = _library(path, dtype), TaskContext.get().partitionId()
+        library, own, part = library_memory(path, dtype), vocabulary(path), TaskContext.get().partitionId()
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
@@ -159,14 +153,14 @@ def write_token_files(
             writer, places = TokenWriter(stream, length, dtype), None
             for item in items:
                 begins, counts = [], []
-                for text in texts_of(item.column(1)):
-                    ids = b"".join([*library.of(text.split() if by_piece else [text]), end])
+                for found in remembered(texts_of(item.column(1)), own, library):
+                    ids = b"".join([*found, end])
                     begins.append(writer.n_tokens)
                     writer.append(ids)
                     counts.append(writer.n_tokens - begins[-1])
-                found = pa.RecordBatch.from_arrays([item.column(0), pa.array(begins, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "begin", "n_tokens"])
-                places = places or pa.ipc.new_file(index, found.schema)
-                places.write_batch(found)
+                listed = pa.RecordBatch.from_arrays([item.column(0), pa.array(begins, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "begin", "n_tokens"])
+                places = places or pa.ipc.new_file(index, listed.schema)
+                places.write_batch(listed)
                 n_documents += len(counts)
             writer.close()
             if places:

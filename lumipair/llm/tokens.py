@@ -1,6 +1,6 @@
 """What the token operators share: vocabulary files and memory for the pieces of text seen before.
 
-A vocabulary whose words end in a suffix drops white space, so that no token crosses ASCII white space and a text is
+A vocabulary whose words end in a suffix and that lowers its text drops white space, so that no token crosses ASCII white space and a text is
 tokenized piece by piece. Natural text repeats its pieces, so every worker remembers a bounded number of them.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import Any
 
 import public_tokenizers
@@ -20,7 +21,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = "word_bpe_49k.json"
-REMEMBERED = 1 << 18
+# About 200 MB in each Python worker.
+REMEMBERED = 1 << 20
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+GROUP_BYTES = 4_000_000
 # Longer pieces are rare and not worth remembering.
 LONGEST_REMEMBERED = 64
 
@@ -37,25 +41,74 @@ def library_tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def parts(piece: bytes) -> list[bytes]:
+    """A piece as parts that are tokenized like the whole, and that repeat more often than pieces do.
+
+    Letters with marks behind them are two words of their own, and ASCII letters are lowered; anything else stays whole.
+    For vocabularies that drop white space and case.
+    """
+    core = piece.rstrip(MARKS)
+    mark = [piece[len(core):]] if len(core) < len(piece) else []
+    if core.isalpha():  # of bytes: ASCII letters only
+        return [core.lower(), *mark]
+    return [core, *mark] if mark and core.decode("utf-8", "replace").isalpha() else [piece]
+
+
 class Memory:
-    """``make(piece)`` for pieces of text, with the results of short pieces remembered up to a bound."""
+    """``make(pieces)`` for pieces of text, with the results of short pieces remembered up to a bound."""
 
-    def __init__(self, make: Callable[[bytes], Any]):
+    def __init__(self, make: Callable[[list[bytes]], list[Any]]):
         self.make = make
         self.known: dict[bytes, Any] = {}
 
-    def of(self, pieces: list[bytes]) -> list[Any]:
-        try:
-            return list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
+    def learn(self, pieces: set[bytes]) -> list[bytes]:
+        """Make what is not known of ``pieces``; returns the long ones among them, which are to be forgotten after use."""
+        fresh = pieces.difference(self.known)
+        if fresh and len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-        known, once = self.known, {}
-        for piece in pieces:
-            if piece not in known and piece not in once:
-                (known if len(piece) <= LONGEST_REMEMBERED else once)[piece] = self.make(piece)
-        return [known[p] if p in known else once[p] for p in pieces]
+            fresh = pieces
+        new = list(fresh)
+        self.known.update(zip(new, self.make(new) if new else [], strict=True))
+        return [p for p in new if len(p) > LONGEST_REMEMBERED]
+
+    def each(self, groups: list[list[bytes]]) -> Iterator[list[Any]]:
+        """The results for each list of pieces; what is not known is made together."""
+        long = self.learn(set().union(*groups))
+        for pieces in groups:
+            yield list(map(self.known.__getitem__, pieces))
+        for piece in long:
+            del self.known[piece]
+
+    def of(self, pieces: list[bytes]) -> list[Any]:
+        return next(iter(list(self.each([pieces]))))
+
+
+def remembered(texts: list[bytes], own: Vocabulary, memory: Memory) -> Iterator[list[Any]]:
+    """What ``memory`` holds for the pieces of each text, some megabytes of text at a time."""
+    group, size = [], 0
+    for text in texts:
+        group.append(own.pieces(text))
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield from memory.each(group)
+            group, size = [], 0
+    yield from memory.each(group)
+
+
+def by_parts(own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Callable[[list[Any]], Any]) -> Memory:
+    """Memory for pieces whose results are joined from those of their parts, which are remembered as well."""
+    known = Memory(make)
+
+    def made(pieces: list[bytes]) -> list[Any]:
+        cut = list(map(own.parts, pieces))
+        long = known.learn(set(chain.from_iterable(cut)))
+        of = known.known.__getitem__
+        joined = [of(c[0]) if len(c) == 1 else join(map(of, c)) for c in cut]
+        for part in long:
+            del known.known[part]
+        return joined
+
+    return Memory(made)
 
 
 class Vocabulary:
@@ -79,9 +132,14 @@ class Vocabulary:
         if self.decoder not in (None, "ByteLevel"):
             raise ValueError(f"{path} has a decoder that is not supported: {self.decoder}")
         self._library = library_tokenizer(path)
+        normalizers = (spec.get("normalizer") or {}).get("normalizers") or []
+        self.by_piece = bool(self.word_end) and any(n["type"] == "Lowercase" for n in normalizers)
 
     def pieces(self, text: bytes) -> list[bytes]:
-        return text.split() if self.word_end else [text] if text else []
+        return text.split() if self.by_piece else [text] if text else []
+
+    def parts(self, piece: bytes) -> list[bytes]:
+        return parts(piece) if self.by_piece else [piece]
 
     def words(self, piece: bytes) -> list[str | int]:
         """The words of a piece, as strings of byte symbols; a special token is given by its id."""
