@@ -23,6 +23,8 @@ from lumipair.llm.common import batches, documents, texts_of
 from lumipair.llm.tokens import Memory, by_parts, remembered, vocabulary, vocabulary_path
 
 NO_PAIR = 1 << 40
+# Fewer than elsewhere: a worker that decodes as well also holds texts.
+REMEMBERED_IDS = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -89,24 +91,51 @@ def _encoder(path: str) -> Memory:
                 found.extend(encode_word([own.ids[s] for s in own.symbols(word)], merges))
         return np.array(found, "<i4").tobytes()
 
-    return by_parts(own, lambda parts: list(map(ids, parts)), b"".join)
+    return by_parts(own, lambda parts: list(map(ids, parts)), b"".join, REMEMBERED_IDS)
+
+
+def _encode_batch(batch: pa.RecordBatch, path: str, text: str, ids: str) -> pa.RecordBatch:
+    own, encoder, at = vocabulary(path), _encoder(path), batch.schema.get_field_index(text)
+    encoded = list(map(b"".join, remembered(texts_of(batch.column(at)), own, encoder)))
+    offsets = np.zeros(len(encoded) + 1, np.int32)
+    np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
+    values = pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())
+    return batch.remove_column(at).append_column(ids, pa.ListArray.from_arrays(pa.array(offsets), values))
+
+
+def _decode_batch(batch: pa.RecordBatch, path: str, ids: str, text: str) -> pa.RecordBatch:
+    tokens, by_bytes = _tokens(path), vocabulary(path).decoder == "ByteLevel"
+    texts = []
+    for row in batch.column(ids):
+        found = [t for i in row.values.to_numpy(zero_copy_only=False).tolist() if 0 <= i < len(tokens) and (t := tokens[i]) is not None] if row.is_valid else []
+        texts.append(_text_of_symbols(found) if by_bytes else " ".join(found))
+    return batch.append_column(text, pa.array(texts, pa.string()))
+
+
+def _columns(df: DataFrame, but: tuple[str, ...]) -> str:
+    return "".join(f"`{name}` {kind}, " for name, kind in df.dtypes if name not in but)
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new array column ``ids``; ``text`` itself is left out."""
     path = path or vocabulary_path()
-    others = [c for c in docs.columns if c not in (text, ids)]
+    rows = docs.drop(ids)
+    return batches(rows, lambda b: _encode_batch(b, path, text, ids), f"{_columns(rows, (text,))}`{ids}` array<int>")
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, encoder = vocabulary(path), _encoder(path)
-        encoded = list(map(b"".join, remembered(texts_of(batch.column(0)), own, encoder)))
-        offsets = np.zeros(len(encoded) + 1, np.int32)
-        np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-        values = pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*others, ids])
 
-    schema = "".join(f"`{name}` {kind}, " for name, kind in docs.select(*others).dtypes)
-    return batches(docs.select(text, *others), make, f"{schema}`{ids}` array<int>")
+def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``encoded`` with a new column ``text``: what the ids decode to, special tokens included."""
+    path = path or vocabulary_path()
+    rows = encoded.drop(text)
+    return batches(rows, lambda b: _decode_batch(b, path, ids, text), f"{_columns(rows, ())}`{text}` string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: ``text`` gives way to ``ids`` and ``decoded``."""
+    path = path or vocabulary_path()
+    rows = docs.drop("ids", "decoded")
+    schema = f"{_columns(rows, ('text',))}ids array<int>, decoded string"
+    return batches(rows, lambda b: _decode_batch(_encode_batch(b, path, "text", "ids"), path, "ids", "decoded"), schema)
 
 
 @lru_cache(maxsize=4)
@@ -123,33 +152,13 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with a new column ``text``: what the ids decode to, special tokens included."""
-    path = path or vocabulary_path()
-    columns = [c for c in encoded.columns if c != text]
-    at = columns.index(ids)
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, by_bytes = _tokens(path), vocabulary(path).decoder == "ByteLevel"
-        column = batch.column(at)
-        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        texts = []
-        for begin, end in zip(offsets, offsets[1:], strict=False):
-            found = [t for i in values[begin:end].tolist() if 0 <= i < len(tokens) and (t := tokens[i]) is not None]
-            texts.append(_text_of_symbols(found) if by_bytes else " ".join(found))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, text])
-
-    schema = "".join(f"`{name}` {kind}, " for name, kind in encoded.select(*columns).dtypes)
-    return batches(encoded.select(*columns), make, f"{schema}`{text}` string")
-
-
 def _text_of_symbols(tokens: list[str]) -> str:
     table = _byte_of_symbol()
     return b"".join(bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t in tokens).decode("utf-8", "replace")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
+    coded = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

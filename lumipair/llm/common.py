@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +31,26 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``make`` to every Arrow batch, inside the tasks that read the rows; no shuffle."""
+# Rows of an Arrow batch are worked on in slices of about so many bytes, so that Python holds little at a time.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch as slices of at most about SLICE_BYTES, or of one row."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+    for begin in range(0, batch.num_rows, rows):
+        part = batch.slice(begin, rows)
+        if part.nbytes > 4 * SLICE_BYTES and rows > 1:  # long rows close together
+            yield from (part.slice(i, 1) for i in range(part.num_rows))
+        else:
+            yield part
+
+
+def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``make`` to slices of every Arrow batch, inside the tasks that read the rows; no shuffle."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item in items:
-            made = make(item)
-            if isinstance(made, pa.RecordBatch):
-                yield made
-            else:
-                yield from made
+            yield from map(make, slices(item))
 
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = "word_bpe_49k.json"
-# About 200 MB in each Python worker.
+# Pieces remembered in each Python worker, some 100 bytes each, and as many parts.
 REMEMBERED = 1 << 20
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GROUP_BYTES = 4_000_000
@@ -57,14 +57,14 @@ def parts(piece: bytes) -> list[bytes]:
 class Memory:
     """``make(pieces)`` for pieces of text, with the results of short pieces remembered up to a bound."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[Any]]):
-        self.make = make
+    def __init__(self, make: Callable[[list[bytes]], list[Any]], remembered: int = REMEMBERED):
+        self.make, self.remembered = make, remembered
         self.known: dict[bytes, Any] = {}
 
     def learn(self, pieces: set[bytes]) -> list[bytes]:
         """Make what is not known of ``pieces``; returns the long ones among them, which are to be forgotten after use."""
         fresh = pieces.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > REMEMBERED:
+        if fresh and len(self.known) + len(fresh) > self.remembered:
             self.known.clear()
             fresh = pieces
         new = list(fresh)
@@ -95,9 +95,11 @@ def remembered(texts: list[bytes], own: Vocabulary, memory: Memory) -> Iterator[
     yield from memory.each(group)
 
 
-def by_parts(own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Callable[[list[Any]], Any]) -> Memory:
+def by_parts(
+    own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Callable[[list[Any]], Any], remembered: int = REMEMBERED
+) -> Memory:
     """Memory for pieces whose results are joined from those of their parts, which are remembered as well."""
-    known = Memory(make)
+    known = Memory(make, remembered)
 
     def made(pieces: list[bytes]) -> list[Any]:
         cut = list(map(own.parts, pieces))
@@ -108,7 +110,7 @@ def by_parts(own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Ca
             del known.known[part]
         return joined
 
-    return Memory(made)
+    return Memory(made, remembered)
 
 
 class Vocabulary:
