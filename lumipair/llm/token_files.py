@@ -12,8 +12,8 @@ Ids are stored in 16 bits where the vocabulary allows it, else in 32.
 Files have a name of their own for each task attempt and are listed in the manifest, a Parquet table that Spark commits.
 A task that runs again leaves a file behind that no manifest names.
 
-Defined results: a null or empty text is the end id alone; rows with equal doc_id follow each other by their text, null
-ids come first; an empty table makes one file without sequences; the other columns are not read.
+Defined results: a null or empty text is the end id alone; rows with equal doc_id follow each other by a hash of their
+text, null ids come first; an empty table makes one file without sequences; the other columns are not read.
 """
 
 from __future__ import annotations
@@ -167,7 +167,9 @@ def write_token_files(
                 places.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_tokens": [writer.n_tokens], "n_documents": [n_documents]})
 
-    ordered = rows.repartitionByRange(int(n_files), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Bounds of the ranges come from a sample of these columns, so that no text goes to the driver.
+    ordered = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(int(n_files), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
