@@ -71,13 +71,17 @@ def pair_pixels(
 def gathered_patches(scanlines: DataFrame, channels: list[int], nx: int, ny: int) -> DataFrame:
     """One row per patch with each channel's pixels as one array. What is shuffled are runs of an image row."""
     start = ((F.col("patch_j") - 1) * F.col("patch_w") + 1).cast("int")
-    absent = F.array_repeat(F.lit(None).cast("double"), F.col("patch_w"))
+    none = F.lit(None).cast("double")
+
+    def run(c: int) -> Column:
+        """The patch's part of an image row; pixels behind the end of a short or absent plane are missing."""
+        part = F.coalesce(F.slice(f"c{c}", start, F.col("patch_w")), F.array().cast("array<double>"))
+        return F.concat(part, F.array_repeat(none, F.col("patch_w") - F.size(part))).alias(f"c{c}")
+
     runs = (
         patch_rows(scanlines, nx, ny)
         .withColumn("patch_j", F.explode(F.sequence(F.lit(1), F.lit(ny))))
-        .select(*IMAGE, *PATCH, F.struct(*[
-            F.coalesce(F.slice(f"c{c}", start, F.col("patch_w")), absent).alias(f"c{c}") for c in channels
-        ]).alias("_run"))
+        .select(*IMAGE, *PATCH, F.struct(*map(run, channels)).alias("_run"))
     )
     gathered = runs.groupBy(*IMAGE, *PATCH).agg(F.collect_list("_run").alias("_runs"))
     return gathered.select(*IMAGE, *PATCH, *[F.flatten(F.col(f"_runs.c{c}")).alias(f"c{c}") for c in channels])
@@ -174,6 +178,22 @@ def empty_images(rho: DataFrame) -> DataFrame:
     )
 
 
+def dropped_images(scanlines: DataFrame, rho: DataFrame, pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Images that give no correlation for a pair, with the reason: every image of ``scanlines`` is either here or has a
+    usable patch in ``rho`` (patch correlations or a local map's).
+
+    ``no_patch``: no patch was formed at all, as in an image smaller than the grid; ``no_usable_patch``: none has enough
+    pixels with a signal in both channels.
+    """
+    wanted = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in check_pairs(scanlines, pairs)])
+    images = scanlines.select(*IMAGE).distinct().select(*IMAGE, F.inline(wanted))
+    usable = F.count_if(F.col("rho").isNotNull() & ~F.isnan("rho"))
+    found = rho.groupBy(*IMAGE, *PAIR).agg(usable.alias("_usable"))
+    reason = F.when(F.col("_usable").isNull(), F.lit("no_patch")).otherwise(F.lit("no_usable_patch"))
+    joined = images.join(found, [*IMAGE, *PAIR], "left").filter(F.coalesce("_usable", F.lit(0)) == 0)
+    return joined.select(*IMAGE, *PAIR, reason.alias("reason"))
+
+
 def rho_vectors(rho: DataFrame) -> DataFrame:
     """Per image and pair the usable correlations as one array in patch order (at most nx * ny of them)."""
     at = F.array_sort(F.collect_list(F.struct(*PATCH, "rho")))

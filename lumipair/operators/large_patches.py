@@ -33,7 +33,8 @@ def _ranks(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _weighted_rho(x: Column, y: Column, w: Column) -> Column:
     """Pearson correlation of weighted, already centred values."""
-    return F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
+    rho = F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
+    return F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
 
 
 def spearman(pixels: DataFrame, keys: list[str], slice_rows: int) -> DataFrame:

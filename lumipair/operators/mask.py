@@ -61,16 +61,17 @@ def otsu_thresholds(scanlines: DataFrame, channels: list[int] | None = None, bin
 
 
 def with_thresholds(scanlines: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Scanlines with a threshold column ``t<c>`` per channel."""
+    """Scanlines with a threshold column ``t<c>`` per channel, NULL for a channel without a single value."""
     channels = channels_of(scanlines)
     wide = thresholds.groupBy(*IMAGE).agg(
         *[F.max(F.when(F.col("channel") == c, F.col("otsu_threshold"))).alias(f"t{c}") for c in channels]
     )
-    return lookup_join(scanlines, wide, IMAGE)
+    return lookup_join(scanlines, wide, IMAGE, "left")
 
 
 def apply_mask(scanlines: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Set background (values not above the threshold) to 0; missing and NaN values stay as they are."""
+    """Set background (values not above the threshold) to 0; missing and NaN values, and channels without a threshold,
+    stay as they are."""
 
     def masked(c: int) -> Column:
         threshold = F.col(f"t{c}")

@@ -83,13 +83,13 @@ def unpatch(patched: DataFrame) -> DataFrame:
 
 
 def patch_grid(scanlines: DataFrame, nx: int | Column, ny: int | Column | None = None) -> DataFrame:
-    """All patches of every image, found from the images' first rows alone."""
+    """All patches of every image, found from the size columns, whichever rows an image has."""
     ny = nx if ny is None else ny
     rows = nx if isinstance(nx, Column) else F.lit(nx)
     columns = ny if isinstance(ny, Column) else F.lit(ny)
     keep = [c for c in ("resolution",) if c in scanlines.columns]
     return (
-        scanlines.filter(F.col("row") == 0)
+        scanlines.select(*IMAGE, *keep, "height", "width").distinct()
         .withColumn("patch_h", patch_height(nx)).withColumn("patch_w", patch_width(ny))
         .filter((F.col("patch_h") > 0) & (F.col("patch_w") > 0))
         .select(*IMAGE, *keep, "patch_h", "patch_w", columns.alias("_ny"),

@@ -31,8 +31,8 @@ PRIME = 2**31 - 1
 # Rows of one group that are put in order inside one task.
 SLICE_ROWS = 65_536
 
-# Largest image whose pixels are gathered into one row: 16 MB per channel.
-WHOLE_IMAGE_PIXELS = 2_000_000
+# Largest image whose pixels are gathered into one row, over all channels: 48 MB.
+WHOLE_IMAGE_PIXELS = 6_000_000
 
 DEFAULT_BLOCK = 9
 METHODS = ("block", "pixel")
@@ -71,6 +71,14 @@ def _key_rank(df: DataFrame, keys: list[str], place: list[str], group_rows: Colu
     )
 
 
+def _plane_of(plane: str):
+    return lambda line: F.coalesce(line[plane], F.array().cast("array<double>"))
+
+
+def _size_of(plane: str):
+    return lambda line: F.coalesce(F.size(line[plane]), F.lit(0))
+
+
 def _shuffle_whole_images(scanlines: DataFrame, seed: int) -> DataFrame:
     channels = channels_of(scanlines)
     planes = [f"c{c}" for c in channels]
@@ -79,27 +87,35 @@ def _shuffle_whole_images(scanlines: DataFrame, seed: int) -> DataFrame:
         o.alias(f"{name}{c}")
         for c in channels for name, o in zip("ab", _offsets(seed, F.col("image_id"), F.lit(c)))
     ]
+    # Rows and planes may be absent or short: the values that are there take part, each with its own position.
+    sizes = [F.transform("_lines", _size_of(p)) for p in planes]
     gathered = scanlines.groupBy(*IMAGE, "height", "width").agg(lines.alias("_lines")).select(
-        *IMAGE, "height", "width", *offsets, *[F.flatten(F.col(f"_lines.{p}")).alias(p) for p in planes]
+        *IMAGE, "height", "width", *offsets, F.col("_lines.row").alias("_rows"),
+        *[F.flatten(F.transform("_lines", _plane_of(p))).alias(p) for p in planes],
+        *[s.alias(f"_n_{p}") for s, p in zip(sizes, planes, strict=True)],
     )
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 condition, image_id, height, width = (batch.column(n)[k].as_py() for n in (*IMAGE, "height", "width"))
-                starts = pa.array(np.arange(0, height * width + 1, width), pa.int32())
+                rows = batch.column("_rows")[k].values.to_numpy().astype(np.int64)
                 moved = []
                 for c in channels:
                     first, second = batch.column(f"a{c}")[k].as_py(), batch.column(f"b{c}")[k].as_py()
-                    key = (np.arange(height * width, dtype=np.int64) % PRIME + first) % PRIME
-                    key = _fifth_power((_fifth_power(key) + second) % PRIME)
-                    values = batch.column(f"c{c}")[k].values.take(pa.array(np.argsort(key, kind="stable")))
-                    moved.append(pa.ListArray.from_arrays(starts, values))
+                    sizes = batch.column(f"_n_c{c}")[k].values.to_numpy().astype(np.int64)
+                    column = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    key = (np.repeat(rows, sizes) * width + column) % PRIME + first
+                    key = _fifth_power((_fifth_power(key % PRIME) + second) % PRIME)
+                    moved.append(batch.column(f"c{c}")[k].values.take(pa.array(np.argsort(key, kind="stable"))))
+                n_rows = max(-(-len(values) // width) for values in moved)
+                starts = np.arange(n_rows + 1) * width
+                lines = [pa.ListArray.from_arrays(pa.array(np.minimum(starts, len(v)), pa.int32()), v) for v in moved]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([condition] * height), pa.array([image_id] * height),
-                        pa.array(np.arange(height), pa.int32()), pa.array(np.full(height, height), pa.int32()),
-                        pa.array(np.full(height, width), pa.int32()), *moved,
+                        pa.array([condition] * n_rows), pa.array([image_id] * n_rows),
+                        pa.array(np.arange(n_rows), pa.int32()), pa.array(np.full(n_rows, height), pa.int32()),
+                        pa.array(np.full(n_rows, width), pa.int32()), *lines,
                     ],
                     names=[*IMAGE, "row", "height", "width", *planes],
                 )
@@ -130,9 +146,13 @@ def _shuffle_sliced_images(scanlines: DataFrame, seed: int, slice_rows: int) ->
 def shuffle_pixels(
     scanlines: DataFrame, seed: int = 0, slice_rows: int = SLICE_ROWS, whole_image: int = WHOLE_IMAGE_PIXELS
 ) -> DataFrame:
-    """Permute the pixels of every channel on its own."""
+    """Permute the pixels of every channel on its own.
+
+    Pixels that are there keep to the front of the image: of absent rows or planes nothing is moved. Both ways, for images
+    that fit one task and for larger ones, give the same rows. ``whole_image`` counts the pixels of all channels.
+    """
     scanlines = scanlines.select(*plain_columns(scanlines))
-    size = F.expr("cast(height as bigint) * width")
+    size = F.expr(f"cast(height as bigint) * width * {len(channels_of(scanlines))}")
     largest = scanlines.agg(F.max(size).alias("size")).first()["size"] or 0
     if largest <= whole_image:
         return _shuffle_whole_images(scanlines, seed)
@@ -148,7 +168,7 @@ def block_moves(scanlines: DataFrame, block: int, seed: int, slice_rows: int = S
     b = F.lit(block)
     full_i, full_j = F.expr(f"height div {block}"), F.expr(f"width div {block}")
     blocks = (
-        scanlines.filter(F.col("row") == 0).select(*IMAGE, "height", "width")
+        scanlines.select(*IMAGE, "height", "width").distinct()
         .withColumn("full_i", full_i).withColumn("full_j", full_j)
         .withColumn("from_i", F.explode(F.sequence(F.lit(0), F.expr(f"(height - 1) div {block}"))))
         .withColumn("from_j", F.explode(F.sequence(F.lit(0), F.expr(f"(width - 1) div {block}"))))

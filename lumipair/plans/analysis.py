@@ -12,7 +12,8 @@ from lumipair.operators.shuffle import DEFAULT_BLOCK, as_control, shuffled_contr
 from lumipair.operators.shuffle import METHODS as SHUFFLE_METHODS
 from lumipair.plans.report import result_report
 from lumipair.schema import channel_pairs, channels_of, plain_columns
-from lumipair.shared import written
+from lumipair.shared import remove_written, written
+from lumipair.sources.bands import shape_violations
 from lumipair.sources.sinks import append_report, write_new, write_samples
 
 
@@ -58,13 +59,19 @@ class Options:
 
 @dataclass
 class Result:
-    """The tables of one analysis. None of them is computed before it is used, but for those written in between."""
+    """The tables of one analysis.
 
+    Thresholds, a shuffled control, correlations, grid and draws are written while ``analyse`` runs; the rest is computed
+    where it is used. ``release`` deletes the written tables once the result has been saved.
+    """
+
+    scanlines: DataFrame
     masked: DataFrame
     thresholds: DataFrame
     rho: DataFrame
     image_rho: DataFrame
     empty_images: DataFrame
+    dropped_images: DataFrame
     grid: DataFrame
     samples: DataFrame
     bayes_factors: DataFrame
@@ -84,7 +91,8 @@ class Result:
         return evidence.bayes_factor_curve(factors)
 
     def mask_mosaic(self) -> DataFrame:
-        return mask.mask_mosaic(self.masked, self.thresholds)
+        """From the images as they came: in masked ones the background 0 may lie above a negative threshold."""
+        return mask.mask_mosaic(self.scanlines, self.thresholds)
 
     def density(self, column: str = "delta_rho") -> DataFrame:
         """Density curves of a parameter, or of the difference of the levels, per kind and pair."""
@@ -92,12 +100,28 @@ class Result:
         return evidence.kde_density(draws, ["kind", "ch_x", "ch_y"], column, rows_per_group=self.options.draws)
 
     def save(self, folder: str) -> None:
-        """Write report, draws and masks below a folder; used folders are refused."""
+        """Write report, draws, masks and the list of dropped images below a folder; used folders are refused."""
         write_samples(self.samples, f"{folder}/samples")
         write_new(self.mask_mosaic(), f"{folder}/masks")
+        write_new(self.dropped_images, f"{folder}/dropped_images")
         append_report(self.report, f"{folder}/report")
 
 
+    def release(self) -> None:
+        """Delete the tables written in between by this application; its DataFrames stop working."""
+        remove_written(self.scanlines.sparkSession)
+
+
+def refuse_bad_shapes(scanlines: DataFrame) -> None:
+    """``ValueError`` for an image with absent rows or with rows or planes that do not have the stated size."""
+    found = shape_violations(scanlines).head()
+    if found is not None:
+        raise ValueError(
+            f"image {found.image_id} ({found.condition}) is not a full matrix: {found.n_rows} rows of height {found.max_height}, "
+            f"widths from {found.min_width} to {found.max_width}"
+        )
+
+
 def colocalization(
     scanlines: DataFrame, patches: int, pairs: list[tuple[int, int]] | None = None, method: str = "pearson",
     draws: DataFrame | None = None, n_draws: int = 100_000, scale_link: str = "none", seed: int = 0,
@@ -129,6 +153,9 @@ def analyse(sample: DataFrame, control: DataFrame | None = None, options: Option
             raise ValueError("without shuffling, control images are needed")
         if channels_of(control) != channels:
             raise ValueError("sample and control images have different channels")
+    for side in (sample, control):
+        if side is not None:
+            refuse_bad_shapes(side)
     sample = sample.withColumn("condition", F.lit("sample"))
     if options.shuffle:
         control = written(
@@ -155,7 +182,8 @@ def analyse(sample: DataFrame, control: DataFrame | None = None, options: Option
     samples = written(samples, "samples")
     factors = evidence.draw_bayes_factors(samples, [options.rho_threshold], rows_per_group=options.draws)
     return Result(
-        masked=masked, thresholds=thresholds, rho=rho, image_rho=summary, empty_images=correlate.empty_images(rho),
+        scanlines=sample.unionByName(control), masked=masked, thresholds=thresholds, rho=rho, image_rho=summary, empty_images=correlate.empty_images(rho),
+        dropped_images=correlate.dropped_images(masked, rho, pairs),
         grid=grid, samples=samples, bayes_factors=factors,
         report=result_report(samples, factors, options.draws), options=options,
     )

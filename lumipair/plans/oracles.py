@@ -58,14 +58,14 @@ sums AS (
   FROM binned
   WINDOW plane AS (PARTITION BY condition, image_id, channel),
          upto AS (PARTITION BY condition, image_id, channel ORDER BY bin)),
-ranked AS (
+otsu_order AS (
   SELECT *, row_number() OVER (PARTITION BY condition, image_id, channel
                                ORDER BY (tm * w - tw * m) * (tm * w - tw * m) / (w * (tw - w)) DESC, bin) AS place
   FROM sums WHERE w < tw),
 otsu AS (
   SELECT condition, image_id, channel,
          coalesce(lo + (bin + 1) * (hi - lo) / CAST(256 AS DOUBLE), lo) AS otsu_threshold
-  FROM limits LEFT JOIN (SELECT condition, image_id, channel, bin FROM ranked WHERE place = 1)
+  FROM limits LEFT JOIN (SELECT condition, image_id, channel, bin FROM otsu_order WHERE place = 1)
        USING (condition, image_id, channel))
 """
 
@@ -144,7 +144,6 @@ rho AS (
 
 RHO = f"SELECT {PATCH}, n, round(rho, 6) AS rho FROM rho"
 ONE_PAIR = "a.channel = 1 AND b.channel = {}"
-SOME_PAIRS = "(a.channel, b.channel) IN ((1, 2), (3, 4))"
 
 SUMMARY = """
 summary AS (
@@ -437,7 +436,7 @@ FROM tried JOIN best USING (condition, image_id, resolution)
 """
 
 
-def _report_lines() -> str:
+def _report_lines(digits: int = 6) -> str:
     columns = []
     for block, kind, column in (
         ("prior", "prior", "mu_sample"), ("posterior", "posterior", "mu_sample"),
@@ -445,12 +444,12 @@ def _report_lines() -> str:
         ("delta_rho", "posterior", "mu_sample - mu_control"),
     ):
         only = f"FILTER (kind = '{kind}')"
-        columns.append(f"round(avg({column}) {only}, 6) AS mean_{block}")
+        columns.append(f"round(avg({column}) {only}, {digits}) AS mean_{block}")
         for p, label in ((0.5, "median"), (0.025, "lower_credible_interval"), (0.975, "upper_credible_interval")):
-            columns.append(f"round(quantile_cont({column}, CAST({p} AS DOUBLE)) {only}, 6) AS {label}_{block}")
+            columns.append(f"round(quantile_cont({column}, CAST({p} AS DOUBLE)) {only}, {digits}) AS {label}_{block}")
     return (
         "SELECT ch_x AS channel_1, ch_y AS channel_2, round(max(rho_threshold), 6) AS rho_threshold, "
-        f"round(max(bf), 6) AS bf, {', '.join(columns)} FROM samples JOIN factors USING (ch_x, ch_y) GROUP BY ALL"
+        f"round(max(bf), {digits}) AS bf, {', '.join(columns)} FROM samples JOIN factors USING (ch_x, ch_y) GROUP BY ALL"
     )
 
 
@@ -462,6 +461,7 @@ mixed AS (
   FROM shuffled WHERE condition = 'sample')
 """
 
+IDS = "ids AS (SELECT range AS draw FROM range(100000))"
 MU_W = "SELECT condition, ch_x, ch_y, mu_idx, round(w, 6) AS w FROM marginal"
 KINDS = "kind, ch_x, ch_y"
 
@@ -541,14 +541,23 @@ ORACLES: dict[str, str] = {
         FROM sig GROUP BY ALL""",
     "patch_pearson": with_(EMBEDDINGS, signal(nx=2), rho()) + RHO,
     "patch_pearson_all_pairs": with_(LINEITEM, signal(nx=GRID), rho()) + RHO,
-    "patch_pearson_rect": with_(LINEITEM, signal(nx=GRID, ny=5, pairs=SOME_PAIRS), rho()) + RHO,
+    "patch_pearson_rect": with_(LINEITEM, signal(nx=GRID, ny=5), rho()) + RHO,
     "patch_pearson_masked": with_(LINEITEM, OTSU, MASKED, signal("masked", GRID), rho()) + RHO,
     "patch_spearman": with_(EMBEDDINGS, signal(nx=2), RANKED, rho("ranked")) + RHO,
     "patch_spearman_all_pairs": with_(LINEITEM, signal(nx=GRID), RANKED, rho("ranked")) + RHO,
-    "patch_spearman_large": with_(LINEITEM, signal(nx=GRID, pairs=ONE_PAIR.format(3)), RANKED, rho("ranked")) + RHO,
+    "patch_spearman_large": with_(LINEITEM, signal(nx=GRID), RANKED, rho("ranked")) + RHO,
     "patch_kendall": with_(EMBEDDINGS, signal(nx=2), KENDALL) + RHO,
     "patch_kendall_all_pairs": with_(LINEITEM, signal(nx=GRID), KENDALL) + RHO,
-    "patch_kendall_large": with_(LINEITEM, signal(nx=GRID, pairs=ONE_PAIR.format(3)), KENDALL) + RHO,
+    "patch_kendall_large": with_(LINEITEM, signal(nx=GRID), KENDALL) + RHO,
+    "patch_spearman_mixed": with_(
+        LINEITEM.replace("px AS", "line_px AS").replace("dims AS", "line_dims AS"),
+        EMBEDDINGS.replace("px AS", "vector_px AS").replace("dims AS", "vector_dims AS").replace("FROM px", "FROM vector_px"),
+        "px AS (SELECT * FROM line_px WHERE channel < 3 UNION ALL BY NAME SELECT * FROM vector_px)",
+        signal(nx=2), RANKED, rho("ranked")) + RHO,
+    "dropped_images": with_(EMBEDDINGS, signal(nx=3), rho()) + """
+        SELECT condition, image_id, ch_x, ch_y, 'no_usable_patch' AS reason, 3 AS grid FROM rho GROUP BY ALL HAVING count(rho) = 0
+        UNION ALL
+        SELECT DISTINCT condition, image_id, 1 AS ch_x, 2 AS ch_y, 'no_patch' AS reason, 9 AS grid FROM dims""",
     "rho_vectors": with_(EMBEDDINGS, signal(nx=2), rho()) + """
         SELECT condition, image_id, ch_x, ch_y, CAST(row_number() OVER (
                  PARTITION BY condition, image_id, ch_x, ch_y ORDER BY patch_i, patch_j) - 1 AS INTEGER) AS position,
@@ -562,8 +571,9 @@ ORACLES: dict[str, str] = {
     "shuffle_blocks": with_(EMBEDDINGS, block_shuffle(3, "shuffled")) + f" {PIXELS} shuffled",
     "shuffled_control_rho": with_(
         LINEITEM, CELLS, pixel_shuffle("full_px", "shuffled"), as_control("shuffled"),
-        signal("mixed", GRID, pairs=ONE_PAIR.format(2)), rho(),
+        signal("mixed", GRID), rho(),
     ) + RHO,
+    "shuffle_pixels_sliced": with_(LINEITEM, CELLS, pixel_shuffle("full_px", "shuffled")) + f" {PIXELS} shuffled",
     "block_control_rho": with_(
         EMBEDDINGS, block_shuffle(4, "shuffled"), as_control("shuffled"), signal("mixed", 2), rho()
     ) + RHO,
@@ -603,8 +613,36 @@ ORACLES: dict[str, str] = {
         *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(),
     "analysis_report": with_(
         LINEITEM, CELLS, OTSU, MASKED, block_shuffle(9, "shuffled", "full_px"), MASKED_AND_CONTROL,
-        signal("mixed", GRID), rho(), SUMMARY, MODEL, weights(), "ids AS (SELECT range AS draw FROM range(2000))",
+        signal("mixed", GRID), rho(), SUMMARY, MODEL, weights(), IDS,
         PRIOR_DRAWS, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(),
+    "analysis_given_control": with_(
+        LINEITEM, OTSU, MASKED, signal("masked", GRID), rho(), SUMMARY, MODEL, weights(), IDS,
+        PRIOR_DRAWS, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(5),
+    "analysis_one_pair": with_(
+        LINEITEM, OTSU, MASKED, signal("masked", 16, pairs=ONE_PAIR.format(2)), RANKED, rho("ranked"), SUMMARY, MODEL,
+        weights(), IDS, PRIOR_DRAWS, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(5),
+    "report_round_trip": with_(*GRID_MODEL, DELTA, thresholds([0.1]), GRID_TAILS, FACTORS) + """
+        SELECT ch_x, ch_y, rho_threshold, round(p_posterior, 6) AS p_posterior, round(p_prior, 6) AS p_prior
+        FROM factors, range(2)""",
+    "samples_round_trip": with_(*GRID_MODEL, PRIOR, DRAWS, SAMPLES) + """
+        SELECT kind, ch_x, ch_y, count(*) AS n, round(avg(mu_sample), 6) AS mean_sample,
+               round(avg(mu_control), 6) AS mean_control FROM samples GROUP BY ALL""",
+    "manifest_problems": """
+        WITH files AS (SELECT concat('img_', vec_id // 2, '_c', vec_id % 3 + 1, '.tif') AS name FROM embeddings),
+        parsed AS (
+          SELECT name, regexp_replace(name, '_[^_]*$', '') AS image_id,
+                 CAST(regexp_extract(name, '_c([0-9]+)[.]', 1) AS INTEGER) AS channel FROM files),
+        wanted AS (SELECT DISTINCT image_id, CAST(c AS INTEGER) AS channel FROM parsed, range(1, 3) AS r(c))
+        SELECT image_id, channel, name, 'unknown_channel' AS problem FROM parsed WHERE channel > 2
+        UNION ALL
+        SELECT image_id, channel, CAST(NULL AS VARCHAR) AS name, 'missing_channel' AS problem
+        FROM wanted ANTI JOIN parsed USING (image_id, channel)""",
+    "stack_from_manifest": with_(EMBEDDINGS) + """
+        SELECT 'img_' || image_id AS image_id, channel, "row", col, round(value, 6) AS value FROM px""",
+    "shape_violations": with_(LINEITEM) + """
+        SELECT condition, image_id, count(DISTINCT "row") AS n_rows, max(height) AS min_height, max(height) AS max_height,
+               CAST(least(100, count(*) - (max(height) - 1) * 100) AS INTEGER) AS min_width, 100 AS max_width
+        FROM wide GROUP BY condition, image_id HAVING count(*) < 100 * max(height)""",
 }
 
 # The statement separators above put SELECT directly behind a closing parenthesis; a blank keeps them apart.

@@ -11,9 +11,18 @@ from lumipair.operators import correlate, evidence, images, localmap, mask, patc
 from lumipair.plans.analysis import Options, analyse
 from lumipair.plans.report import report_columns, result_report
 from lumipair.schema import GLOBAL_PARAMETERS, IMAGE, PAIR, PATCH, channel_pairs, channels_of, plain_columns
-from lumipair.shared import written
+from lumipair.shared import new_table_path, written
 from lumipair.sources import fixtures, manifest
-from lumipair.sources.bands import bands_from_pixels, align_channels, shape_summary, to_bands, to_pixels
+from lumipair.sources.bands import (
+    align_channels,
+    bands_from_pixels,
+    shape_summary,
+    shape_violations,
+    stack_from_manifest,
+    to_bands,
+    to_pixels,
+)
+from lumipair.sources.sinks import append_report, write_samples
 
 GRID = 4
 SEED = 7
@@ -56,6 +65,34 @@ def banded_pixels(spark, sf):
     return to_pixels(align_channels(bands, [1, 2])).select(*IMAGE, "channel", "row", "col", *rounded("value"))
 
 
+def manifest_problems(spark, sf):
+    """File names whose channel numbers run from 1 to 3, read as images of two channels."""
+    files = fixtures.table(spark, sf, "embeddings").select(
+        F.expr("concat('img_', vec_id div 2, '_c', vec_id % 3 + 1, '.tif')").alias("name")
+    )
+    return manifest.manifest_problems(files, 2)
+
+
+def stack_of_files(spark, sf):
+    """Vectors as band rows that know their file only, joined to the manifest of the file names."""
+    vectors = fixtures.table(spark, sf, "embeddings").select(
+        F.expr("concat('img_', vec_id div 2, '_c', vec_id % 2 + 1, '.tif')").alias("path"), "embedding"
+    )
+    row = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("row")
+    bands = vectors.select("path", row, F.lit(8).alias("height"), F.lit(8).alias("width"), "embedding").withColumn(
+        "values", F.slice(F.col("embedding").cast("array<double>"), F.col("row") * 8 + 1, F.lit(8))
+    ).drop("embedding")
+    stack = stack_from_manifest(bands, fixtures.file_names(spark, sf), 2, "sample")
+    return to_pixels(stack).select("image_id", "channel", "row", "col", *rounded("value"))
+
+
+def bad_shapes(spark, sf):
+    """Line-item images with the unused end of their last row cut off."""
+    scanlines = lineitem(spark, sf)
+    cut = {f"c{c}": F.filter(f"c{c}", lambda v: v.isNotNull()) for c in channels_of(scanlines)}
+    return shape_violations(scanlines.withColumns(cut))
+
+
 def image_shapes(spark, sf):
     return shape_summary(lineitem(spark, sf))
 
@@ -177,7 +214,7 @@ def patch_pearson_all_pairs(spark, sf):
 
 
 def patch_pearson_rect(spark, sf):
-    return rounded_rho(correlate.patch_rho(lineitem(spark, sf), GRID, 5, pairs=[(1, 2), (3, 4)]))
+    return rounded_rho(correlate.patch_rho(lineitem(spark, sf), GRID, 5))
 
 
 def patch_pearson_masked(spark, sf):
@@ -194,9 +231,7 @@ def patch_spearman_all_pairs(spark, sf):
 
 def patch_spearman_large(spark, sf):
     """The path for patches too large for one task, forced by a low limit."""
-    return rounded_rho(
-        correlate.patch_rho(lineitem(spark, sf), GRID, pairs=[(1, 3)], method="spearman", whole_patch=50)
-    )
+    return rounded_rho(correlate.patch_rho(lineitem(spark, sf), GRID, method="spearman", whole_patch=50))
 
 
 def patch_kendall(spark, sf):
@@ -209,9 +244,22 @@ def patch_kendall_all_pairs(spark, sf):
 
 def patch_kendall_large(spark, sf):
     """The path for patches too large for one task, forced by a low limit."""
-    return rounded_rho(
-        correlate.patch_rho(lineitem(spark, sf), GRID, pairs=[(1, 3)], method="kendall", whole_patch=300)
-    )
+    return rounded_rho(correlate.patch_rho(lineitem(spark, sf), GRID, method="kendall", whole_patch=150))
+
+
+def patch_spearman_mixed(spark, sf):
+    """Images on both sides of the limit in one run: small vector images beside the line-item images."""
+    both = lineitem(spark, sf).select(*IMAGE, "row", "height", "width", "c1", "c2").unionByName(embeddings(spark, sf))
+    return rounded_rho(correlate.patch_rho(both, 2, method="spearman", whole_patch=20))
+
+
+def dropped_images(spark, sf):
+    """Grid 3 leaves too few pixels in a patch of the vector images, grid 9 is finer than they are."""
+    scanlines = embeddings(spark, sf)
+    found = [
+        correlate.dropped_images(scanlines, correlate.patch_rho(scanlines, n)).withColumn("grid", F.lit(n)) for n in (2, 3, 9)
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def rho_vectors(spark, sf):
@@ -236,6 +284,13 @@ def shuffle_pixels(spark, sf):
     return moved.select(*IMAGE, "channel", "row", "col", *rounded("value"))
 
 
+def shuffle_pixels_sliced(spark, sf):
+    """Line-item images by the way for images too large for one task."""
+    scanlines = lineitem(spark, sf)
+    moved = shuffle.shuffle_pixels(scanlines.select(*plain_columns(scanlines)), SEED, slice_rows=500, whole_image=0)
+    return to_pixels(moved).select(*IMAGE, "channel", "row", "col", *rounded("value"))
+
+
 def shuffle_blocks(spark, sf):
     moved = to_pixels(shuffle.shuffle_blocks(embeddings(spark, sf), 3, SEED))
     return moved.select(*IMAGE, "channel", "row", "col", *rounded("value"))
@@ -245,7 +300,7 @@ def shuffled_control_rho(spark, sf):
     sample = lineitem(spark, sf).filter(F.col("condition") == "sample")
     sample = sample.select(*plain_columns(sample))
     both = sample.unionByName(shuffle.shuffled_control(sample, "pixel", seed=SEED))
-    return rounded_rho(correlate.patch_rho(both, GRID, pairs=[(1, 2)]))
+    return rounded_rho(correlate.patch_rho(both, GRID))
 
 
 def block_control_rho(spark, sf):
@@ -374,16 +429,56 @@ def report(spark, sf):
 def analysis_report(spark, sf):
     """The whole analysis of the sample images against their own block-shuffled copy."""
     sample = lineitem(spark, sf).filter(F.col("condition") == "sample")
-    result = analyse(sample, options=Options(patches=GRID, draws=2000, shuffle=True, seed=SEED))
+    result = analyse(sample, options=Options(patches=GRID, shuffle=True, seed=SEED))
     return result.report.select("channel_1", "channel_2", *rounded(*report_columns()[2:]))
 
 
+def _given_control(spark, sf, **options):
+    sample, control = (lineitem(spark, sf).filter(F.col("condition") == c) for c in ("sample", "control"))
+    return analyse(sample, control, Options(seed=SEED, **options))
+
+
+def analysis_given_control(spark, sf):
+    """The whole analysis of sample against control images, all pairs."""
+    report = _given_control(spark, sf, patches=GRID).report
+    return report.select("channel_1", "channel_2", *rounded(*report_columns()[2:], digits=5))
+
+
+def analysis_one_pair(spark, sf):
+    """One pair with Spearman correlations on a grid of 16 x 16."""
+    report = _given_control(spark, sf, patches=16, pair=(1, 2), method="spearman").report
+    return report.select("channel_1", "channel_2", *rounded(*report_columns()[2:], digits=5))
+
+
+def report_round_trip(spark, sf):
+    """The grid's Bayes factors appended twice to a report and read back."""
+    folder = new_table_path(spark, "report")
+    lines = evidence.grid_bayes_factors(lineitem_grid(spark, sf), [0.1]).select(*PAIR, "rho_threshold", "p_posterior", "p_prior")
+    for _ in range(2):
+        append_report(lines, folder)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in lines.dtypes)
+    return spark.read.schema(kinds).csv(folder, header=True, sep="|").select(*PAIR, *rounded("rho_threshold", "p_posterior", "p_prior"))
+
+
+def samples_round_trip(spark, sf):
+    """All draws written as CSV and read back."""
+    folder = new_table_path(spark, "samples")
+    write_samples(lineitem_samples(spark, sf)[0], folder)
+    back = spark.read.csv(folder, header=True, inferSchema=True)
+    return back.groupBy("kind", *[F.col(c).cast("int").alias(c) for c in PAIR]).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("mu_sample"), 6).alias("mean_sample"), F.round(F.avg("mu_control"), 6).alias("mean_control")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "manifest": file_manifest,
     "manifest_errors": manifest_errors,
     "aligned_bands": aligned_bands,
     "banded_pixels": banded_pixels,
     "image_shapes": image_shapes,
+    "manifest_problems": manifest_problems,
+    "stack_from_manifest": stack_of_files,
+    "shape_violations": bad_shapes,
     "image_dims": image_dims,
     "image_metadata": image_metadata,
     "stack_positions": stack_positions,
@@ -413,10 +508,13 @@ QUERIES: dict[str, Query] = {
     "patch_kendall": patch_kendall,
     "patch_kendall_all_pairs": patch_kendall_all_pairs,
     "patch_kendall_large": patch_kendall_large,
+    "patch_spearman_mixed": patch_spearman_mixed,
+    "dropped_images": dropped_images,
     "rho_vectors": rho_vectors,
     "empty_images": empty_images,
     "image_rho_summary": image_rho_summary,
     "shuffle_pixels": shuffle_pixels,
+    "shuffle_pixels_sliced": shuffle_pixels_sliced,
     "shuffle_blocks": shuffle_blocks,
     "shuffled_control_rho": shuffled_control_rho,
     "block_control_rho": block_control_rho,
@@ -436,4 +534,8 @@ QUERIES: dict[str, Query] = {
     "kde_tail": kde_tail,
     "result_report": report,
     "analysis_report": analysis_report,
+    "analysis_given_control": analysis_given_control,
+    "analysis_one_pair": analysis_one_pair,
+    "report_round_trip": report_round_trip,
+    "samples_round_trip": samples_round_trip,
 }

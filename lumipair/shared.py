@@ -21,10 +21,12 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where it is shared by nature."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="/tmp/spark-")
@@ -53,23 +55,24 @@ def remove_written(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def row_bytes(lookup: DataFrame) -> int:
-    """A generous size of one lookup row in memory. Lookups hold numbers and short names only."""
-    sizes = {"string": 80, "double": 8, "bigint": 8, "int": 8, "boolean": 8}
-    return 32 + sum(sizes[kind] for _, kind in lookup.dtypes)
+def table_bytes(lookup: DataFrame) -> int:
+    """The measured size of a lookup in memory: its strings as long as they are, 8 bytes for any other value, 32 a row."""
+    texts = [c for c, kind in lookup.dtypes if kind == "string"]
+    n, *lengths = lookup.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(c)) for c in texts]).first()
+    return n * (32 + 8 * len(lookup.columns)) + sum(x or 0 for x in lengths)
 
 
 def lookup_join(
     big: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", at_most: int | None = None
 ) -> DataFrame:
-    """Join a per-key lookup table to a large table.
+    """Join a per-key lookup table to a large table, with equal rows whichever way it goes.
 
-    ``at_most`` is a row count the caller can prove. Otherwise the lookup is written first, and its row count comes from
-    the Parquet footers. It decides between a broadcast and an ordinary shuffled join.
+    ``at_most`` is a row count the caller can prove for lookups of numbers and names of bounded length. Otherwise the
+    lookup is written first and its bytes are measured. They decide between a broadcast and an ordinary shuffled join.
     """
     if at_most is None:
         lookup = written(lookup, "lookup")
-        at_most = lookup.count()
-    if at_most * row_bytes(lookup) <= BROADCAST_BYTES:
-        lookup = F.broadcast(lookup)
-    return big.join(lookup, keys, how)
+        small = table_bytes(lookup) <= BROADCAST_BYTES
+    else:
+        small = at_most * (32 + 80 * len(lookup.columns)) <= BROADCAST_BYTES
+    return big.join(F.broadcast(lookup) if small else lookup, keys, how)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.functions.columns import finite_values
 from lumipair.schema import BANDS, IMAGE, channels_of, require_columns
 from lumipair.shared import lookup_join
+from lumipair.sources.manifest import check_manifest
 
 
 def read_bands(spark: SparkSession, path: str) -> DataFrame:
@@ -39,15 +40,23 @@ def align_channels(bands: DataFrame, channels: list[int]) -> DataFrame:
     """Put the channels of an image row next to each other.
 
     This is the join of the channels at equal (image, row), done once for all channels in one shuffle of whole image
-    rows. A group holds one image row per channel, so its size is fixed by the image format.
+    rows. A group holds one image row per channel, so its size is fixed by the image format. Channels of different size
+    are an error when the rows are read.
     """
     planes = F.map_from_entries(F.collect_list(F.struct("channel", "values")))
+    sizes = [f(c).alias(f"_{name}_{c}") for c in ("height", "width") for name, f in (("low", F.min), ("high", F.max))]
+    equal = (F.col("_low_height") == F.col("_high_height")) & (F.col("_low_width") == F.col("_high_width"))
+    refused = F.raise_error(F.concat(F.lit("the channels of image "), F.col("image_id"), F.lit(" differ in size")))
+
+    def checked(size: str) -> Column:
+        return F.when(equal, F.col(f"_high_{size}")).otherwise(refused.cast("int")).alias(size)
+
     return (
         bands.filter(F.col("channel").isin(channels))
-        .groupBy(*IMAGE, "row", "height", "width")
-        .agg(planes.alias("_planes"))
+        .groupBy(*IMAGE, "row")
+        .agg(planes.alias("_planes"), *sizes)
         .select(
-            *IMAGE, "row", "height", "width",
+            *IMAGE, "row", checked("height"), checked("width"),
             *[F.try_element_at("_planes", F.lit(c)).alias(f"c{c}") for c in channels],
         )
     )
@@ -77,8 +86,9 @@ def bands_from_pixels(pixels: DataFrame) -> DataFrame:
         ),
         sizes, IMAGE,
     )
-    at = F.map_from_entries("_line")
-    sparse = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.try_element_at(at, k))
+    # The map is made once for a row, in a projection of its own.
+    lines = lines.withColumn("_at", F.when(F.size("_line") < F.col("width"), F.map_from_entries("_line")))
+    sparse = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.try_element_at(F.col("_at"), k))
     values = F.when(F.size("_line") == F.col("width"), F.col("_line.value")).otherwise(sparse)
     return lines.select(
         *IMAGE, F.col("channel").cast("int").alias("channel"), F.col("row").cast("int").alias("row"),
@@ -86,6 +96,16 @@ def bands_from_pixels(pixels: DataFrame) -> DataFrame:
     )
 
 
+def stack_from_manifest(bands: DataFrame, files: DataFrame, n_channels: int, condition: str) -> DataFrame:
+    """Scanlines of a folder: band rows keyed by ``path`` (path, row, height, width, values) joined to its manifest.
+
+    An incomplete folder is refused; band rows of paths outside the manifest are not part of the stack.
+    """
+    of_path = check_manifest(files, n_channels).select("image_id", "channel", "path")
+    rows = bands.join(of_path, "path").withColumn("condition", F.lit(condition)).select(*BANDS.fieldNames())
+    return align_channels(rows, list(range(1, n_channels + 1)))
+
+
 def shape_summary(scanlines: DataFrame) -> DataFrame:
     """Per image its number of rows and the smallest and largest stated or actual height and width."""
     sizes = [F.col("width")] + [F.coalesce(F.size(f"c{c}"), F.lit(-1)) for c in channels_of(scanlines)]
