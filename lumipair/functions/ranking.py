@@ -67,16 +67,19 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def quantiles(
-    long: DataFrame, keys: list[str], probabilities: list[float], rows_per_group: int | None = None
+    long: DataFrame, keys: list[str], probabilities: list[float], rows_per_group: int | None = None,
+    also: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group with linear interpolation, as an array column ``quantiles``.
 
+    ``also`` are further aggregates of the groups, taken in the same pass where there is one.
+
     ``rows_per_group`` is an upper bound the caller can prove. Without one, or above ``SMALL_GROUP_ROWS``, the
     quantiles come from distributed ranks.
     """
     if rows_per_group is not None and rows_per_group <= SMALL_GROUP_ROWS:
         wanted = F.array(*[F.lit(p) for p in probabilities])
-        return long.groupBy(*keys).agg(F.percentile("value", wanted).alias("quantiles"))
+        return long.groupBy(*keys).agg(F.percentile("value", wanted).alias("quantiles"), *also)
     ranked = value_ranks(long.filter(F.col("value").isNotNull()), keys, "value")
     first, end = F.col("before"), F.col("before") + F.col("ties")
     parts: list[Column] = []
@@ -94,4 +97,5 @@ def quantiles(
         position = (F.col("_n") - 1) * F.lit(p)
         share = position - F.floor(position)
         between.append(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * share)
-    return found.select(*keys, F.array(*between).alias("quantiles"))
+    middle = found.select(*keys, F.array(*between).alias("quantiles"))
+    return middle.join(long.groupBy(*keys).agg(*also), keys) if also else middle

@@ -85,9 +85,7 @@ def summarise(draws: DataFrame, keys: list[str], columns: list[str], rows_per_gr
     """Mean, median and 95 % credible interval of each column, one row per (group, column name)."""
     long = unpivot(draws, keys, columns).filter(F.col("value").isNotNull())
     group = [*keys, "name"]
-    means = long.groupBy(*group).agg(F.avg("value").alias("mean"))
-    middle = quantiles(long, group, [0.5, *CREDIBLE], rows_per_group)
-    return means.join(middle, group).select(
+    return quantiles(long, group, [0.5, *CREDIBLE], rows_per_group, (F.avg("value").alias("mean"),)).select(
         *group, "mean", F.col("quantiles")[0].alias("median"),
         F.col("quantiles")[1].alias("lower"), F.col("quantiles")[2].alias("upper"),
     )
@@ -96,14 +94,14 @@ def summarise(draws: DataFrame, keys: list[str], columns: list[str], rows_per_gr
 def bandwidths(draws: DataFrame, keys: list[str], column: str, rows_per_group: int | None = None) -> DataFrame:
     """Kernel bandwidth after Silverman (1986): 0.9 min(sd, IQR / 1.34) n^(-1/5)."""
     long = draws.select(*keys, F.col(column).alias("value")).filter(F.col("value").isNotNull())
-    moments = long.groupBy(*keys).agg(
+    moments = (
         F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
         F.min("value").alias("low"), F.max("value").alias("high"),
     )
-    quarters = quantiles(long, keys, [0.25, 0.75], rows_per_group)
+    quarters = quantiles(long, keys, [0.25, 0.75], rows_per_group, moments)
     iqr = (F.col("quantiles")[1] - F.col("quantiles")[0]) / F.lit(1.34)
     spread = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
-    return moments.join(quarters, keys).select(
+    return quarters.select(
         *keys, "n", "low", "high", (F.lit(0.9) * spread * F.pow(F.col("n"), F.lit(-0.2))).alias("h")
     )
 

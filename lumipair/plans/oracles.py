@@ -330,25 +330,23 @@ tails AS (
 """
 
 
-ONE_DELTA = "delta AS (SELECT 'prior' AS kind, mu_sample - mu_control AS v FROM prior_draws)"
-
 DENSITY = f"""
 widths AS (
-  SELECT count(*) AS n, min(v) AS low, max(v) AS high,
+  SELECT kind, ch_x, ch_y, count(*) AS n, min(v) AS low, max(v) AS high,
          CAST(0.9 AS DOUBLE) * least(stddev_samp(v),
            (quantile_cont(v, CAST(0.75 AS DOUBLE)) - quantile_cont(v, CAST(0.25 AS DOUBLE))) / CAST(1.34 AS DOUBLE))
            * pow(count(*), CAST(-0.2 AS DOUBLE)) AS h
-  FROM delta),
+  FROM delta GROUP BY ALL),
 bins AS (
-  SELECT least(floor((v - low) / (high - low) * 2048), 2047) AS bin, count(*) AS m, low, high, h, n
-  FROM delta, widths GROUP BY ALL),
+  SELECT kind, ch_x, ch_y, least(floor((v - low) / (high - low) * 2048), 2047) AS bin, count(*) AS m, low, high, h, n
+  FROM delta JOIN widths USING (kind, ch_x, ch_y) GROUP BY ALL),
 points AS (
-  SELECT CAST(p AS INTEGER) AS point, low - 3 * h + p * (high - low + 6 * h) / CAST(255 AS DOUBLE) AS x
+  SELECT kind, ch_x, ch_y, CAST(p AS INTEGER) AS point, low - 3 * h + p * (high - low + 6 * h) / CAST(255 AS DOUBLE) AS x
   FROM widths, range(256) r(p))
-SELECT 'prior' AS kind, point, round(x, 6) AS x,
+SELECT kind, ch_x, ch_y, point, round(x, 5) AS x,
        round(sum(m * exp(-CAST(0.5 AS DOUBLE) * pow((x - (low + (bin + CAST(0.5 AS DOUBLE)) * (high - low) / 2048)) / h, 2)))
-             / max(n * h * sqrt(2 * CAST({PI} AS DOUBLE))), 6) AS density
-FROM bins, points GROUP BY point, x
+             / max(n * h * sqrt(2 * CAST({PI} AS DOUBLE))), 5) AS density
+FROM bins JOIN points USING (kind, ch_x, ch_y) GROUP BY kind, ch_x, ch_y, point, x
 """
 
 
@@ -461,6 +459,7 @@ mixed AS (
   FROM shuffled WHERE condition = 'sample')
 """
 
+FINE_CURVE = [round(-0.8 + 0.01 * k, 10) for k in range(161)]
 IDS = "ids AS (SELECT range AS draw FROM range(100000))"
 MU_W = "SELECT condition, ch_x, ch_y, mu_idx, round(w, 6) AS w FROM marginal"
 KINDS = "kind, ch_x, ch_y"
@@ -605,9 +604,14 @@ ORACLES: dict[str, str] = {
         *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds(THRESHOLDS), kde_tails(KINDS), FACTORS) + """
         SELECT ch_x, ch_y, rho_threshold, round(p_posterior, 6) AS p_posterior, round(p_prior, 6) AS p_prior,
                round(bf, 6) AS bf FROM factors""",
-    "kde_density": with_(PRIOR, ONE_DELTA, DENSITY),
-    "kde_tail": with_(PRIOR, ONE_DELTA, thresholds(CURVE), kde_tails("kind")) + """
-        SELECT kind, rho_threshold, round(p_above, 6) AS p_above, round(p_below, 6) AS p_below,
+    "kde_density": with_(*GRID_MODEL, PRIOR, DRAWS, SAMPLES, DENSITY),
+    "bayes_factor_curve_draws": with_(
+        *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds(FINE_CURVE), kde_tails(KINDS), FACTORS) + """
+        SELECT ch_x, ch_y, rho_threshold, round(CASE WHEN bf > 0 THEN log10(bf) ELSE CAST('nan' AS DOUBLE) END, 4) AS log10_bf
+        FROM (SELECT *, count(*) FILTER (bf > 0) OVER pair AS n_real, count(*) FILTER (bf <> 'inf'::DOUBLE) OVER pair AS n_finite
+              FROM factors WINDOW pair AS (PARTITION BY ch_x, ch_y)) WHERE n_real > 0 AND n_finite > 0""",
+    "kde_tail": with_(*GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds(CURVE), kde_tails(KINDS)) + f"""
+        SELECT {KINDS}, rho_threshold, round(p_above, 6) AS p_above, round(p_below, 6) AS p_below,
                round(p_empirical, 6) AS p_empirical FROM tails""",
     "result_report": with_(
         *GRID_MODEL, PRIOR, DRAWS, SAMPLES, thresholds([0.1]), kde_tails(KINDS), FACTORS) + _report_lines(),

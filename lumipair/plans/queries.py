@@ -405,18 +405,29 @@ def bayes_factor_draws(spark, sf):
     return factors.select(*PAIR, "rho_threshold", *rounded("p_posterior", "p_prior", "bf"))
 
 
+def _delta_draws(spark, sf):
+    samples, n = lineitem_samples(spark, sf)
+    return samples.select("kind", *PAIR, evidence.delta_rho().alias("delta_rho")), n
+
+
 def kde_density(spark, sf):
-    ids = order_draws(spark, sf)
-    draws = posterior.prior_draws(ids, SEED).select(F.lit("prior").alias("kind"), evidence.delta_rho().alias("delta_rho"))
-    curve = evidence.kde_density(draws, ["kind"], "delta_rho", rows_per_group=ids.count())
-    return curve.select("kind", "point", *rounded("x", "density"))
+    """Density of the difference of the levels, one curve per kind and pair of the line-item images."""
+    draws, n = _delta_draws(spark, sf)
+    curve = evidence.kde_density(draws, ["kind", *PAIR], "delta_rho", rows_per_group=n)
+    return curve.select("kind", *PAIR, "point", *rounded("x", "density", digits=5))
 
 
 def kde_tail(spark, sf):
-    ids = order_draws(spark, sf)
-    draws = posterior.prior_draws(ids, SEED).select(F.lit("prior").alias("kind"), evidence.delta_rho().alias("delta_rho"))
-    tail = evidence.kde_tail(draws, ["kind"], "delta_rho", CURVE, ids.count())
-    return tail.select("kind", "rho_threshold", *rounded("p_above", "p_below", "p_empirical"))
+    draws, n = _delta_draws(spark, sf)
+    tail = evidence.kde_tail(draws, ["kind", *PAIR], "delta_rho", CURVE, n)
+    return tail.select("kind", *PAIR, "rho_threshold", *rounded("p_above", "p_below", "p_empirical"))
+
+
+def bayes_factor_curve_draws(spark, sf):
+    """The curve of a result: from draws, at 161 thresholds."""
+    samples, n = lineitem_samples(spark, sf)
+    factors = evidence.draw_bayes_factors(samples, evidence.thresholds_between(-0.8, 0.8, 0.01), n)
+    return evidence.bayes_factor_curve(factors).select(*PAIR, "rho_threshold", F.round("log10_bf", 4).alias("log10_bf"))
 
 
 def report(spark, sf):
@@ -530,6 +541,7 @@ QUERIES: dict[str, Query] = {
     "bayes_factor": bayes_factor,
     "bayes_factor_curve": bayes_factor_curve,
     "bayes_factor_draws": bayes_factor_draws,
+    "bayes_factor_curve_draws": bayes_factor_curve_draws,
     "kde_density": kde_density,
     "kde_tail": kde_tail,
     "result_report": report,
