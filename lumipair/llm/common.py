@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,22 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors a copy of this package, once per application; Spark's own file server distributes it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for source in sorted(package.rglob("*.py")):
+                packed.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -49,6 +68,8 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``make`` to slices of every Arrow batch, inside the tasks that read the rows; no shuffle."""
 
+    ship(df.sparkSession)
+
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item in items:
             yield from map(make, slices(item))

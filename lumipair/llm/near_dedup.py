@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import SEED, batches, documents
+from lumipair.llm.common import SEED, batches, documents, ship
 from lumipair.llm.components import components
 from lumipair.shared import written
 
@@ -202,6 +202,7 @@ def _null_last(name: str):
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, large: int = LARGE) -> DataFrame:
     """One row per document: doc_id, fingerprint (hexadecimal), component_id (smallest doc_id of the component)."""
+    ship(docs.sparkSession)
     rows = written(docs.select("doc_id", _fingerprints(shingle_words)("text").alias("fp")), "fingerprints")
     found = _component_of(rows.withColumn("order", _null_last("doc_id")), large)
     return rows.join(found, "fp").select(
@@ -211,6 +212,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, large:
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The documents with the smallest doc_id of each component, with all their columns."""
+    ship(docs.sparkSession)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     rows = docs.select(row, _null_last("doc_id").alias("id"), _fingerprints(shingle_words)("text").alias("fp"))
     # Written with a number for each row, so that one of several equal rows can be told from the others.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import documents
+from lumipair.llm.common import documents, ship
 from lumipair.llm.token_files import library_memory
 from lumipair.llm.tokens import remembered, vocabulary, vocabulary_path
 from lumipair.shared import written
@@ -92,6 +92,7 @@ def pack_shard(rows: Iterable[tuple[int | None, int | None, str | None, int | No
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pack (doc_id, n_tokens, source, cluster): one row for each piece, with the bin and its place there."""
+    ship(docs.sparkSession)
     size = F.greatest(F.lit(1), F.coalesce("n_tokens", F.lit(1))) + ROW_TOKENS
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard_tokens))
@@ -134,6 +135,7 @@ def _token_lengths(texts: pd.Series) -> pd.Series:
 def packable(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, source, cluster) of documents. A cluster holds the texts with the same letters and digits, whatever
     their case, punctuation and white space."""
+    ship(docs.sparkSession)
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     return docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source", F.xxhash64(F.trim(plain)).alias("cluster"))
 

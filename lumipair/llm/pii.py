@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import batches, documents
+from lumipair.llm.common import batches, documents, ship
 
 KINDS = ["email", "ip", "card", "phone", "iban", "account"]
 BASE = KINDS[:4]
@@ -193,6 +193,7 @@ def _redact(texts: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with the kind in place of each span; of spans that overlap the first one names the place."""
+    ship(docs.sparkSession)
     others = F.struct(*[docs[c] for c in docs.columns if c != "text"], F.lit(0).alias("__some")).alias("__row")
     clean = docs.select(_redact(docs["text"]).alias("__clean"), others)
     made = {"text": F.col("__clean")}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import documents
+from lumipair.llm.common import documents, ship
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -114,6 +114,7 @@ def _failures() -> str:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The documents without their text, with their measurements and ``failures``."""
+    ship(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "failures", *MEASURES)]
     measured = docs.select(*[docs[c] for c in others], _measure(docs["text"]).alias("__measured"))
     return measured.select(*others, "__measured.*").withColumn("failures", F.expr(_failures()).cast("long"))

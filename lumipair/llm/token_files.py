@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumipair.llm.common import documents, texts_of, whole_text
+from lumipair.llm.common import documents, ship, texts_of, whole_text
 from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import new_table_path
 
@@ -138,6 +138,7 @@ def write_token_files(
     """Write the token files of ``docs`` under ``folder``, which all executors share; returns the manifest, written there
     too: (part, file, n_tokens, n_documents), one row per file in doc_id order."""
     spark, path = docs.sparkSession, path or vocabulary_path()
+    ship(spark)
     dtype = "<u2" if max(library_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select("doc_id", whole_text().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
@@ -176,6 +177,7 @@ def write_token_files(
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of written files: doc_id, start (ids before it in all files), n_tokens, ids_crc32, file, begin."""
+    ship(manifest.sparkSession)
     # One row per file.
     based = manifest.filter("n_documents > 0").selectExpr(
         "part", "file", "sum(n_tokens) over (order by part rows between unbounded preceding and current row) - n_tokens as base"
