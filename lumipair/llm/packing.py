@@ -23,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumipair.llm.common import documents, ship
-from lumipair.llm.token_files import library_memory
-from lumipair.llm.tokens import remembered, vocabulary, vocabulary_path
+from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import written
 
 CAPACITY = 2048
 SHARD_TOKENS = 6_000_000
 ROW_TOKENS = 32  # what a document counts besides its tokens, so that a shard of short ones stays small
+REMEMBERED_COUNTS = 1 << 19  # a worker of the pipeline keeps this through the other stages
 PACKED = "doc_id long, piece int, bin string, begin int, n_tokens int"
 
 
@@ -123,13 +124,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "bin", "begin", "n_tokens"])
 
 
+@lru_cache(maxsize=1)
+def _library_counts(path: str) -> Memory:
+    """Piece of text to the number of its tokens, by the tokenizers library."""
+    tokenizer = library_tokenizer(path)
+
+    def count(parts: list[bytes]) -> list[int]:
+        found = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+        return list(map(len, found))
+
+    return by_parts(vocabulary(path), count, sum, REMEMBERED_COUNTS)
+
+
 @F.pandas_udf(T.LongType())
 def _token_lengths(texts: pd.Series) -> pd.Series:
     """Tokens of each text, with the end of the document."""
     path = vocabulary_path()
-    library, own = library_memory(path, "<u2"), vocabulary(path)
-    found = remembered([(t or "").encode() for t in texts], own, library)
-    return pd.Series([1 + sum(map(len, f)) // 2 for f in found], dtype="int64")
+    found = remembered([(t or "").encode() for t in texts], vocabulary(path), _library_counts(path))
+    return pd.Series([1 + sum(f) for f in found], dtype="int64")
 
 
 def packable(docs: DataFrame) -> DataFrame:
