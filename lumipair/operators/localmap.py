@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumipair.operators.correlate import (
     MIN_SUPPORT,
     WHOLE_PATCH_PIXELS,
+    both_have_signal,
     check_pairs,
     pair_pixels,
     patch_rho,
@@ -52,29 +53,30 @@ def map_rho(
     if failed.isEmpty():
         return fine
 
-    # Grids whose patches could never hold enough pixels are not computed at all.
+    # First only counts, for every grid whose patches could hold enough pixels; then the correlations of the chosen grid.
     coarse = F.explode(F.array(*[F.lit(c) for c in candidates]))
     enough = F.expr("cast(height div resolution as bigint) * (width div resolution)") > min_support
     retried = lookup_join(scanlines, failed.select(*IMAGE).distinct(), IMAGE)
     retried = retried.withColumn("resolution", coarse).filter(enough)
     keys = [*IMAGE, *PAIR, "resolution", *PATCH]
+    usable = pair_pixels(retried, pairs, F.col("resolution")).filter(both_have_signal()).groupBy(*keys).count()
+    best = usable.filter(F.col("count") > min_support).groupBy(*IMAGE, *PAIR).agg(F.max("resolution").alias("resolution"))
+    chosen = written(best.join(failed, [*IMAGE, *PAIR], "left_semi"), "chosen")
+    lines = lookup_join(scanlines, chosen.select(*IMAGE, "resolution").distinct(), IMAGE)
     if method == "pearson":
-        tried = pearson(pair_pixels(retried, pairs, F.col("resolution")), keys)
-        tried = tried.withColumn("rho", F.when(F.col("n") > min_support, F.col("rho")))
+        again = pearson(pair_pixels(lines, pairs, F.col("resolution")), keys)
+        again = again.withColumn("rho", F.when(F.col("n") > min_support, F.col("rho"))).select(*_RESULT)
     else:
-        tried = None
-        for c in candidates:
+        again = fine.limit(0)
+        for c in sorted(r.resolution for r in chosen.select("resolution").distinct().collect()):
             one = patch_rho(
-                retried.filter(F.col("resolution") == c).drop("resolution"), c, pairs=pairs, method=method,
+                lines.filter(F.col("resolution") == c).drop("resolution"), c, pairs=pairs, method=method,
                 min_support=min_support, whole_patch=whole_patch,
-            ).withColumn("resolution", F.lit(c))
-            tried = one if tried is None else tried.unionByName(one)
-    tried = lookup_join(written(tried.select(*_RESULT), "coarse"), failed, [*IMAGE, *PAIR])
-    usable = F.when(F.col("n") > min_support, F.col("resolution"))
-    best = Window.partitionBy(*IMAGE, *PAIR)
-    chosen = tried.withColumn("_best", F.max(usable).over(best)).filter(F.col("resolution") == F.col("_best"))
+            )
+            again = again.unionByName(one.withColumn("resolution", F.lit(c)).select(*_RESULT))
+    again = again.join(chosen, [*IMAGE, *PAIR, "resolution"], "left_semi")
     kept = fine.join(has_value, [*IMAGE, *PAIR], "left_semi")
-    return kept.select(*_RESULT).unionByName(chosen.select(*_RESULT))
+    return kept.select(*_RESULT).unionByName(again.select(*_RESULT))
 
 
 def local_map(scanlines: DataFrame, n: int, **options) -> DataFrame:

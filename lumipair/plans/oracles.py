@@ -434,6 +434,29 @@ FROM tried JOIN best USING (condition, image_id, resolution)
 """
 
 
+FALLBACK_SPEARMAN = f"""
+cells AS (
+  SELECT a.condition, a.image_id, CAST(res AS INTEGER) AS resolution,
+         CAST(a."row" // (8 // res) + 1 AS INTEGER) AS patch_i, CAST(a.col // (8 // res) + 1 AS INTEGER) AS patch_j,
+         a.value AS x, b.value AS y
+  FROM px a JOIN px b ON a.condition = b.condition AND a.image_id = b.image_id AND a."row" = b."row" AND a.col = b.col
+         AND a.channel = 1 AND b.channel = 2, range(1, 5) AS q(res)
+  WHERE a."row" < res * (8 // res) AND a.col < res * (8 // res) AND a.value <> 0 AND b.value <> 0),
+counts AS (SELECT condition, image_id, resolution, patch_i, patch_j, count(*) AS n FROM cells GROUP BY ALL),
+best AS (SELECT condition, image_id, max(resolution) AS resolution FROM counts WHERE n > 15 GROUP BY ALL),
+ranks AS (
+  SELECT condition, image_id, resolution, patch_i, patch_j,
+         rank() OVER (patch ORDER BY x) + (count(*) OVER (PARTITION BY condition, image_id, resolution, patch_i, patch_j, x) - 1) / 2 AS rx,
+         rank() OVER (patch ORDER BY y) + (count(*) OVER (PARTITION BY condition, image_id, resolution, patch_i, patch_j, y) - 1) / 2 AS ry
+  FROM cells JOIN best USING (condition, image_id, resolution)
+  WINDOW patch AS (PARTITION BY condition, image_id, resolution, patch_i, patch_j))
+SELECT condition, image_id, 1 AS ch_x, 2 AS ch_y, resolution, patch_i, patch_j,
+       patch_j * (8 // resolution) AS x, (resolution - patch_i + 1) * (8 // resolution) AS y,
+       coalesce(round(CASE WHEN count(*) > 15 THEN corr(rx, ry) END, 6), CAST(-2 AS DOUBLE)) AS rho
+FROM ranks GROUP BY condition, image_id, resolution, patch_i, patch_j
+"""
+
+
 def _report_lines(digits: int = 6) -> str:
     columns = []
     for block, kind, column in (
@@ -581,6 +604,7 @@ ORACLES: dict[str, str] = {
                (20 - patch_i + 1) * (height // 20) AS y, coalesce(round(rho, 6), CAST(-2 AS DOUBLE)) AS rho
         FROM rho JOIN dims USING (condition, image_id)""",
     "local_map_fallback": with_(EMBEDDINGS, FALLBACK),
+    "local_map_fallback_spearman": with_(EMBEDDINGS, FALLBACK_SPEARMAN),
     "prior_draws_summary": with_(PRIOR) + stats("prior_draws", "", [
         f"{p}_{s}" for s in ("control", "sample") for p in ("mu", "nu", "sigma", "tau")]),
     "prior_draws_summary_distributed": with_(PRIOR) + stats("prior_draws", "", [

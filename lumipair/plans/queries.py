@@ -320,6 +320,11 @@ def local_map_fallback(spark, sf):
     return localmap.local_map(embeddings(spark, sf), 4, step=1).withColumn("rho", F.round("rho", 6))
 
 
+def local_map_fallback_spearman(spark, sf):
+    found = localmap.local_map(embeddings(spark, sf), 4, step=1, method="spearman")
+    return found.withColumn("rho", F.round("rho", 6))
+
+
 # ---- prior and posterior -------------------------------------------------------------------------------------------
 
 
@@ -531,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "block_control_rho": block_control_rho,
     "local_map": local_map,
     "local_map_fallback": local_map_fallback,
+    "local_map_fallback_spearman": local_map_fallback_spearman,
     "prior_draws_summary": prior_draws_summary,
     "prior_draws_summary_distributed": prior_draws_summary_distributed,
     "posterior_mu_marginal": posterior_mu_marginal,
