@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lumipair.functions.columns import key_number, random_key
 from lumipair.schema import IMAGE, channels_of, plain_columns, scanlines_schema
+from lumipair.shared import lookup_join
 from lumipair.sources.bands import to_pixels
 
 # Send this module's functions to the executors with the tasks, so they need no copy of the package.
@@ -190,8 +191,9 @@ def shuffle_blocks(
 ) -> DataFrame:
     """Permute square blocks of pixels; all channels of an image move together.
 
-    Whole image rows are joined to the moves of their row of blocks; only then are they cut, and what is shuffled to
-    build the new rows are runs of ``block`` pixels of all channels.
+    Whole image rows are joined to the moves of their row of blocks, a table smaller than the pixels by the block's size
+    that is broadcast up to the limit of ``lookup_join``; only then are rows cut, and what is shuffled to build the new rows
+    are runs of ``block`` pixels of all channels.
     """
     if block < 1:
         raise ValueError("a block is at least one pixel wide")
@@ -199,7 +201,7 @@ def shuffle_blocks(
     moves = block_moves(scanlines, block, seed, slice_rows).groupBy(*IMAGE, "from_i").agg(
         F.collect_list(F.struct("from_j", "to_i", "to_j")).alias("_moves")
     )
-    lines = scanlines.withColumn("from_i", F.expr(f"row div {block}")).join(moves, [*IMAGE, "from_i"])
+    lines = lookup_join(scanlines.withColumn("from_i", F.expr(f"row div {block}")), moves, [*IMAGE, "from_i"])
     planes = [f"c{c}" for c in channels]
     start = (F.col("from_j") * block + 1).cast("int")
     runs = lines.select(*IMAGE, "row", "height", "width", *planes, F.inline("_moves")).select(

@@ -56,9 +56,11 @@ def remove_written(spark: SparkSession) -> None:
 
 
 def table_bytes(lookup: DataFrame) -> int:
-    """The measured size of a lookup in memory: its strings as long as they are, 8 bytes for any other value, 32 a row."""
-    texts = [c for c, kind in lookup.dtypes if kind == "string"]
-    n, *lengths = lookup.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(c)) for c in texts]).first()
+    """The measured size of a lookup in memory: its strings as long as they are, 32 bytes for an array's element, 8 for any
+    other value and 32 for a row."""
+    texts = [F.sum(F.octet_length(c)) for c, kind in lookup.dtypes if kind == "string"]
+    arrays = [F.sum(32 * F.size(c)) for c, kind in lookup.dtypes if kind.startswith("array")]
+    n, *lengths = lookup.agg(F.count(F.lit(1)), *texts, *arrays).first()
     return n * (32 + 8 * len(lookup.columns)) + sum(x or 0 for x in lengths)
 
 
