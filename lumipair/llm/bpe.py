@@ -7,7 +7,8 @@ O(n log n) steps whatever it looks like.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; special strings inside a text are their
 own ids; ids without a token are skipped in decoding, as is null; every row is encoded on its own, whole, copies and
-repeated ids included; other columns stay as they are.
+repeated ids included; an empty table gives an empty result; other columns stay as they are, but for those named like a
+result, which it replaces.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ the id. Prediction reads every text whole and shuffles nothing.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if no language could be learned;
 languages with fewer than ``FEWEST`` labelled documents in the sample are not learned; rows with a null label are not
-used; repeated rows get equal answers; an empty table gives an empty result.
+used; repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

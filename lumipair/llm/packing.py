@@ -15,7 +15,7 @@ their own and the rest is packed like any other, as part of the same document.
 
 Defined results: a null source or cluster conflicts with nothing; a length that is null or below 1 counts as 1, the end
 of the document; documents of equal length come by id, null first, then by cluster; repeated rows are packed one by one;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

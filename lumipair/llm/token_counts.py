@@ -6,7 +6,8 @@ meanwhile changed is skipped. The count is the number of initial symbols minus t
 looked up.
 
 Defined results: a null or empty text has 0 tokens; special strings count as one token each; a text of any length is
-counted whole; rows are counted one by one, whatever ids or copies they have.
+counted whole; rows are counted one by one, whatever ids or copies they have; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
