@@ -193,7 +193,9 @@ def _component_of(rows: DataFrame, large: int = LARGE) -> DataFrame:
     linked = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "order")
     firsts = linked.groupBy("root").agg(F.min("order").alias("first"))
     linked = linked.join(firsts, "root").select("fp", "first")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "order").alias("first"))
+    found = distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "order").alias("first"))
+    # Written, so that the join with all rows, where one fingerprint may be hot, is a plain one that Spark can split.
+    return written(found, "fingerprint-components")
 
 
 def _null_last(name: str):
