@@ -24,8 +24,6 @@ from lumipair.llm.common import batches, documents, texts_of
 from lumipair.llm.tokens import Memory, by_parts, remembered, vocabulary, vocabulary_path
 
 NO_PAIR = 1 << 40
-# Fewer than elsewhere: a worker that decodes as well also holds texts.
-REMEMBERED_IDS = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -92,7 +90,7 @@ def _encoder(path: str) -> Memory:
                 found.extend(encode_word([own.ids[s] for s in own.symbols(word)], merges))
         return np.array(found, "<i4").tobytes()
 
-    return by_parts(own, lambda parts: list(map(ids, parts)), b"".join, REMEMBERED_IDS)
+    return by_parts(own, lambda parts: list(map(ids, parts)), b"".join)
 
 
 def _encode_batch(batch: pa.RecordBatch, path: str, text: str, ids: str) -> pa.RecordBatch:
@@ -105,14 +103,21 @@ def _encode_batch(batch: pa.RecordBatch, path: str, text: str, ids: str) -> pa.R
 
 
 def _decode_batch(batch: pa.RecordBatch, path: str, ids: str, text: str) -> pa.RecordBatch:
-    tokens, by_bytes = _tokens(path), vocabulary(path).decoder == "ByteLevel"
+    tokens, by_bytes = vocabulary(path).token, vocabulary(path).decoder == "ByteLevel"
     texts = []
     for row in batch.column(ids):
-        found = [t for i in row.values.to_numpy(zero_copy_only=False).tolist() if 0 <= i < len(tokens) and (t := tokens[i]) is not None] if row.is_valid else []
+        found = _tokens_of(row.values.to_numpy(zero_copy_only=False).tolist(), tokens) if row.is_valid else []
         texts.append(_text_of_symbols(found) if by_bytes else " ".join(found))
     return batch.append_column(text, pa.array(texts, pa.string()))
 
 
+def _tokens_of(ids: list[int], tokens: dict[int, str]) -> list[str]:
+    try:
+        return list(map(tokens.__getitem__, ids))
+    except KeyError:
+        return [tokens[i] for i in ids if i in tokens]
+
+
 def _columns(df: DataFrame, but: tuple[str, ...]) -> str:
     return "".join(f"`{name}` {kind}, " for name, kind in df.dtypes if name not in but)
 
@@ -139,12 +144,6 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     return batches(rows, lambda b: _decode_batch(_encode_batch(b, path, "text", "ids"), path, "ids", "decoded"), schema)
 
 
-@lru_cache(maxsize=4)
-def _tokens(path: str) -> list[str | None]:
-    token = vocabulary(path).token
-    return [token.get(i) for i in range(max(token) + 1)]
-
-
 @lru_cache(maxsize=1)
 def _byte_of_symbol() -> dict[str, int]:
     """Printable stand-ins of bytes: bytes that print stand for themselves, the rest count up from 256."""
