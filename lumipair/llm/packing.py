@@ -38,7 +38,6 @@ from lumipair.shared import written
 CAPACITY = 2048
 SHARD_TOKENS = 6_000_000
 ROW_TOKENS = 32  # what a document counts besides its tokens, so that a shard of short ones stays small
-REMEMBERED_COUNTS = 1 << 19  # a worker of the pipeline keeps this through the other stages
 PACKED = "doc_id long, piece int, bin string, begin int, n_tokens int"
 
 
@@ -133,7 +132,7 @@ def _library_counts(path: str) -> Memory:
         found = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return list(map(len, found))
 
-    return by_parts(vocabulary(path), count, sum, REMEMBERED_COUNTS)
+    return by_parts(vocabulary(path), count, sum)
 
 
 @F.pandas_udf(T.LongType())

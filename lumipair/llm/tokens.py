@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = "word_bpe_49k.json"
-# Pieces remembered in each Python worker, some 100 bytes each, and as many parts.
+# Pieces remembered in each Python worker, some 150 bytes each, and as many parts.
 REMEMBERED = 1 << 20
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GROUP_BYTES = 4_000_000
