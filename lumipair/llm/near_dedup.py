@@ -19,8 +19,11 @@ key meet in a bucket, where the actual distance is verified.
 
 Defined results: A-Z are lowered, words are runs of anything but ASCII white space; a text of fewer words than a shingle
 is one shingle; a null text or one without words has fingerprint 0, which links like any other; repeated rows are in one
-component; null ids count as larger than all others; an empty table gives an empty result; ``keep_one`` keeps all other
-columns, whatever their names, and of each component the row with the smallest doc_id, whichever of repeated rows.
+component; null ids count as larger than all others; an empty table gives an empty result.
+
+``keep_one`` takes no fingerprints: its links are those of ``similar``, a Jaccard similarity of five-word shingles of 0.8
+or more. It keeps all other columns, whatever their names, and of each component the row with the smallest doc_id,
+whichever of repeated rows; texts without words are in one component.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumipair.llm import similar
 from lumipair.llm.common import SEED, batches, documents, ship
 from lumipair.llm.components import components
 from lumipair.shared import written
@@ -186,10 +190,13 @@ def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "u long, v long")
 
 
-def _component_of(rows: DataFrame, large: int = LARGE) -> DataFrame:
-    """(fp, first) from rows with fp and an orderable ``order``: the smallest ``order`` of the component of each fp."""
+def _component_of(rows: DataFrame, large: int = LARGE, linked: DataFrame | None = None) -> DataFrame:
+    """(fp, first) from rows with fp and an orderable ``order``: the smallest ``order`` of the component of each fp.
+
+    ``linked`` has the links; without it they are those of fingerprints.
+    """
     distinct = written(rows.groupBy("fp").agg(F.min("order").alias("order")), "fingerprints-distinct")
-    roots = written(components(links(distinct, large)), "fingerprint-roots")
+    roots = written(components(links(distinct, large) if linked is None else linked), "fingerprint-roots")
     linked = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "order")
     firsts = linked.groupBy("root").agg(F.min("order").alias("first"))
     linked = linked.join(firsts, "root").select("fp", "first")
@@ -212,16 +219,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, large:
     )
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all their columns."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of each component of similar texts, with all their columns."""
     ship(docs.sparkSession)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(row, _null_last("doc_id").alias("id"), _fingerprints(shingle_words)("text").alias("fp"))
+    found = similar.described(similar.common_shingles(docs))(docs["text"]).alias("s")
     # Written with a number for each row, so that one of several equal rows can be told from the others.
-    rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "fingerprinted")
-    slim = rows.select("fp", "number", F.struct("id.unknown", "id.id", "number").alias("order"))
-    found = _component_of(slim)
-    dropped = slim.join(found, "fp").filter("first.number <> number").select("number")
+    rows = written(docs.select(row, _null_last("doc_id").alias("id"), found).withColumn("number", F.monotonically_increasing_id()), "similar-rows")
+    slim = rows.select(F.col("s.fp").alias("fp"), "number", F.struct("id.unknown", "id.id", "number").alias("order"))
+    first = _component_of(slim, linked=similar.links(rows.select("number", F.col("row.text").alias("text"), "s")))
+    dropped = slim.join(first, "fp").filter("first.number <> number").select("number")
     return rows.join(dropped, "number", "left_anti").select("row.*")
 
 
