@@ -16,8 +16,8 @@ iban     a cue, or "XX99"    country code, two check digits and up to 30 charact
 account  account, acct, ...  a number of 6 to 18 digits right after the cue
 =======  ==================  =======================================================================
 
-Spans are code points, end exclusive. Spans of one kind never overlap; a candidate that fails its validation is dropped
-and its characters are not tried again for that kind.
+Spans are code points, end exclusive. Spans of one kind never overlap; a candidate of the first four kinds that fails its
+validation is dropped and its characters are not tried again for that kind.
 
 Defined results: a null or empty text has no spans; texts are read whole, whatever their length; every row is treated on
 its own; an empty table gives an empty result; ``redact`` keeps all other columns, and adjusts ``n_chars`` where there is
@@ -48,6 +48,16 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_BEGIN = re.compile(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]")
+CUE_REACH = 60  # characters from a cue, or from the number before, to the begin of a number
+# Length of an account number by the country code of the registry.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTH.items() for country in countries.split()}
 ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.IGNORECASE)
 ACCOUNT_CUES = ["account", "acct", "passport", "ssn", "konto", "cuenta", "compte"]
 SPAN = "array<struct<kind:string,begin:int,end:int>>"
@@ -119,12 +129,34 @@ def _phone(text: str, at: int) -> tuple[int, int, bool] | None:
 
 
 def _iban(text: str, at: int) -> tuple[int, int, bool] | None:
-    found = IBAN.search(text, at, at + 60)
+    """The number that begins here. Its country gives its length; of one that is not listed, the longest valid length is taken."""
+    found = IBAN.match(text, at)
     if not found:
         return None
-    code = found[0].replace(" ", "")
-    number = int("".join(str(int(c, 36)) for c in code[4:] + code[:4]))
-    return *found.span(), len(code) <= 34 and number % 97 == 1
+    places = [i for i in range(at, found.end()) if text[i] != " "]
+    listed = IBAN_LENGTH.get(text[at:at + 2])
+    for n in [listed] if listed else range(len(places), 14, -1):
+        if n <= len(places):
+            end = places[n - 1] + 1
+            code = "".join(text[i] for i in places[:n])
+            number = int("".join(str(int(c, 36)) for c in code[4:] + code[:4]))
+            if number % 97 == 1 and not text[end:end + 1].isalnum():
+                return at, end, True
+    return None
+
+
+def _ibans(text: str, at: int) -> Iterator[tuple[int, int, bool]]:
+    """Numbers behind a cue that ends here, each in reach of the cue or of the one before."""
+    cue, limit = at, at + CUE_REACH
+    while begin := IBAN_BEGIN.search(text, at, limit + 6):
+        at = begin.start()
+        if at > limit:
+            return
+        found = _iban(text, at) if at == cue or not text[at - 1].isalnum() else None
+        if found:
+            yield found
+        at = found[1] if found else at + 1
+        limit = at + CUE_REACH if found else limit
 
 
 def _account(text: str, at: int) -> tuple[int, int, bool] | None:
@@ -158,8 +190,8 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
             if at >= done[kind]:
                 take(kind, _phone(text, at))
         elif kind == "iban":
-            if at >= done[kind]:
-                take(kind, _iban(text, last + 1))
+            for found in _ibans(text, max(last + 1, done[kind])):
+                take(kind, found)
         elif at >= done[kind] and not text[at - 1:at].isalnum():
             take(kind, _account(text, last + 1))
     return sorted(spans)
