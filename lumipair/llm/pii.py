@@ -1,7 +1,8 @@
 """Personal data by expansion of anchors.
 
 An Aho-Corasick automaton walks over each text once and reports short anchors: at-signs, plus signs before a digit,
-pairs of digits, single separators between digits, and words that announce an account or identifier. Around each
+pairs of digits, single separators between digits, schemes, country codes before two digits, and words that announce an
+account or identifier. Around each
 anchor a local parser of that kind expands to the boundaries of the candidate and validates it; text without an anchor
 is not looked at again.
 
@@ -12,10 +13,15 @@ email    @                   local part to the left, labels of the host to the r
 ip       digit.digit         four numbers up to 255 in the surrounding run of digits and dots
 card     two digits          12 to 19 digits in single groups, Luhn
 phone    + and a digit       9 to 15 digits with spaces, dots, hyphens and brackets
-iban     a cue, or "XX99"    country code, two check digits and up to 30 characters, modulo 97
+iban     IBAN, or DE99, ...  country code, two check digits and up to 30 characters, modulo 97
 account  account, acct, ...  a number of 6 to 18 digits right after the cue
+url      ://                 scheme to the left, address to the right; with a user's name, or a profile
+url      mailto:, tel:, sms: the address or the number of 5 to 15 digits right after the scheme
 =======  ==================  =======================================================================
 
+A country code is an anchor if it is in the registry; numbers of other countries need the cue, as their length is not
+known. Addresses that name no person (no user before the host, no profile in the path) are no personal data and stay.
+
 Spans are code points, end exclusive. Spans of one kind never overlap; a candidate of the first four kinds that fails its
 validation is dropped and its characters are not tried again for that kind.
 
@@ -39,7 +45,7 @@ from pyspark.sql import types as T
 
 from lumipair.llm.common import batches, documents, ship
 
-KINDS = ["email", "ip", "card", "phone", "iban", "account"]
+KINDS = ["email", "ip", "card", "phone", "iban", "account", "url"]
 BASE = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -60,6 +66,12 @@ IBAN_LENGTH = {
 IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTH.items() for country in countries.split()}
 ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.IGNORECASE)
 ACCOUNT_CUES = ["account", "acct", "passport", "ssn", "konto", "cuenta", "compte"]
+SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
+PERSON = re.compile(r"[^/?#]*@|[^/?#]+/(?:[^?#]*/)?(?:~|@|(?:u|users?|in|profiles?|people|members?)/)[^/?#]|[^/?#]+/profile\.php\?", re.IGNORECASE)
+MAILBOX = re.compile(r"[^\s<>\"'`?,;:@]+@[^\s<>\"'`?,;:@]+")
+NUMBER = re.compile(r"\+?\(?[0-9][().0-9-]*[0-9]")
+SCHEMES = {"mailto:": MAILBOX, "tel:": NUMBER, "sms:": NUMBER}
 SPAN = "array<struct<kind:string,begin:int,end:int>>"
 
 
@@ -78,7 +90,16 @@ def anchors() -> ahocorasick.Automaton:
     for cue in ACCOUNT_CUES:
         for written in (cue, cue.capitalize(), cue.upper()):
             found.add_word(written, ("account", len(written) - 1))
-    found.add_word("IBAN", ("iban", 3))
+    for written in ("IBAN", "Iban", "iban"):
+        found.add_word(written, ("iban", 3))
+    for country in IBAN_LENGTH:
+        for a in digits:
+            for b in digits:
+                found.add_word(f"{country}{a}{b}", ("bare", 3))
+    found.add_word("://", ("url", 2))
+    for scheme in SCHEMES:
+        for written in (scheme, scheme.capitalize(), scheme.upper()):
+            found.add_word(written, ("scheme", len(written) - 1))
     found.make_automaton()
     return found
 
@@ -164,6 +185,31 @@ def _account(text: str, at: int) -> tuple[int, int, bool] | None:
     return (*found.span(1), True) if found else None
 
 
+def _url(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
+    begin = at
+    while begin > floor and text[begin - 1] in SCHEME_CHARS:
+        begin -= 1
+    while begin < at and not text[begin].isalpha():
+        begin += 1
+    found = ADDRESS.match(text, at + 3) if begin < at else None
+    if not found:
+        return None
+    address = found[0].rstrip(".,;:!?*_")
+    while address.endswith(")") and address.count(")") > address.count("("):
+        address = address[:-1].rstrip(".,;:!?*_")
+    return begin, at + 3 + len(address), bool(PERSON.match(address))
+
+
+def _scheme(text: str, at: int, end: int) -> tuple[int, int, bool] | None:
+    name = text[at:end].lower()
+    found = SCHEMES[name].match(text, end)
+    if not found:
+        return None
+    address = found[0].rstrip(".!*_)")
+    fits = address[-1] != "@" if name == "mailto:" else 5 <= sum(c.isdigit() for c in address) <= 15
+    return end, end + len(address), fits
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(begin, number of the kind, end), ordered; kinds are numbered as listed."""
     spans: list[tuple[int, int, int]] = []
@@ -192,6 +238,15 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         elif kind == "iban":
             for found in _ibans(text, max(last + 1, done[kind])):
                 take(kind, found)
+        elif kind == "bare":
+            if at >= done["iban"] and not text[at - 1:at].isalnum():
+                take("iban", _iban(text, at))
+        elif kind == "url":
+            if at >= done[kind]:
+                take(kind, _url(text, at, done[kind]))
+        elif kind == "scheme":
+            if at >= done["url"] and not text[at - 1:at].isalnum():
+                take("url", _scheme(text, at, last + 1))
         elif at >= done[kind] and not text[at - 1:at].isalnum():
             take(kind, _account(text, last + 1))
     return sorted(spans)

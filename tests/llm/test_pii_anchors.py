@@ -22,3 +22,19 @@ def test_account_numbers_end_where_they_end(text, found):
         number = f"ZZ{check:02d} 1234 5678 9012 345"
         text, found = f"IBAN {number}, EUR", [number]
     assert added(text) == [(x, "iban") for x in found]
+
+
+@pytest.mark.parametrize("text, found", [
+    (DE, [(DE, "iban")]), (f"Iban: {DE}", [(DE, "iban")]), (f"my iban {GB} and {NO}.", [(GB, "iban"), (NO, "iban")]),
+    ("DE88 3704 0044 0532 0130 00, XDE89370400440532013000", []), (f"DE88 {DE}", [(DE, "iban")]),
+    ("see https://user:pw@host/ or (ftp://me@files.org/a).", [("https://user:pw@host/", "url"), ("ftp://me@files.org/a", "url")]),
+    ("HTTP://a.org/~jane, https://b.org/users/joe?x=1! https://c.org/@me", [("HTTP://a.org/~jane", "url"), ("https://b.org/users/joe?x=1", "url"), ("https://c.org/@me", "url")]),
+    ("http://www.apache.org/licenses/LICENSE-2.0 https://x.org/?q=@a :// http:// ://a@b", []),
+    ("mailto:root@localhost tel:030-1234567, Tel:(030)1234567 hotel:12345 tel:12", [("root@localhost", "url"), ("030-1234567", "url"), ("(030)1234567", "url")]),
+])
+def test_bare_numbers_and_schemes(text, found):
+    assert added(text) == found
+
+
+def test_redaction_names_the_first_span():
+    assert pii.redacted(f"pay {DE}; mailto:a@b.cd https://u:p@b.cd/x") == "pay <IBAN>; mailto:<EMAIL> <URL>"
