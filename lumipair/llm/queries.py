@@ -12,11 +12,14 @@ from lumipair.llm import (
     language,
     near_dedup,
     packing,
+    periodic_runs,
     pii,
     quality_classifier,
     quality_rules,
+    substring_dedup,
     token_counts,
     token_files,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
