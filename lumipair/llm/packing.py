@@ -38,6 +38,8 @@ from lumipair.shared import written
 CAPACITY = 2048
 SHARD_TOKENS = 6_000_000
 ROW_TOKENS = 32  # what a document counts besides its tokens, so that a shard of short ones stays small
+# Other stages of a pipeline use the same workers, so that this one remembers less than the others.
+REMEMBERED_BYTES = 48_000_000
 PACKED = "doc_id long, piece int, bin string, begin int, n_tokens int"
 
 
@@ -132,7 +134,7 @@ def _library_counts(path: str) -> Memory:
         found = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return list(map(len, found))
 
-    return by_parts(vocabulary(path), count, sum)
+    return by_parts(vocabulary(path), count, sum, REMEMBERED_BYTES)
 
 
 @F.pandas_udf(T.LongType())

@@ -1,7 +1,7 @@
 """What the token operators share: vocabulary files and memory for the pieces of text seen before.
 
 A vocabulary whose words end in a suffix and that lowers its text drops white space, so that no token crosses ASCII white space and a text is
-tokenized piece by piece. Natural text repeats its pieces, so every worker remembers a bounded number of them.
+tokenized piece by piece. Natural text repeats its pieces, so every worker remembers them, up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,8 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 WORD_BPE = "word_bpe_49k.json"
-# Pieces remembered in each Python worker, some 150 bytes each, and as many parts.
-REMEMBERED = 1 << 20
+# What each Python worker remembers of pieces, in bytes of its own memory, and as much of parts.
+REMEMBERED_BYTES = 160_000_000
+ENTRY_BYTES = 150  # of a piece besides its text
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 GROUP_BYTES = 4_000_000
 # Longer pieces are rare and not worth remembering.
@@ -41,43 +43,36 @@ def library_tokenizer(path: str) -> Tokenizer:
     return found
 
 
-def parts(piece: bytes) -> list[bytes]:
-    """A piece as parts that are tokenized like the whole, and that repeat more often than pieces do.
-
-    Letters with marks behind them are two words of their own, and ASCII letters are lowered; anything else stays whole.
-    For vocabularies that drop white space and case.
-    """
-    core = piece.rstrip(MARKS)
-    mark = [piece[len(core):]] if len(core) < len(piece) else []
-    if core.isalpha():  # of bytes: ASCII letters only
-        return [core.lower(), *mark]
-    return [core, *mark] if mark and core.decode("utf-8", "replace").isalpha() else [piece]
-
-
 class Memory:
-    """``make(pieces)`` for pieces of text, with the results of short pieces remembered up to a bound."""
+    """``make(pieces)`` for pieces of text, with the results of short pieces remembered up to a bound of bytes."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[Any]], remembered: int = REMEMBERED):
-        self.make, self.remembered = make, remembered
+    def __init__(self, make: Callable[[list[bytes]], list[Any]], most_bytes: int = REMEMBERED_BYTES):
+        self.make, self.most_bytes, self.held = make, most_bytes, 0
         self.known: dict[bytes, Any] = {}
 
     def learn(self, pieces: set[bytes]) -> list[bytes]:
         """Make what is not known of ``pieces``; returns the long ones among them, which are to be forgotten after use."""
         fresh = pieces.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > self.remembered:
+        if fresh and self.held > self.most_bytes:
             self.known.clear()
-            fresh = pieces
+            self.held, fresh = 0, pieces
         new = list(fresh)
-        self.known.update(zip(new, self.make(new) if new else [], strict=True))
+        made = self.make(new) if new else []
+        self.known.update(zip(new, made, strict=True))
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(len(m) for m in made if isinstance(m, bytes))
         return [p for p in new if len(p) > LONGEST_REMEMBERED]
 
+    def forget(self, pieces: list[bytes]) -> None:
+        for piece in pieces:
+            made = self.known.pop(piece)
+            self.held -= ENTRY_BYTES + len(piece) + (len(made) if isinstance(made, bytes) else 0)
+
     def each(self, groups: list[list[bytes]]) -> Iterator[list[Any]]:
         """The results for each list of pieces; what is not known is made together."""
         long = self.learn(set().union(*groups))
         for pieces in groups:
             yield list(map(self.known.__getitem__, pieces))
-        for piece in long:
-            del self.known[piece]
+        self.forget(long)
 
     def of(self, pieces: list[bytes]) -> list[Any]:
         return next(iter(list(self.each([pieces]))))
@@ -96,21 +91,20 @@ def remembered(texts: list[bytes], own: Vocabulary, memory: Memory) -> Iterator[
 
 
 def by_parts(
-    own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Callable[[list[Any]], Any], remembered: int = REMEMBERED
+    own: Vocabulary, make: Callable[[list[bytes]], list[Any]], join: Callable[[list[Any]], Any], most_bytes: int = REMEMBERED_BYTES
 ) -> Memory:
     """Memory for pieces whose results are joined from those of their parts, which are remembered as well."""
-    known = Memory(make, remembered)
+    known = Memory(make, most_bytes)
 
     def made(pieces: list[bytes]) -> list[Any]:
         cut = list(map(own.parts, pieces))
         long = known.learn(set(chain.from_iterable(cut)))
         of = known.known.__getitem__
         joined = [of(c[0]) if len(c) == 1 else join(map(of, c)) for c in cut]
-        for part in long:
-            del known.known[part]
+        known.forget(long)
         return joined
 
-    return Memory(made, remembered)
+    return Memory(made, most_bytes)
 
 
 class Vocabulary:
@@ -134,6 +128,7 @@ class Vocabulary:
         if self.decoder not in (None, "ByteLevel"):
             raise ValueError(f"{path} has a decoder that is not supported: {self.decoder}")
         self._library = library_tokenizer(path)
+        self._letters: dict[str, bool] = {}
         normalizers = (spec.get("normalizer") or {}).get("normalizers") or []
         self.by_piece = bool(self.word_end) and any(n["type"] == "Lowercase" for n in normalizers)
 
@@ -141,7 +136,27 @@ class Vocabulary:
         return text.split() if self.by_piece else [text] if text else []
 
     def parts(self, piece: bytes) -> list[bytes]:
-        return parts(piece) if self.by_piece else [piece]
+        """A piece as parts that are tokenized like the whole, and that repeat more often than pieces do.
+
+        Letters with marks behind them are two words of their own, and ASCII letters are lowered; anything else stays whole.
+        For vocabularies that drop white space and case.
+        """
+        if not self.by_piece:
+            return [piece]
+        core = piece.rstrip(MARKS)
+        mark = [piece[len(core):]] if len(core) < len(piece) else []
+        if core.isalpha():  # of bytes: ASCII letters only
+            return [core.lower(), *mark]
+        return [core, *mark] if mark and core and all(map(self.is_letter, core.decode("utf-8", "replace"))) else [piece]
+
+    def is_letter(self, character: str) -> bool:
+        """Whether the library, after normalisation, takes a character as letters only and so parts it from a mark behind it."""
+        known = self._letters.get(character)
+        if known is None:
+            normalized = self._library.normalizer.normalize_str(character)
+            alone = all(unicodedata.category(c)[0] == "L" for c in normalized)
+            known = self._letters[character] = alone and [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normalized + '"')][1:] == ['"']
+        return known
 
     def words(self, piece: bytes) -> list[str | int]:
         """The words of a piece, as strings of byte symbols; a special token is given by its id."""

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from test_dedup_operators import slow_components, slow_fingerprint
+from test_similar import slow_kept
 
 from lumipair.llm import packing, pii, quality_rules
 from lumipair.llm.queries import QUERIES
@@ -90,8 +90,8 @@ def slow_pipeline(rows):
     for i, t in kept:
         best[t] = max(best.get(t, i), i)
     kept = [(i, t) for t, i in best.items()]
-    of = slow_components([i for i, _ in kept], [slow_fingerprint(t) for _, t in kept])
-    return {i: pii.redacted(t) for (i, t), c in zip(kept, of, strict=True) if i == c}
+    kept.sort()
+    return {kept[k][0]: pii.redacted(kept[k][1]) for k in slow_kept([t for _, t in kept])}
 
 
 def test_pipeline_matches_brute_force(spark):

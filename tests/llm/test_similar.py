@@ -42,7 +42,7 @@ def planted(rng):
 @pytest.mark.parametrize("small", [similar.SMALL, 2])
 def test_planted_near_copies_match_brute_force(spark, monkeypatch, small):
     texts = planted(random.Random(5))
-    monkeypatch.setattr(similar.links, "__defaults__", (small,))
+    monkeypatch.setattr(similar.links, "__defaults__", (small, 16 if small < similar.SMALL else similar.PIECE))
     monkeypatch.setattr(similar, "SAMPLE", 50)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(5)
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == slow_kept(texts)
@@ -70,3 +70,17 @@ def test_group_of_near_copies(spark):
         texts.append(" ".join(words))
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == slow_kept(texts)
+
+
+def test_texts_with_a_common_passage_make_few_rows(spark, monkeypatch):
+    """2,000 texts that share three quarters of their words, none of them similar enough."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(33))
+    texts = [" ".join([*(f"w{rng.randrange(10 ** 9)}" for _ in range(5)), passage]) for _ in range(2000)]
+    made = []
+    plain = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, label: made.append((label, plain(df, label))) or made[-1][1])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    assert near_dedup.keep_one(docs).count() == 2000
+    rows = {label: df.count() for label, df in made if label in ("similar-candidates", "similar-pairs", "similar-placed")}
+    assert sum(rows.values()) < 5 * 2000, rows

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -6,7 +7,7 @@ import pytest
 
 from lumipair.llm import bpe, token_counts, token_files
 from lumipair.llm.queries import QUERIES
-from lumipair.llm.tokens import library_tokenizer, parts, vocabulary, vocabulary_path
+from lumipair.llm.tokens import Memory, library_tokenizer, vocabulary, vocabulary_path
 from lumipair.shared import new_table_path
 
 SF = "/root/testdata/sf0.001"
@@ -59,13 +60,38 @@ def test_heap_and_tree_merge_like_the_naive_loop():
 
 
 def test_parts_are_tokenized_like_the_whole(library):
-    rng = random.Random(6)
+    rng, parts = random.Random(6), vocabulary(vocabulary_path()).parts
     for _ in range(2000):
         piece = "".join(rng.choice(["a", "B", "é", "É", ".", "'", "s", "!", "1", "|", "<", "ß", "-"]) for _ in range(rng.randint(1, 8)))
         joined = [i for p in parts(piece.encode()) for i in library.encode(p.decode(), add_special_tokens=False).ids]
         assert joined == library.encode(piece, add_special_tokens=False).ids, piece
 
 
+def test_every_letter_with_a_mark_behind(library):
+    own = vocabulary(vocabulary_path())
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for before, mark in (("", '"'), ("a", "'"), ("\u0e01", "-")):
+        pieces = [before + c + mark for c in letters]
+        whole = [e.ids for e in library.encode_batch(pieces, add_special_tokens=False)]
+        cut = [own.parts(p.encode()) for p in pieces]
+        flat = library.encode_batch([p.decode() for c in cut for p in c], add_special_tokens=False)
+        at, wrong = 0, []
+        for piece, want, parts in zip(pieces, whole, cut, strict=True):
+            got = [i for e in flat[at:at + len(parts)] for i in e.ids]
+            at += len(parts)
+            if got != want:
+                wrong.append(piece)
+        assert not wrong
+
+
+def test_memory_is_bounded_by_bytes():
+    memory = Memory(lambda pieces: [p * 2 for p in pieces], 50_000)
+    for i in range(200):
+        pieces = [b"%d-%d" % (i, k) for k in range(20)] + [b"x" * 1000]
+        assert memory.of(pieces) == [p * 2 for p in pieces]
+        assert memory.held <= 60_000 and len(memory.known) <= 400 and b"x" * 1000 not in memory.known
+
+
 def test_encode_decode_and_counts_match_the_library(odd, library):
     got = bpe.decode(bpe.encode(odd)).join(token_counts.token_counts(odd).dropDuplicates(), "doc_id").collect()
     assert len(got) == len(ODD) + 1
@@ -130,8 +156,16 @@ def test_empty_table(spark):
 
 
 def test_queries_over_the_documents(spark, library):
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for name in ("op1_token_files", "op3_bpe", "op4_token_counts"):
-        got = QUERIES[name](spark, SF).collect()
-        extra = 1 if name == "op1_token_files" else 0
-        assert {r.doc_id: r.n_tokens - extra for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in docs}
+    start = 0
+    got = {r.doc_id: r for r in QUERIES["op1_token_files"](spark, SF).collect()}
+    for i, _ in docs:
+        ended = [*ids[i], 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ended), zlib.crc32(np.array(ended, "<u4").tobytes()))
+        start += len(ended)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op3_bpe"](spark, SF).collect()}
+    assert got == {i: (len(x), sha(" ".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op4_token_counts"](spark, SF).collect()}
+    assert got == {i: (len(t.encode()), len(ids[i]), len(ids[i]) > 2048) for i, t in docs}
