@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -50,6 +51,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return memory that is free to the system, so that a worker's stages do not add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # Rows of an Arrow batch are worked on in slices of about so many bytes, so that Python holds little at a time.
 SLICE_BYTES = 4_000_000
 
@@ -65,6 +74,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+def each_slice(texts: pa.Array, make: Callable[[list[bytes]], pa.Array]) -> pa.Array:
+    """``make`` of the texts (null: empty) of an array, a slice of some megabytes at a time."""
+    parts = [make(texts_of(part.column(0))) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))] if len(texts) else [make([])]
+    give_back()
+    return pa.concat_arrays(parts)
+
+
 def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``make`` to slices of every Arrow batch, inside the tasks that read the rows; no shuffle."""
 
@@ -73,5 +89,6 @@ def batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item in items:
             yield from map(make, slices(item))
+        give_back()
 
     return df.mapInArrow(run, schema)

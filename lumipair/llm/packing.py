@@ -25,13 +25,12 @@ from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import documents, ship
+from lumipair.llm.common import documents, each_slice, ship
 from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import written
 
@@ -137,12 +136,12 @@ def _library_counts(path: str) -> Memory:
     return by_parts(vocabulary(path), count, sum, REMEMBERED_BYTES)
 
 
-@F.pandas_udf(T.LongType())
-def _token_lengths(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def _token_lengths(texts: pa.Array) -> pa.Array:
     """Tokens of each text, with the end of the document."""
     path = vocabulary_path()
-    found = remembered([(t or "").encode() for t in texts], vocabulary(path), _library_counts(path))
-    return pd.Series([1 + sum(f) for f in found], dtype="int64")
+    own, known = vocabulary(path), _library_counts(path)
+    return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known)], pa.int64()))
 
 
 def packable(docs: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumipair.llm.common import documents, ship
+from lumipair.llm.common import documents, each_slice, ship
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -102,10 +102,13 @@ def measure_text(text: str) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
-def _measure(texts: pd.Series) -> pd.DataFrame:
-    found = np.array([measure_text(t or "") for t in texts], np.int64).reshape(-1, len(MEASURES))
-    return pd.DataFrame(found, columns=MEASURES)
+@F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
+def _measure(texts: pa.Array) -> pa.Array:
+    def measured(part: list[bytes]) -> pa.Array:
+        found = np.array([measure_text(t.decode()) for t in part], np.int64).reshape(-1, len(MEASURES))
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(MEASURES))], names=list(MEASURES))
+
+    return each_slice(texts, measured)
 
 
 def _failures() -> str:

@@ -5,13 +5,16 @@ document with a smaller id.
 
 1. *Partition sketches.* Every task counts its windows in a count-min sketch of ``ROWS`` rows of cells and sends what is not
    zero: for each segment of 65,536 cells the cells met once and those met more often, as two-byte offsets.
-2. *Merged sketch.* Segments are dealt over tasks and added up as a stream. Only one bit a cell is kept: met
-   more than once. The count of a window is never underestimated, so that a window found twice has its bit in every row.
-3. *Exact pass.* Windows with all bits set are grouped by their 96-bit hashes for the smallest id, combined before the
-   shuffle, so that a passage of a third of all documents is a few rows; then joined with those of each document.
+2. *Merged sketch.* Segments are dealt over tasks and added up as a stream. Only bits are kept of a cell: met more than
+   once, and met more than ``HOT`` times. The count of a window is never underestimated, so that a window found twice has
+   its bit in every row.
+3. *Exact pass.* Windows with all bits set are dealt by their 96-bit hashes, once, and sorted by id, so that a task reads the
+   smallest id of a window first and passes on the rows behind it. For windows that are hot by the sketch the smallest
+   ids are combined before a shuffle of their own, and their rows are dealt to ``SALTS`` places, each of which is
+   given that id.
 4. The words of the windows found are dropped, in the tasks that hold the texts.
 
-The sketch has about three cells for each window up to ``2 ** MAX_BITS`` cells a row (32 MB of bits in all, the bound of what
+The sketch has about three cells for each window up to ``2 ** MAX_BITS`` cells a row (64 MB of bits in all, the bound of what
 is broadcast). Above some hundred million windows its bits fill up, and more and more windows take part in the exact
 pass, which needs no sketch to be right: no window is lost at any size.
 
@@ -42,6 +45,8 @@ ROWS = 2
 MIN_BITS, MAX_BITS = 16, 27
 SEGMENT_BITS = 16
 BYTES_A_CELL = 2  # of text; a window takes about six
+HOT = 10_000
+SALTS = 64
 # Windows a task holds before it sends what it has counted.
 HELD = 1 << 22
 LARGEST = (1 << 63) - 1
@@ -89,24 +94,24 @@ def _cells(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]
     return [(first >> shift).astype(np.uint32), (_mixed(first + second) >> shift).astype(np.uint32)]
 
 
-def _sent(cells: list[np.ndarray], row: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(row, segment, offsets of cells met once, offsets of cells met more often)."""
+def _sent(cells: list[np.ndarray], row: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """(row, segment, offsets of cells met once, offsets of cells met more often, how often)."""
     sorted_cells = np.sort(np.concatenate(cells))
     starts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]]))
-    distinct, often = sorted_cells[starts], np.diff(np.append(starts, len(sorted_cells))) > 1
+    distinct, times = sorted_cells[starts], np.diff(np.append(starts, len(sorted_cells))).astype(np.uint32)
     segments = distinct >> SEGMENT_BITS
     begins = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
     offsets = (distinct & ((1 << SEGMENT_BITS) - 1)).astype(np.uint16)
     for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(distinct)], strict=True):
-        own, more = offsets[begin:end], often[begin:end]
-        yield row, int(segments[begin]), own[~more].tobytes(), own[more].tobytes()
+        own, more = offsets[begin:end], times[begin:end] > 1
+        yield row, int(segments[begin]), own[~more].tobytes(), own[more].tobytes(), times[begin:end][more].tobytes()
 
 
 def _partition_sketch(bits: int, window: int):
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "segment", "once", "often"])
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "segment", "once", "often", "times"])
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
@@ -126,26 +131,29 @@ def _partition_sketch(bits: int, window: int):
     return run
 
 
-def _merged(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up sketches sorted by row and segment, one segment at a time; one bit a cell: met more than once."""
-    names = ["row", "segment", "repeated"]
-    current, counts = None, np.zeros(1 << SEGMENT_BITS, np.uint8)
+def _merged(hot: int):
+    """Add up sketches sorted by row and segment, one segment at a time; bits of the cells met more than once, and more than ``hot`` times."""
+    names, kinds = ["row", "segment", "repeated", "hot"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-    def done(key: tuple[int, int]) -> pa.RecordBatch:
-        bits = np.packbits(counts > 1, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())], names=names)
+    def done(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
+        bits = [np.packbits(counts > least, bitorder="little").tobytes() for least in (1, hot)]
+        bits[1] = bits[1] if counts.max() > hot else None
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*key, *bits), kinds, strict=True)], names=names)
 
-    for item in items:
-        for row, segment, once, often in zip(*(c.to_pylist() for c in item.columns), strict=True):
-            if (row, segment) != current:
-                if current is not None:
-                    yield done(current)
-                current, counts = (row, segment), np.zeros(1 << SEGMENT_BITS, np.uint8)
-            met = np.frombuffer(once, np.uint16)
-            counts[met] = np.minimum(counts[met] + 1, 2)
-            counts[np.frombuffer(often, np.uint16)] = 2
-    if current is not None:
-        yield done(current)
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, np.zeros(1 << SEGMENT_BITS, np.int64)
+        for item in items:
+            for row, segment, once, often, times in zip(*(c.to_pylist() for c in item.columns), strict=True):
+                if (row, segment) != current:
+                    if current is not None:
+                        yield done(current, counts)
+                    current, counts = (row, segment), np.zeros(1 << SEGMENT_BITS, np.int64)
+                counts[np.frombuffer(once, np.uint16)] += 1
+                counts[np.frombuffer(often, np.uint16)] += np.frombuffer(times, np.uint32)
+        if current is not None:
+            yield done(current, counts)
+
+    return run
 
 
 def sketch_bits(docs: DataFrame) -> int:
@@ -154,16 +162,27 @@ def sketch_bits(docs: DataFrame) -> int:
     return min(MAX_BITS, max(MIN_BITS, (int(size) // BYTES_A_CELL).bit_length()))
 
 
-def merged_sketch(docs: DataFrame, bits: int, window: int = WINDOW) -> np.ndarray:
-    """The bits of all cells by row, at most ``ROWS * 2 ** MAX_BITS`` of them."""
+def merged_sketch(docs: DataFrame, bits: int, window: int = WINDOW, hot: int = HOT) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bits of all cells by row, at most ``ROWS * 2 ** MAX_BITS``: met more than once; met more than ``hot`` times, None if no cell was."""
     ship(docs.sparkSession)
-    sent = docs.select("text").mapInArrow(_partition_sketch(bits, window), "row int, segment int, once binary, often binary")
+    sent = docs.select("text").mapInArrow(_partition_sketch(bits, window), "row int, segment int, once binary, often binary, times binary")
     dealt = sent.repartition("row", "segment").sortWithinPartitions("row", "segment")
-    found = dealt.mapInArrow(_merged, "row int, segment int, repeated binary").toArrow()
-    table = np.zeros((ROWS, 1 << (bits - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)), np.uint8)
-    for row, segment, repeated in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        table[row, segment] = np.frombuffer(repeated, np.uint8)
-    return table.reshape(ROWS, -1)
+    found = dealt.mapInArrow(_merged(hot), "row int, segment int, repeated binary, hot binary").toArrow()
+    shape = ROWS, 1 << (bits - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)
+    tables = [np.zeros(shape, np.uint8), np.zeros(shape, np.uint8) if found.column("hot").null_count < len(found) else None]
+    for row, segment, *of_segment in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        for table, held in zip(tables, of_segment, strict=True):
+            if held is not None:
+                table[row, segment] = np.frombuffer(held, np.uint8)
+    return tuple(None if t is None else t.reshape(ROWS, -1) for t in tables)
+
+
+def has_bits(table: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the cells of a window have their bit in every row."""
+    found = np.ones(len(first), bool)
+    for row, cells in enumerate(_cells(first, second, bits)):
+        found &= (table[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+    return found
 
 
 def _key() -> list:
@@ -172,27 +191,54 @@ def _key() -> list:
     return [order, F.hash(F.coalesce("text", F.lit(""))).alias("part")]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
+def _later(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (h, g, salt, owner, part), sorted: (owner, part, h) of the rows behind the smallest owner of their window."""
+    current, least = None, 0
+    for item in items:
+        h, g, salt, owner, part = (c.to_numpy(zero_copy_only=False) for c in item.columns)
+        if not len(h):
+            continue
+        starts = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+        first = owner[np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))]
+        if (h[0], g[0], salt[0]) == current:
+            ends = np.flatnonzero(starts[1:])
+            first[:ends[0] + 1 if len(ends) else len(h)] = least
+        current, least = (h[-1], g[-1], salt[-1]), first[-1]
+        behind = owner > first
+        yield pa.RecordBatch.from_arrays([pa.array(c[behind]) for c in (owner, part, h)], names=["owner", "part", "h"])
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = None, hot: int = HOT) -> DataFrame:
     """(owner, part, windows): for rows with windows to be removed, the first hashes of these windows."""
     spark = docs.sparkSession
     bits = sketch_bits(docs) if bits is None else bits
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, bits, window))
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first, second, owner = window_hashes([t.split() for t in texts_of(batch.column(2))], window)
-        table, found = sketch.value, np.ones(len(first), bool)
-        for row, cells in enumerate(_cells(first, second, bits)):
-            found &= (table[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-        first, second, owner = first[found].view(np.int64), (second[found] >> np.uint64(32)).astype(np.uint32).view(np.int32), owner[found]
-        mine = [batch.column(i).take(pa.array(owner)) for i in range(2)]
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), *mine], names=["h", "g", "owner", "part"])
-
-    columns = docs.select(*_key(), "text")
-    windows = written(batches(columns, make, "h long, g int, owner long, part int"), "suspected-windows")
-    smallest = windows.groupBy("h", "g").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most")
-    smallest = written(smallest.select("h", "g", "least"), "repeated-windows")
-    met = windows.join(smallest, ["h", "g"]).filter("owner > least")
-    return met.groupBy("owner", "part").agg(F.collect_set("h").alias("windows"))
+    tables = merged_sketch(docs, bits, window, hot)
+    sketch = spark.sparkContext.broadcast(tables)
+
+    def suspected(only_hot: bool):
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+            repeated, crowded = sketch.value
+            first, second, owner = window_hashes([t.split() for t in texts_of(batch.column(2))], window)
+            found = has_bits(crowded if only_hot else repeated, first, second, bits)
+            first, second, owner = first[found], second[found], owner[found]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+            salt = np.zeros(len(first), np.int32)
+            if crowded is not None:
+                place = (_mixed(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+                salt = np.where(has_bits(crowded, first, second, bits), 1 + place, 0).astype(np.int32)
+            columns = first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), salt, ids
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(1).take(pa.array(owner))], names=["h", "g", "salt", "owner", "part"])
+
+        return batches(docs.select(*_key(), "text"), make, "h long, g int, salt int, owner long, part int")
+
+    windows = suspected(False)
+    if tables[1] is not None:
+        least = written(suspected(True).groupBy("h", "g").agg(F.min("owner").alias("owner")), "hot-windows")
+        every = F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt")
+        windows = windows.unionByName(least.select("h", "g", every, "owner", F.lit(0).alias("part")))
+    dealt = windows.repartition("h", "g", "salt").sortWithinPartitions("h", "g", "salt", "owner")
+    later = dealt.mapInArrow(_later, "owner long, part int, h long")
+    return later.groupBy("owner", "part").agg(F.collect_set("h").alias("windows"))
 
 
 def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -215,10 +261,10 @@ def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(removed), text], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, bits: int | None = None, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
     rows = docs.select("doc_id", "text", *_key())
-    found = rows.join(repeated_windows(docs, window, bits), ["owner", "part"], "left").select("doc_id", "text", "windows")
+    found = rows.join(repeated_windows(docs, window, bits, hot), ["owner", "part"], "left").select("doc_id", "text", "windows")
     return batches(found, lambda batch: _kept(batch, window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

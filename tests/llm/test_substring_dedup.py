@@ -46,7 +46,8 @@ def test_nulls_ties_and_repeated_rows(spark):
     rows = [(rng.choice([None, *range(20)]), " ".join(rng.choice(["a", "b", passage, f"w{rng.randrange(9)}"]) for _ in range(rng.randrange(40)))) for _ in range(60)]
     rows += [(3, None), (4, ""), (None, passage), (None, passage), (5, passage), (5, passage), (6, "a " * 500)]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, owner int, windows string").repartition(4)
-    assert sorted(map(tuple, s.remove_repeated(docs, 5).collect()), key=str) == slow_kept(rows, 5)
+    for hot in (s.HOT, 3):
+        assert sorted(map(tuple, s.remove_repeated(docs, 5, hot=hot).collect()), key=str) == slow_kept(rows, 5)
     assert s.remove_repeated(docs.limit(0), 5).count() == 0
 
 
@@ -60,10 +61,9 @@ def test_sketch_never_underestimates(spark):
     often = np.isin(first, values[times > 1])
     passed = []
     for bits in (16, 22):
-        table = s.merged_sketch(docs, bits, 3)
-        found = np.ones(len(first), bool)
-        for row, cells in enumerate(s._cells(first, second, bits)):
-            found &= (table[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+        table, hot = s.merged_sketch(docs, bits, 3, 5)
+        found = s.has_bits(table, first, second, bits)
+        assert s.has_bits(hot, first, second, bits)[np.isin(first, values[times > 5])].all()
         assert found[often].all()
         passed.append((found & ~often).sum())
     assert passed[0] > 10 * passed[1]
