@@ -4,9 +4,9 @@ A window is a number of consecutive words of one document (``WINDOW``). A word g
 document with a smaller id.
 
 1. *Partition sketches.* Every task counts its windows in a count-min sketch of ``ROWS`` rows of cells and sends what is not
-   zero: for each segment of 65,536 cells the cells met once and those met more often, as two-byte offsets.
-2. *Merged sketch.* Segments are dealt over tasks and added up as a stream. Only bits are kept of a cell: met more than
-   once, and met more than ``HOT`` times. The count of a window is never underestimated, so that a window found twice has
+   zero: for each segment of 65,536 cells the cells met once and those met more often, as differences of a byte.
+2. *Merged sketch.* Segments are dealt over tasks and added up as a stream. A bit is kept of a cell, met more than once, and
+   the cells of the first row that were met more than ``HOT`` times are listed. The count of a window is never underestimated, so that a window found twice has
    its bit in every row.
 3. *Exact pass.* Windows with all bits set are dealt by their 96-bit hashes, once, and sorted by id, so that a task reads the
    smallest id of a window first and passes on the rows behind it. For windows that are hot by the sketch the smallest
@@ -14,8 +14,8 @@ document with a smaller id.
    given that id.
 4. The words of the windows found are dropped, in the tasks that hold the texts.
 
-The sketch has about three cells for each window up to ``2 ** MAX_BITS`` cells a row (64 MB of bits in all, the bound of what
-is broadcast). Above some hundred million windows its bits fill up, and more and more windows take part in the exact
+The sketch has about three cells for each window up to ``2 ** MAX_BITS`` cells a row (128 MB of bits in all, and at most 16 MB of
+hot cells, the bound of what is broadcast; with more hot cells all windows count as hot). Above some hundred million windows its bits fill up, and more and more windows take part in the exact
 pass, which needs no sketch to be right: no window is lost at any size.
 
 Defined results: words are runs of anything but ASCII white space; null and empty texts have none; texts of any length are
@@ -37,16 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumipair.llm.common import SEED, batches, documents, ship, slices, texts_of
+from lumipair.llm.common import SEED, batches, documents, give_back, ship, slices, texts_of
 from lumipair.shared import written
 
 WINDOW = 50
 ROWS = 2
-MIN_BITS, MAX_BITS = 16, 27
+MIN_BITS, MAX_BITS = 16, 29
 SEGMENT_BITS = 16
 BYTES_A_CELL = 2  # of text; a window takes about six
 HOT = 10_000
 SALTS = 64
+MOST_HOT = 1 << 22
 # Windows a task holds before it sends what it has counted.
 HELD = 1 << 22
 LARGEST = (1 << 63) - 1
@@ -94,6 +95,20 @@ def _cells(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]
     return [(first >> shift).astype(np.uint32), (_mixed(first + second) >> shift).astype(np.uint32)]
 
 
+def packed(offsets: np.ndarray) -> bytes:
+    """Rising numbers as the bytes of their differences; 255 stands for 255 more to come."""
+    steps = np.diff(offsets, prepend=0)
+    ends = np.cumsum(steps // 255 + 1) - 1
+    made = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    made[ends] = steps % 255
+    return made.tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    steps = np.frombuffer(held, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
 def _sent(cells: list[np.ndarray], row: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
     """(row, segment, offsets of cells met once, offsets of cells met more often, how often)."""
     sorted_cells = np.sort(np.concatenate(cells))
@@ -101,10 +116,10 @@ def _sent(cells: list[np.ndarray], row: int) -> Iterator[tuple[int, int, bytes,
     distinct, times = sorted_cells[starts], np.diff(np.append(starts, len(sorted_cells))).astype(np.uint32)
     segments = distinct >> SEGMENT_BITS
     begins = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
-    offsets = (distinct & ((1 << SEGMENT_BITS) - 1)).astype(np.uint16)
+    offsets = (distinct & ((1 << SEGMENT_BITS) - 1)).astype(np.int64)
     for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(distinct)], strict=True):
         own, more = offsets[begin:end], times[begin:end] > 1
-        yield row, int(segments[begin]), own[~more].tobytes(), own[more].tobytes(), times[begin:end][more].tobytes()
+        yield row, int(segments[begin]), packed(own[~more]), packed(own[more]), times[begin:end][more].tobytes()
 
 
 def _partition_sketch(bits: int, window: int):
@@ -132,13 +147,13 @@ def _partition_sketch(bits: int, window: int):
 
 
 def _merged(hot: int):
-    """Add up sketches sorted by row and segment, one segment at a time; bits of the cells met more than once, and more than ``hot`` times."""
-    names, kinds = ["row", "segment", "repeated", "hot"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Add up sketches sorted by row and segment, one segment at a time: bits of the cells met more than once, numbers of the hot ones."""
+    names, kinds = ["row", "segment", "repeated", "hot"], [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
     def done(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
-        bits = [np.packbits(counts > least, bitorder="little").tobytes() for least in (1, hot)]
-        bits[1] = bits[1] if counts.max() > hot else None
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*key, *bits), kinds, strict=True)], names=names)
+        cells = np.flatnonzero(counts > hot) + (key[1] << SEGMENT_BITS) if key[0] == 0 else []
+        made = *key, np.packbits(counts > 1, bitorder="little").tobytes(), list(cells)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds, strict=True)], names=names)
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counts = None, np.zeros(1 << SEGMENT_BITS, np.int64)
@@ -148,10 +163,11 @@ def _merged(hot: int):
                     if current is not None:
                         yield done(current, counts)
                     current, counts = (row, segment), np.zeros(1 << SEGMENT_BITS, np.int64)
-                counts[np.frombuffer(once, np.uint16)] += 1
-                counts[np.frombuffer(often, np.uint16)] += np.frombuffer(times, np.uint32)
+                counts[unpacked(once)] += 1
+                counts[unpacked(often)] += np.frombuffer(times, np.uint32)
         if current is not None:
             yield done(current, counts)
+        give_back()
 
     return run
 
@@ -163,18 +179,27 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def merged_sketch(docs: DataFrame, bits: int, window: int = WINDOW, hot: int = HOT) -> tuple[np.ndarray, np.ndarray | None]:
-    """The bits of all cells by row, at most ``ROWS * 2 ** MAX_BITS``: met more than once; met more than ``hot`` times, None if no cell was."""
+    """The bits of all cells by row, at most ``ROWS * 2 ** MAX_BITS``, and the hot cells of the first row, None for all."""
     ship(docs.sparkSession)
     sent = docs.select("text").mapInArrow(_partition_sketch(bits, window), "row int, segment int, once binary, often binary, times binary")
     dealt = sent.repartition("row", "segment").sortWithinPartitions("row", "segment")
-    found = dealt.mapInArrow(_merged(hot), "row int, segment int, repeated binary, hot binary").toArrow()
-    shape = ROWS, 1 << (bits - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)
-    tables = [np.zeros(shape, np.uint8), np.zeros(shape, np.uint8) if found.column("hot").null_count < len(found) else None]
-    for row, segment, *of_segment in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        for table, held in zip(tables, of_segment, strict=True):
-            if held is not None:
-                table[row, segment] = np.frombuffer(held, np.uint8)
-    return tuple(None if t is None else t.reshape(ROWS, -1) for t in tables)
+    merged = written(dealt.mapInArrow(_merged(hot), "row int, segment int, repeated binary, hot array<long>"), "window-sketch")
+    table = np.zeros((ROWS, 1 << (bits - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)), np.uint8)
+    for row in range(ROWS):
+        found = merged.filter(F.col("row") == row).select("segment", "repeated").toArrow()
+        for segment, repeated in zip(found.column(0), found.column(1), strict=True):
+            table[row, segment.as_py()] = np.frombuffer(repeated.as_py(), np.uint8)
+    crowded = merged.select(F.explode("hot").alias("cell"))
+    cells = None if crowded.count() > MOST_HOT else np.sort(np.array(crowded.toArrow().column(0).to_pylist(), np.uint32))
+    return table.reshape(ROWS, -1), cells
+
+
+def is_hot(cells: np.ndarray | None, first: np.ndarray, bits: int) -> np.ndarray:
+    """Whether a window is counted as hot by the first row of the sketch."""
+    if cells is None or not len(cells):
+        return np.full(len(first), cells is None)
+    own = (first >> np.uint64(64 - bits)).astype(np.uint32)
+    return cells[np.minimum(np.searchsorted(cells, own), len(cells) - 1)] == own
 
 
 def has_bits(table: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
@@ -217,22 +242,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = N
 
     def suspected(only_hot: bool):
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-            repeated, crowded = sketch.value
+            repeated, hot_cells = sketch.value
             first, second, owner = window_hashes([t.split() for t in texts_of(batch.column(2))], window)
-            found = has_bits(crowded if only_hot else repeated, first, second, bits)
+            found = has_bits(repeated, first, second, bits)
+            if only_hot:
+                found &= is_hot(hot_cells, first, bits)
             first, second, owner = first[found], second[found], owner[found]
             ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            salt = np.zeros(len(first), np.int32)
-            if crowded is not None:
-                place = (_mixed(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
-                salt = np.where(has_bits(crowded, first, second, bits), 1 + place, 0).astype(np.int32)
+            place = (_mixed(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+            salt = np.where(is_hot(hot_cells, first, bits), 1 + place, 0).astype(np.int32)
             columns = first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), salt, ids
             return pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(1).take(pa.array(owner))], names=["h", "g", "salt", "owner", "part"])
 
         return batches(docs.select(*_key(), "text"), make, "h long, g int, salt int, owner long, part int")
 
     windows = suspected(False)
-    if tables[1] is not None:
+    if tables[1] is None or len(tables[1]):
         least = written(suspected(True).groupBy("h", "g").agg(F.min("owner").alias("owner")), "hot-windows")
         every = F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt")
         windows = windows.unionByName(least.select("h", "g", every, "owner", F.lit(0).alias("part")))

@@ -40,17 +40,25 @@ def test_query_matches_brute_force(spark, bits):
         assert got == {i: (i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in want}
 
 
-def test_nulls_ties_and_repeated_rows(spark):
+def test_nulls_ties_and_repeated_rows(spark, monkeypatch):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(12))
     rows = [(rng.choice([None, *range(20)]), " ".join(rng.choice(["a", "b", passage, f"w{rng.randrange(9)}"]) for _ in range(rng.randrange(40)))) for _ in range(60)]
     rows += [(3, None), (4, ""), (None, passage), (None, passage), (5, passage), (5, passage), (6, "a " * 500)]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, owner int, windows string").repartition(4)
-    for hot in (s.HOT, 3):
+    for hot, most in ((s.HOT, 100), (3, 100), (3, 2)):
+        monkeypatch.setattr(s, "MOST_HOT", most)
         assert sorted(map(tuple, s.remove_repeated(docs, 5, hot=hot).collect()), key=str) == slow_kept(rows, 5)
     assert s.remove_repeated(docs.limit(0), 5).count() == 0
 
 
+def test_packed_offsets():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 300, 65536):
+        offsets = np.sort(rng.choice(65536, n, replace=False))
+        assert s.unpacked(s.packed(offsets)).tolist() == offsets.tolist()
+
+
 def test_sketch_never_underestimates(spark):
     """In a sketch of few cells every window found twice has all its bits, and in a large one few others have."""
     rng = random.Random(5)
@@ -63,7 +71,7 @@ def test_sketch_never_underestimates(spark):
     for bits in (16, 22):
         table, hot = s.merged_sketch(docs, bits, 3, 5)
         found = s.has_bits(table, first, second, bits)
-        assert s.has_bits(hot, first, second, bits)[np.isin(first, values[times > 5])].all()
+        assert s.is_hot(hot, first, bits)[np.isin(first, values[times > 5])].all()
         assert found[often].all()
         passed.append((found & ~often).sum())
     assert passed[0] > 10 * passed[1]
