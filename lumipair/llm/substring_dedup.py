@@ -74,25 +74,39 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return (values ^ (values >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def window_hashes(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first hash, second hash, number of the text) of every window of the texts, in order."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    sizes = np.array([len(words) for words in texts], np.int64)
-    ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in texts)])
-    n = len(ids) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, SEED) for w in number), np.uint64).reshape(-1, 2)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    inside = owner[:n] == owner[window - 1:]
-    first, second = (_mixed(_rolling(digests[ids, i], window)[inside]) for i in range(2))
-    return first, second, owner[:n][inside]
-
-
-def _cells(first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
+class Windows:
+    """The windows of some texts, in order: ``first`` hashes, ``owner`` (number of the text), and second hashes on demand."""
+
+    def __init__(self, texts: list[list[bytes]], window: int):
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        self.window, sizes = window, np.array([len(words) for words in texts], np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in texts)])
+        n = len(self.ids) - window + 1
+        self.first, self.owner, self.starts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n < 1:
+            return
+        self.digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, SEED) for w in number), np.uint64).reshape(-1, 2)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        self.starts = np.flatnonzero(owner[:n] == owner[window - 1:])
+        self.owner = owner[self.starts]
+        self.first = _mixed(_rolling(self.digests[self.ids, 0], window)[self.starts])
+
+    def second(self, found: np.ndarray) -> np.ndarray:
+        """Second hashes of the chosen windows; of few ones from their own words only."""
+        starts = self.starts[found]
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        if len(starts) * self.window > len(self.ids):
+            return _mixed(_rolling(self.digests[self.ids, 1], self.window)[starts])
+        powers = _powers(self.window, pow(BASE, -1, 1 << 64))
+        words = self.digests[self.ids[starts[:, None] + np.arange(self.window)], 1]
+        return _mixed((words * powers).sum(axis=1, dtype=np.uint64))
+
+
+def _cells(first: np.ndarray, bits: int) -> list[np.ndarray]:
     """The cell of each window in each row of the sketch."""
     shift = np.uint64(64 - bits)
-    return [(first >> shift).astype(np.uint32), (_mixed(first + second) >> shift).astype(np.uint32)]
+    return [(first >> shift).astype(np.uint32), (_mixed(first + np.uint64(BASE)) >> shift).astype(np.uint32)]
 
 
 def packed(offsets: np.ndarray) -> bytes:
@@ -133,8 +147,8 @@ def _partition_sketch(bits: int, window: int):
         n = 0
         for item in items:
             for part in slices(item):
-                first, second, _ = window_hashes([t.split() for t in texts_of(part.column(0))], window)
-                for cells, own in zip(held, _cells(first, second, bits), strict=True):
+                first = Windows([t.split() for t in texts_of(part.column(0))], window).first
+                for cells, own in zip(held, _cells(first, bits), strict=True):
                     cells.append(own)
                 n += len(first)
                 if n >= HELD:
@@ -202,10 +216,10 @@ def is_hot(cells: np.ndarray | None, first: np.ndarray, bits: int) -> np.ndarray
     return cells[np.minimum(np.searchsorted(cells, own), len(cells) - 1)] == own
 
 
-def has_bits(table: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+def has_bits(table: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
     """Whether the cells of a window have their bit in every row."""
     found = np.ones(len(first), bool)
-    for row, cells in enumerate(_cells(first, second, bits)):
+    for row, cells in enumerate(_cells(first, bits)):
         found &= (table[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
     return found
 
@@ -243,11 +257,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bits: int | None = N
     def suspected(only_hot: bool):
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             repeated, hot_cells = sketch.value
-            first, second, owner = window_hashes([t.split() for t in texts_of(batch.column(2))], window)
-            found = has_bits(repeated, first, second, bits)
-            if only_hot:
-                found &= is_hot(hot_cells, first, bits)
-            first, second, owner = first[found], second[found], owner[found]
+            windows = Windows([t.split() for t in texts_of(batch.column(2))], window)
+            found = np.flatnonzero(is_hot(hot_cells, windows.first, bits)) if only_hot else np.arange(len(windows.first))
+            found = found[has_bits(repeated, windows.first[found], bits)]
+            first, second, owner = windows.first[found], windows.second(found), windows.owner[found]
             ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
             place = (_mixed(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
             salt = np.where(is_hot(hot_cells, first, bits), 1 + place, 0).astype(np.int32)
@@ -270,7 +283,8 @@ def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     texts = [t.split() for t in texts_of(batch.column(1))]
     windows = batch.column(2)
     chosen = [i for i in range(len(texts)) if windows[i].is_valid]
-    first, _, owner = window_hashes([texts[i] for i in chosen], window)
+    windows_of = Windows([texts[i] for i in chosen], window)
+    first, owner = windows_of.first, windows_of.owner
     bounds = np.searchsorted(owner, np.arange(len(chosen) + 1))
     removed = np.zeros(len(texts), np.int64)
     for k, i in enumerate(chosen):

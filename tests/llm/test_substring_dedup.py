@@ -64,13 +64,15 @@ def test_sketch_never_underestimates(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(300)) for _ in range(200)] + ["x y z"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
-    first, second, _ = s.window_hashes([t.encode().split() for t in texts], 3)
+    windows = s.Windows([t.encode().split() for t in texts], 3)
+    first, everything = windows.first, windows.second(np.arange(len(windows.first)))
+    assert (windows.second(np.arange(0, len(first), 50)) == everything[::50]).all()
     values, times = np.unique(first, return_counts=True)
     often = np.isin(first, values[times > 1])
     passed = []
     for bits in (16, 22):
         table, hot = s.merged_sketch(docs, bits, 3, 5)
-        found = s.has_bits(table, first, second, bits)
+        found = s.has_bits(table, first, bits)
         assert s.is_hot(hot, first, bits)[np.isin(first, values[times > 5])].all()
         assert found[often].all()
         passed.append((found & ~often).sum())
