@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumipair.operators import correlate, evidence, images, localmap, mask, posterior
+from lumipair.operators import correlate, evidence, hierarchy, images, localmap, mask, posterior
 from lumipair.operators.shuffle import DEFAULT_BLOCK, as_control, shuffled_control
 from lumipair.operators.shuffle import METHODS as SHUFFLE_METHODS
 from lumipair.plans.report import result_report
@@ -17,6 +17,10 @@ from lumipair.sources.bands import shape_violations
 from lumipair.sources.sinks import append_report, write_new, write_samples
 
 
+# "grid": normal image levels on a fixed grid; "hierarchical": the full model, with draws of all eight parameters.
+MODELS = ("grid", "hierarchical")
+
+
 @dataclass
 class Options:
     patches: int = 16
@@ -33,6 +37,7 @@ class Options:
     mask_control: bool = False
     scale_link: str = "none"
     seed: int = 0
+    model: str = "grid"
 
     def check(self, channels: list[int]) -> None:
         """Refuse impossible settings before any job starts."""
@@ -53,6 +58,8 @@ class Options:
             raise ValueError(f"the shuffle method must be one of {SHUFFLE_METHODS}")
         if self.scale_link not in posterior.SCALE_LINKS:
             raise ValueError(f"the scale link must be one of {posterior.SCALE_LINKS}")
+        if self.model not in MODELS:
+            raise ValueError(f"the model must be one of {MODELS}")
         if self.draws < 1:
             raise ValueError("at least one draw is needed")
 
@@ -125,7 +132,7 @@ def refuse_bad_shapes(scanlines: DataFrame) -> None:
 def colocalization(
     scanlines: DataFrame, patches: int, pairs: list[tuple[int, int]] | None = None, method: str = "pearson",
     draws: DataFrame | None = None, n_draws: int = 100_000, scale_link: str = "none", seed: int = 0,
-    largest: int | None = None,
+    largest: int | None = None, model: str = "grid",
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Patch correlations, image summaries, posterior grid and draws of both kinds for sample and control images.
 
@@ -138,7 +145,10 @@ def colocalization(
     summary = posterior.image_summary(rho)
     grid = written(posterior.posterior_grid(summary, scale_link), "grid")
     ids = posterior.draw_ids(scanlines.sparkSession, n_draws) if draws is None else draws
-    drawn = written(posterior.posterior_draws(grid, ids, pairs, seed), "draws")
+    if model == "hierarchical":
+        drawn = written(hierarchy.posterior_draws(rho, ids, pairs, seed), "draws")
+    else:
+        drawn = written(posterior.posterior_draws(grid, ids, pairs, seed), "draws")
     samples = posterior.all_samples(posterior.prior_draws(ids, seed), drawn, pairs)
     return rho, summary, grid, samples
 
@@ -177,7 +187,7 @@ def analyse(sample: DataFrame, control: DataFrame | None = None, options: Option
     largest = None if options.method == "pearson" else correlate.largest_patch(sample.unionByName(control), options.patches)
     rho, summary, grid, samples = colocalization(
         masked, options.patches, pairs, options.method, n_draws=options.draws, scale_link=options.scale_link,
-        seed=options.seed, largest=largest,
+        seed=options.seed, largest=largest, model=options.model,
     )
     samples = written(samples, "samples")
     factors = evidence.draw_bayes_factors(samples, [options.rho_threshold], rows_per_group=options.draws)

@@ -192,6 +192,21 @@ marginal AS (SELECT condition, ch_x, ch_y, mu_idx, sum(w) AS w FROM cells GROUP
 """
 
 
+# 40 levels, 24 scales from 0.001 to 1 and 12 degrees of freedom from 0.1 to 100, each in the middle of its cell.
+T_LEVELS = f"""
+cells AS (
+  SELECT -1 + (i + 0.5) / 20 AS mu, pow(10, -3 + 3 * (j + 0.5) / 24) AS s, 0.1 * pow(10, 3 * (k + 0.5) / 12) AS v
+  FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(24)) AS j), (SELECT unnest(range(12)) AS k)),
+scored AS (
+  SELECT condition, image_id, ch_x, ch_y, mu, s, v,
+         sum(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * {PI}) / 2 - ln(s)
+             - (v + 1) / 2 * ln(1 + (rho - mu) * (rho - mu) / (v * s * s))) AS ll
+  FROM rho, cells WHERE rho IS NOT NULL AND NOT isnan(rho)
+  GROUP BY condition, image_id, ch_x, ch_y, mu, s, v),
+topped AS (SELECT *, max(ll) OVER (PARTITION BY condition, image_id, ch_x, ch_y) AS top FROM scored),
+weighed AS (SELECT *, exp(ll - top) AS w FROM topped)
+"""
+
 GRID_MODEL = (LINEITEM, signal(nx=GRID), rho(), SUMMARY, MODEL, weights())
 
 DELTA = """
@@ -614,6 +629,11 @@ ORACLES: dict[str, str] = {
         *GRID_MODEL[:-1], SHARED,
         weights("(log_w + extra)", "(SELECT * FROM priced JOIN linked USING (condition, ch_x, ch_y, sigma_idx))"),
     ) + MU_W,
+    "image_t_levels": with_(LINEITEM, signal(nx=GRID), rho(), T_LEVELS) + """
+        SELECT condition, image_id, ch_x, ch_y, round(max(top) + ln(sum(w) / 11520), 6) AS log_evidence,
+               round(sum(w * mu) / sum(w), 6) AS mean_mu, round(sum(w * s) / sum(w), 6) AS mean_sigma,
+               round(sum(w * v) / sum(w), 6) AS mean_nu
+        FROM weighed GROUP BY condition, image_id, ch_x, ch_y""",
     "posterior_draws_summary": with_(*GRID_MODEL, PRIOR, DRAWS) + stats(
         "posterior_draws", "ch_x, ch_y", ["mu_control", "sigma_control", "mu_sample", "sigma_sample"]),
     "delta_rho_distribution": with_(*GRID_MODEL, DELTA) + f"SELECT {KINDS}, delta_idx, round(p, 6) AS p FROM spread",

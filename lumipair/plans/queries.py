@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumipair.operators import correlate, evidence, images, localmap, mask, patches, posterior, shuffle
+from lumipair.operators import correlate, evidence, hierarchy, images, localmap, mask, patches, posterior, shuffle
 from lumipair.plans.analysis import Options, analyse
 from lumipair.plans.report import report_columns, result_report
 from lumipair.schema import GLOBAL_PARAMETERS, IMAGE, PAIR, PATCH, channel_pairs, channels_of, plain_columns
@@ -380,6 +380,21 @@ def posterior_draws_summary(spark, sf):
     return stats.select(*PAIR, "name", *rounded("mean", "median", "lower", "upper"))
 
 
+def image_t_levels(spark, sf):
+    levels = hierarchy.image_levels(correlate.patch_rho(lineitem(spark, sf), GRID), nested=0)
+    return levels.select(*IMAGE, *PAIR, *rounded("log_evidence", "mean_mu", "mean_sigma", "mean_nu"))
+
+
+def hierarchical_posterior(spark, sf):
+    pairs = channel_pairs(channels_of(lineitem(spark, sf)))
+    ids = order_draws(spark, sf)
+    rho = correlate.patch_rho(lineitem(spark, sf), GRID)
+    draws = written(hierarchy.posterior_draws(rho, ids, pairs, SEED), "draws")
+    columns = [f"{p}_{side}" for side in ("control", "sample") for p in hierarchy.PARAMETERS]
+    stats = evidence.summarise(draws, PAIR, columns, ids.count())
+    return stats.select(*PAIR, "name", *rounded("mean", "median", "lower", "upper"))
+
+
 # ---- evidence ------------------------------------------------------------------------------------------------------
 
 
@@ -542,6 +557,8 @@ QUERIES: dict[str, Query] = {
     "posterior_mu_marginal": posterior_mu_marginal,
     "posterior_shared_scale": posterior_shared_scale,
     "posterior_draws_summary": posterior_draws_summary,
+    "image_t_levels": image_t_levels,
+    "hierarchical_posterior": hierarchical_posterior,
     "delta_rho_distribution": delta_rho_distribution,
     "delta_rho_tail": delta_rho_tail,
     "bayes_factor": bayes_factor,

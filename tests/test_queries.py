@@ -28,12 +28,16 @@ def tables():
     return con
 
 
+# Rounds of adapted draws; test_hierarchy.py compares them with a brute-force integral.
+WITHOUT_SQL = {"hierarchical_posterior"}
+
+
 def test_every_query_has_an_oracle():
-    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() - WITHOUT_SQL == ORACLES.keys()
     assert QUERIES.keys() <= entry_module.queries().keys() and ORACLES.keys() <= entry_module.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, tables, name):
     ours = QUERIES[name](spark, SF).toPandas()
     theirs = tables.execute(ORACLES[name]).df()
