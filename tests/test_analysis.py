@@ -88,3 +88,20 @@ def test_inputs_are_checked(stacks):
         analyse(sample, control.drop("c3"))
     with pytest.raises(ValueError):
         analyse(sample.drop("c2", "c3"), control)
+
+
+def test_hierarchical_model_fills_all_columns(make_scanlines, rng):
+    images = {}
+    for k in range(2):
+        x = rng.uniform(1, 2, (48, 48))
+        images["sample", f"s{k}"] = [x, x + rng.uniform(0, 0.2, (48, 48))]
+        images["control", f"c{k}"] = [x, rng.uniform(1, 2, (48, 48))]
+    lines = make_scanlines(images)
+    options = Options(patches=4, draws=500, model="hierarchical")
+    result = analyse(lines.filter("condition = 'sample'"), lines.filter("condition = 'control'"), options)
+    posterior = result.samples.filter("kind = 'posterior'").toPandas()
+    assert len(posterior) == 500 and not posterior.isna().any().any()
+    assert (posterior.mu_sample > posterior.mu_control).mean() > 0.9
+    assert result.report.count() == 1
+    with pytest.raises(ValueError):
+        Options(model="other").check([1, 2])
