@@ -157,7 +157,7 @@ def summed_out(edges: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarr
     n, m, k = MU_CELLS, SCALE_CELLS, TAIL_CELLS
     top = table.max()
     by_tail = np.exp(table - top).reshape(n * m, k) @ in_tail
-    total = np.einsum("as,abs,bs->s", in_mu, by_tail.reshape(n, m, -1), in_scale)
+    total = (np.einsum("as,abs->bs", in_mu, by_tail.reshape(n, m, -1)) * in_scale).sum(axis=0)
     return top + np.log(np.maximum(total, 1e-300))
 
 
