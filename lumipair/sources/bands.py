@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumipair.functions.columns import finite_values
@@ -10,6 +10,9 @@ from lumipair.schema import BANDS, IMAGE, channels_of, require_columns
 from lumipair.shared import lookup_join
 from lumipair.sources.manifest import check_manifest
 
+# So many files are named in an error.
+MOST_NAMED = 10
+
 
 def read_bands(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet band table; values of any numeric type become doubles."""
@@ -36,27 +39,35 @@ def read_scanlines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def align_channels(bands: DataFrame, channels: list[int]) -> DataFrame:
+def align_channels(bands: DataFrame, channels: list[int], complete: bool = False) -> DataFrame:
     """Put the channels of an image row next to each other.
 
     This is the join of the channels at equal (image, row), done once for all channels in one shuffle of whole image
-    rows. A group holds one image row per channel, so its size is fixed by the image format. Channels of different size
-    are an error when the rows are read.
+    rows. A group holds one image row per channel, so its size is fixed by the image format.
+
+    Refused when the rows are read, whichever columns are asked for: channels of different size, a band row that is
+    there twice, and, with ``complete``, an image row that lacks a channel (its plane is NULL otherwise).
     """
-    planes = F.map_from_entries(F.collect_list(F.struct("channel", "values")))
     sizes = [f(c).alias(f"_{name}_{c}") for c in ("height", "width") for name, f in (("low", F.min), ("high", F.max))]
     equal = (F.col("_low_height") == F.col("_high_height")) & (F.col("_low_width") == F.col("_high_width"))
-    refused = F.raise_error(F.concat(F.lit("the channels of image "), F.col("image_id"), F.lit(" differ in size")))
-
-    def checked(size: str) -> Column:
-        return F.when(equal, F.col(f"_high_{size}")).otherwise(refused.cast("int")).alias(size)
-
+    row = F.concat(F.lit("row "), F.col("row"), F.lit(" of image "), F.col("image_id"))
+    absent = F.array_except(F.array(*map(F.lit, channels)), F.col("_channels"))
+    faults = [(~F.coalesce(equal, F.lit(False)), F.concat(F.lit("the channels of image "), F.col("image_id"), F.lit(" differ in size"))),
+              (F.size(F.array_distinct("_channels")) < F.size("_channels"), F.concat(row, F.lit(" has a channel twice")))]
+    if complete:
+        faults.append((F.size(absent) > 0, F.concat(row, F.lit(" lacks the channels "), absent.cast("string"))))
+    fault = F.lit(None).cast("string")
+    for found, message in reversed(faults):
+        fault = F.when(found, message).otherwise(fault)
     return (
         bands.filter(F.col("channel").isin(channels))
         .groupBy(*IMAGE, "row")
-        .agg(planes.alias("_planes"), *sizes)
+        .agg(F.collect_list(F.struct("channel", "values")).alias("_list"), F.collect_list("channel").alias("_channels"), *sizes)
+        # A filter, as the optimizer prunes columns that nobody reads, and any check with them.
+        .filter(F.when(fault.isNull(), True).otherwise(F.raise_error(fault).cast("boolean")))
+        .withColumn("_planes", F.map_from_entries("_list"))
         .select(
-            *IMAGE, "row", checked("height"), checked("width"),
+            *IMAGE, "row", F.col("_high_height").alias("height"), F.col("_high_width").alias("width"),
             *[F.try_element_at("_planes", F.lit(c)).alias(f"c{c}") for c in channels],
         )
     )
@@ -99,11 +110,15 @@ def bands_from_pixels(pixels: DataFrame) -> DataFrame:
 def stack_from_manifest(bands: DataFrame, files: DataFrame, n_channels: int, condition: str) -> DataFrame:
     """Scanlines of a folder: band rows keyed by ``path`` (path, row, height, width, values) joined to its manifest.
 
-    An incomplete folder is refused; band rows of paths outside the manifest are not part of the stack.
+    An incomplete folder is refused, and so are files without any band row (only ``path`` is read to find them) and image
+    rows that lack a channel; band rows of paths outside the manifest are not part of the stack.
     """
     of_path = check_manifest(files, n_channels).select("image_id", "channel", "path")
+    unread = of_path.select("path").join(bands.select("path"), "path", "left_anti").orderBy("path").head(MOST_NAMED)
+    if unread:
+        raise ValueError(f"no band rows for {', '.join(r.path for r in unread)}")
     rows = bands.join(of_path, "path").withColumn("condition", F.lit(condition)).select(*BANDS.fieldNames())
-    return align_channels(rows, list(range(1, n_channels + 1)))
+    return align_channels(rows, list(range(1, n_channels + 1)), complete=True)
 
 
 def shape_summary(scanlines: DataFrame) -> DataFrame:

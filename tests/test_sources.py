@@ -122,3 +122,41 @@ def test_image_table_and_stack(spark, make_scanlines):
     assert {r.image_id for r in images.image_at(positioned, "sample", 2).collect()} == {"b"}
     with pytest.raises(IndexError):
         images.image_at(positioned, "sample", 4)
+
+
+def _band_rows(spark, rows):
+    return spark.createDataFrame(
+        rows, "condition string, image_id string, channel int, row int, height int, width int, values array<double>"
+    )
+
+
+def test_bad_bands_are_refused_whatever_is_read(spark):
+    good = [("sample", "a", c, r, 2, 2, [1.0, 2.0]) for c in (1, 2) for r in (0, 1)]
+    aligned = bands.align_channels(_band_rows(spark, good), [1, 2])
+    assert aligned.count() == 2 and aligned.filter("c1 is not null and c2 is not null").count() == 2
+    wide = _band_rows(spark, [*good[:3], ("sample", "a", 2, 1, 2, 3, [1.0, 2.0, 3.0])])
+    unsized = _band_rows(spark, [*good[:3], ("sample", "a", 2, 1, None, None, [1.0, 2.0])])
+    for bad in (wide, _band_rows(spark, [*good, good[0]])):
+        aligned = bands.align_channels(bad, [1, 2])
+        with pytest.raises(Exception, match="differ in size|has a channel twice"):
+            aligned.select("row", "c1", "c2").collect()
+        with pytest.raises(Exception, match="differ in size|has a channel twice"):
+            aligned.count()
+    assert bands.align_channels(unsized.filter("row = 0"), [1, 2]).count() == 1
+    with pytest.raises(Exception, match="differ in size"):
+        bands.align_channels(unsized.filter("height is null"), [2]).count()
+    partial = bands.align_channels(_band_rows(spark, good[:3]), [1, 2])
+    assert [r.c2 for r in partial.orderBy("row").collect()] == [[1.0, 2.0], None]
+    with pytest.raises(Exception, match=r"row 1 of image a lacks the channels \[2\]"):
+        bands.align_channels(_band_rows(spark, good[:3]), [1, 2], complete=True).count()
+    assert bands.align_channels(_band_rows(spark, good).limit(0), [1, 2], complete=True).isEmpty()
+
+
+def test_stack_refuses_files_without_rows(spark):
+    files = spark.createDataFrame([(f"a_x_c{c}.tif", f"/f/a_x_c{c}.tif") for c in (1, 2)], "name string, path string")
+    rows = [(f"/f/a_x_c{c}.tif", 0, 1, 2, [1.0, float(c)]) for c in (1, 2)]
+    schema = "path string, row int, height int, width int, values array<double>"
+    stack = bands.stack_from_manifest(spark.createDataFrame(rows, schema), files, 2, "sample")
+    assert [(r.c1, r.c2) for r in stack.collect()] == [([1.0, 1.0], [1.0, 2.0])]
+    with pytest.raises(ValueError, match="no band rows for /f/a_x_c2.tif"):
+        bands.stack_from_manifest(spark.createDataFrame(rows[:1], schema), files, 2, "sample")
