@@ -1,10 +1,9 @@
 """Personal data by expansion of anchors.
 
 An Aho-Corasick automaton walks over each text once and reports short anchors: at-signs, plus signs before a digit,
-pairs of digits, single separators between digits, schemes, country codes before two digits, and words that announce an
-account or identifier. Around each
-anchor a local parser of that kind expands to the boundaries of the candidate and validates it; text without an anchor
-is not looked at again.
+pairs of digits, single separators between digits, schemes, country codes before two digits, brackets before a digit,
+prefixes of keys, and words that announce an account, an identifier or a secret. Around each anchor a local parser of that
+kind expands to the boundaries of the candidate and validates it; text without an anchor is not looked at again.
 
 =======  ==================  =======================================================================
 kind     anchor              parser
@@ -17,6 +16,10 @@ iban     IBAN, or DE99, ...  country code, two check digits and up to 30 charact
 account  account, acct, ...  a number of 6 to 18 digits right after the cue
 url      ://                 scheme to the left, address to the right; with a user's name, or a profile
 url      mailto:, tel:, sms: the address or the number of 5 to 15 digits right after the scheme
+secret   token, key, ...     the value behind ``=`` or ``:`` (a blank behind bearer): 12 characters or more with letters
+                             and digits, of passwords 6 or more with a letter and something else
+secret   AKIA, ghp_, ...     a key of the form its prefix stands for; a private key from its first line to its last
+local    ( and a digit       area code in brackets and a number, 9 to 12 digits, outside of phone and url spans
 =======  ==================  =======================================================================
 
 A country code is an anchor if it is in the registry; numbers of other countries need the cue, as their length is not
@@ -45,7 +48,7 @@ from pyspark.sql import types as T
 
 from lumipair.llm.common import batches, documents, ship
 
-KINDS = ["email", "ip", "card", "phone", "iban", "account", "url"]
+KINDS = ["email", "ip", "card", "phone", "iban", "account", "url", "secret", "local"]
 BASE = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,6 +75,25 @@ PERSON = re.compile(r"[^/?#]*@|[^/?#]+/(?:[^?#]*/)?(?:~|@|(?:u|users?|in|profile
 MAILBOX = re.compile(r"[^\s<>\"'`?,;:@]+@[^\s<>\"'`?,;:@]+")
 NUMBER = re.compile(r"\+?\(?[0-9][().0-9-]*[0-9]")
 SCHEMES = {"mailto:": MAILBOX, "tel:": NUMBER, "sms:": NUMBER}
+LOCAL_NUMBER = re.compile(r"\([0-9]{2,5}\)[ -]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")
+SECRET_CUES = ["token", "key", "apikey", "secret", "bearer", "credential", "credentials"]
+PASSWORD_CUES = ["password", "passwd", "pwd", "passphrase"]
+ASSIGNED = r"[\"']?[ \t]*(?:=>|:=|==?|:)[ \t]*[\"'`]?"
+SECRET = re.compile(ASSIGNED + r"([A-Za-z0-9+/_.~=-]+)")
+BEARER = re.compile(rf"(?:{ASSIGNED}|[ \t]+)([A-Za-z0-9+/_.~=-]+)")
+PASSWORD = re.compile(ASSIGNED + r"([^\s\"'`<>,;]+)")
+# The forms of keys that are known by their prefix.
+PREFIXED = {
+    "AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ASIA": re.compile(r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "gho_": re.compile(r"gho_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "ghs_": re.compile(r"ghs_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{20,}"),
+    "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{20,}"),
+    "AIza": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    "-----BEGIN ": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+}
 SPAN = "array<struct<kind:string,begin:int,end:int>>"
 
 
@@ -100,6 +122,13 @@ def anchors() -> ahocorasick.Automaton:
     for scheme in SCHEMES:
         for written in (scheme, scheme.capitalize(), scheme.upper()):
             found.add_word(written, ("scheme", len(written) - 1))
+    for cue in SECRET_CUES + PASSWORD_CUES:
+        for written in (cue, cue.capitalize(), cue.upper()):
+            found.add_word(written, (cue, len(written) - 1))
+    for prefix in PREFIXED:
+        found.add_word(prefix, (prefix, len(prefix) - 1))
+    for a in digits:
+        found.add_word(f"({a}", ("local", 1))
     found.make_automaton()
     return found
 
@@ -210,16 +239,40 @@ def _scheme(text: str, at: int, end: int) -> tuple[int, int, bool] | None:
     return end, end + len(address), fits
 
 
+def _secret(text: str, cue: str, end: int) -> tuple[int, int, bool] | None:
+    """The value that is assigned behind a cue that ends here."""
+    form = PASSWORD if cue in PASSWORD_CUES else BEARER if cue == "bearer" else SECRET
+    found = form.match(text, end)
+    if not found:
+        return None
+    value = found[1].rstrip(".")
+    letters, digits = sum(map(str.isalpha, value)), sum(map(str.isdigit, value))
+    if cue in PASSWORD_CUES:
+        fits = len(value) >= 6 and 0 < letters < len(value)
+    else:
+        fits = len(value) >= 12 and letters > 0 and digits > 1 and len(set(value)) >= 6
+    return found.start(1), found.start(1) + len(value), fits
+
+
+def _local_number(text: str, at: int) -> tuple[int, int, bool] | None:
+    found = LOCAL_NUMBER.match(text, at)
+    return (*found.span(), 9 <= sum(map(str.isdigit, found[0])) <= 12) if found else None
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(begin, number of the kind, end), ordered; kinds are numbered as listed."""
     spans: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
+    covered = 0  # end of the phone and url spans so far
 
     def take(kind: str, found: tuple[int, int, bool] | None) -> None:
+        nonlocal covered
         if found:
             done[kind] = max(done[kind], found[1])
             if found[2]:
                 spans.append((found[0], KINDS.index(kind), found[1]))
+                if kind in ("phone", "url"):
+                    covered = max(covered, found[1])
 
     for last, (kind, back) in anchors().iter(text):
         at = last - back
@@ -247,8 +300,18 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         elif kind == "scheme":
             if at >= done["url"] and not text[at - 1:at].isalnum():
                 take("url", _scheme(text, at, last + 1))
-        elif at >= done[kind] and not text[at - 1:at].isalnum():
-            take(kind, _account(text, last + 1))
+        elif kind == "local":
+            if at >= max(done[kind], covered):
+                take(kind, _local_number(text, at))
+        elif kind == "account":
+            if at >= done[kind] and not text[at - 1:at].isalnum():
+                take(kind, _account(text, last + 1))
+        elif at >= done["secret"] and not text[at - 1:at].isalnum():
+            form = PREFIXED.get(kind)
+            if form is None:
+                take("secret", _secret(text, kind, last + 1))
+            elif found := form.match(text, at):
+                take("secret", (*found.span(), True))
     return sorted(spans)
 
 
