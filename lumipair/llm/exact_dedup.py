@@ -4,15 +4,16 @@
    hash prefix.
 2. *Directory.* A page is addressed by the leading bits of the hash. Starting from one page, the directory doubles, and
    every overfull page splits on its next bit, until a page holds at most ``page_bytes`` or the directory has its full
-   depth. All depths are computed in one plan over the prefix sums. A page that is still overfull has copies of one text
-   as its main load: it gets a chain of overflow pages over which its rows are dealt.
+   depth. All depths are computed in one plan over the prefix sums. The page size grows with the total, so that hashes
+   of different texts never overfill a page by their number alone. A hash that would overfill a page by itself is that of
+   copies, which no bits can split: it gets a chain of pages of its own, over which its rows are dealt.
 3. *Owner tasks.* Every task owns a range of pages, that is, a range of hashes. Inside a page, rows of equal hash form a
-   chain; grouping by (hash, text) compares the bytes of the texts. Groups of overflow pages meet in a second grouping,
+   chain; grouping by (hash, text) compares the bytes of the texts. Groups of chained pages meet in a second grouping,
    with one row per page and text.
 4. Documents find their group by hash. Where two different texts share a hash, documents are joined by text instead.
 
 Each text is shuffled once, and the hash index, which is small, twice. The directory has at most ``2 ** MAX_DEPTH``
-rows of three numbers, so that it can be broadcast whatever the input is.
+rows of two numbers and the chained hashes, at most one for each page, so that both can be broadcast whatever the input is.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, a null doc_id being
 the smallest; of rows that repeat a doc_id and a text exactly one stays; an empty table gives an empty result; other
@@ -30,9 +31,11 @@ from lumipair.llm.common import documents, whole_text
 from lumipair.shared import written
 
 PAGE_BYTES = 32 * 1024 * 1024
-# Bounds the directory: 2 ** 18 rows of 24 bytes. At 100 TB a page then holds about 400 MB, which an aggregation can
-# spill.
+# Bounds the directory: 2 ** 18 rows of 16 bytes. Up to 4 TB a page has PAGE_BYTES; at 100 TB it has 800 MB, and the
+# aggregation of its groups spills.
 MAX_DEPTH = 18
+# A page has at least so many times the mean load of a cell.
+CELLS_A_PAGE = 2
 ROW_BYTES = 64
 
 
@@ -47,9 +50,9 @@ def _hash(text: Column, hash_bits: int) -> Column:
 
 
 def page_directory(cells: DataFrame, page_bytes: int, depth: int) -> DataFrame:
-    """(cell, first_page, n_pages) for every cell of the full depth that holds data.
+    """(cell, page) for every cell of the full depth that holds data.
 
-    ``cells`` has (cell, bytes). ``n_pages`` is above 1 only for overflow chains. Pages are numbered in hash order.
+    ``cells`` has (cell, bytes). A cell that is overfull at full depth is a page. Pages are numbered in hash order.
     """
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local_depth")
     every = cells.select("cell", "bytes", level).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - local_depth)"))
@@ -57,45 +60,68 @@ def page_directory(cells: DataFrame, page_bytes: int, depth: int) -> DataFrame:
     fits = loads.filter((F.col("load") <= page_bytes) | (F.col("local_depth") == depth))
     placed = (
         every.join(fits, ["local_depth", "prefix"])
-        .groupBy("cell").agg(F.min(F.struct("local_depth", "prefix", "load")).alias("page"))
-        .select("cell", "page.*")
+        .groupBy("cell").agg(F.min(F.struct("local_depth", "prefix")).alias("page")).select("cell", "page.*")
     )
-    n_pages = F.greatest(F.lit(1), F.ceil(F.col("load") / page_bytes)).cast("long")
-    pages = placed.groupBy("local_depth", "prefix").agg(F.min("cell").alias("first_cell"), F.max(n_pages).alias("n_pages"))
+    pages = placed.groupBy("local_depth", "prefix").agg(F.min("cell").alias("first_cell"))
     # At most 2 ** MAX_DEPTH small rows.
-    numbered = pages.selectExpr(
-        "local_depth", "prefix", "n_pages",
-        "sum(n_pages) over (order by first_cell rows between unbounded preceding and current row) - n_pages first_page",
+    numbered = pages.selectExpr("local_depth", "prefix", "row_number() over (order by first_cell) - 1L as page")
+    return placed.join(numbered, ["local_depth", "prefix"]).select("cell", "page")
+
+
+def chained_hashes(entries: DataFrame, cells: DataFrame, page_bytes: int, depth: int) -> DataFrame:
+    """(hash, cell, load, first, n_pages) of every hash whose own load is above a page; ``first`` counts chained pages.
+
+    Only entries of overfull cells are grouped by hash. There is at most one such hash, and one such cell, for each page.
+    """
+    overfull = cells.filter(F.col("bytes") > page_bytes).select("cell")
+    loads = (
+        entries.select("__hash", _prefix(F.col("__hash"), depth).alias("cell"), "bytes")
+        .join(F.broadcast(overfull), "cell", "left_semi")
+        .groupBy(F.col("__hash").alias("hash"), "cell").agg(F.sum("bytes").alias("load")).filter(F.col("load") > page_bytes)
+        .withColumn("n_pages", F.ceil(F.col("load") / page_bytes).cast("long"))
+    )
+    return loads.selectExpr(
+        "hash", "cell", "load", "n_pages",
+        "sum(n_pages) over (order by hash rows between unbounded preceding and current row) - n_pages as first",
     )
-    return placed.join(numbered, ["local_depth", "prefix"]).select("cell", "first_page", "n_pages")
 
 
 class Index:
     """The written hash index of a table of texts, its directory, and the grouping of equal texts."""
 
-    def __init__(self, rows: DataFrame, page_bytes: int, hash_bits: int = 64):
+    def __init__(self, rows: DataFrame, page_bytes: int, hash_bits: int = 64, max_depth: int = MAX_DEPTH):
         """``rows`` has __id, __text (not null), and whatever else is to be carried."""
         self.rows = rows.withColumn("__hash", _hash(F.col("__text"), hash_bits))
-        self.page_bytes = page_bytes
         size = F.octet_length("__text").cast("long") + ROW_BYTES
         self.entries = written(self.rows.select("__id", "__hash", size.alias("bytes")), "hash-index")
         total = self.entries.agg(F.sum("bytes")).first()[0] or 0
-        self.depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(1, total / page_bytes))) + 4))
+        page_bytes = max(page_bytes, math.ceil(CELLS_A_PAGE * total / 2 ** max_depth))
+        self.depth = min(max_depth, max(1, math.ceil(math.log2(max(1, total / page_bytes))) + 4))
         cells = self.entries.groupBy(_prefix(F.col("__hash"), self.depth).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-        self.directory = written(page_directory(cells, page_bytes, self.depth), "hash-directory")
-        self.pages, longest_chain = self.directory.agg(
-            F.coalesce(F.max(F.col("first_page") + F.col("n_pages")), F.lit(1)), F.coalesce(F.max("n_pages"), F.lit(1))
-        ).first()
-        self.has_chains = longest_chain > 1
+        cells = written(cells, "hash-cells")
+        self.chains = written(chained_hashes(self.entries, cells, page_bytes, self.depth), "hash-chains")
+        chained = self.chains.groupBy("cell").agg(F.sum("load").alias("load"))
+        others = cells.join(F.broadcast(chained), "cell", "left").select(
+            "cell", (F.col("bytes") - F.coalesce("load", F.lit(0))).alias("bytes")
+        )
+        self.directory = written(page_directory(others, page_bytes, self.depth), "hash-directory")
+        self.plain_pages = self.directory.agg(F.coalesce(F.max("page") + 1, F.lit(1))).first()[0]
+        chain_pages = self.chains.agg(F.coalesce(F.sum("n_pages"), F.lit(0))).first()[0]
+        self.pages = self.plain_pages + chain_pages
+        self.has_chains = chain_pages > 0
 
     def grouped(self, *found: Column) -> DataFrame:
         """(__hash, __text, __n_pages) and the aggregates ``found``, one row per page and text."""
+        # Rows of a chain are dealt by id and by the task that reads them, so that rows without ids spread as well, and a
+        # task that is run again deals them as before.
+        turn = F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.col("n_pages"))
         dealt = (
             self.rows.withColumn("__cell", _prefix(F.col("__hash"), self.depth))
             .join(F.broadcast(self.directory), F.col("__cell") == F.col("cell"))
-            .withColumn("__page", (F.col("first_page") + F.pmod(F.xxhash64("__id"), F.col("n_pages"))).cast("int"))
-            .withColumn("__n_pages", F.col("n_pages"))
-            .drop("cell", "first_page", "n_pages", "__cell")
+            .join(F.broadcast(self.chains.select("hash", "first", "n_pages")), F.col("__hash") == F.col("hash"), "left")
+            .withColumn("__page", F.coalesce(F.lit(self.plain_pages) + F.col("first") + turn, F.col("page")).cast("int"))
+            .withColumn("__n_pages", F.coalesce("n_pages", F.lit(1)))
+            .drop("cell", "page", "hash", "first", "n_pages", "__cell")
         )
         # The grouping below needs no exchange of its own: pages are whole in their task.
         owned = dealt.repartitionById(int(self.pages), "__page")

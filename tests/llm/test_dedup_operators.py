@@ -54,9 +54,28 @@ def test_survivors_keep_all_columns(docs, rows, page_bytes):
 
 def test_directory_splits_overfull_pages(spark):
     cells = spark.createDataFrame([(0, 10), (1, 10), (2, 90), (3, 250), (9, 5)], "cell long, bytes long")
-    got = {r.cell: (r.first_page, r.n_pages) for r in exact_dedup.page_directory(cells, 100, 4).collect()}
-    # Cells 0-1 share a page, cell 2 fills one, cell 3 stays overfull and is chained, 9 is alone in the upper half.
-    assert got == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 9: (5, 1)}
+    got = {r.cell: r.page for r in exact_dedup.page_directory(cells, 100, 4).collect()}
+    # Cells 0-1 share a page, cell 2 fills one, cell 3 stays overfull, 9 is alone in the upper half.
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 9: 3}
+
+
+def _index(spark, rows, **options):
+    return exact_dedup.Index(spark.createDataFrame(rows, "__id long, __text string").repartition(8), 2000, **options)
+
+
+def test_a_full_directory_makes_no_chains_without_copies(spark):
+    index = _index(spark, [(i, f"text {i}") for i in range(2000)], max_depth=4)
+    assert index.depth == 4 and not index.has_chains and index.pages <= 16
+    copies = [(5000 + i, "copy " * 500) for i in range(100)]
+    index = _index(spark, [(i, f"text {i}") for i in range(2000)] + copies, max_depth=4)
+    assert [r.cell for r in index.chains.collect()] and index.chains.count() == 1
+
+
+def test_hot_rows_without_ids_spread_over_their_chain(spark):
+    index = _index(spark, [(None, "copy " * 20)] * 4000)
+    assert index.has_chains
+    counts = [r["n"] for r in index.grouped(exact_dedup.F.count(exact_dedup.F.lit(1)).alias("n")).collect()]
+    assert sum(counts) == 4000 and len(counts) >= 5 and max(counts) <= 2000
 
 
 def test_exact_dedup_plan_has_no_python(spark):
