@@ -2,7 +2,8 @@
 
 Only pixels with a signal in both channels count, and a patch needs more than ``MIN_SUPPORT`` of them. All images, all
 pairs and all patches are computed in one plan. Pixels never leave the task that read them for Pearson: patches shrink
-to a few partial moments before the only shuffle. The rank methods have to bring a patch together: patches up to a size
+to a few partial moments before the only shuffle, in aggregates where no channel is in two pairs, and otherwise in products
+of all channels at once (``gram``), so that pixels are not copied for each pair. The rank methods have to bring a patch together: patches up to a size
 limit are gathered as arrays (``rank_methods``), larger ones are split by value (``large_patches``).
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumipair.functions.columns import has_signal
 from lumipair.operators import large_patches
+from lumipair.operators.gram import gram_rho
 from lumipair.operators.patches import check_grid, patch_column, patch_grid, patch_rows
 from lumipair.operators.rank_methods import rho_of_arrays
 from lumipair.schema import IMAGE, PAIR, PATCH, channel_pairs, channels_of
@@ -102,7 +104,8 @@ def moments_rho(x: Column, y: Column) -> Column:
     spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     rho = F.try_divide(F.covar_pop(x, y), spread)
-    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
+    # Infinite values leave no number, and NaN would count as the larger one.
+    return F.when(varies & ~F.isnan(rho), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
 
 
 def _supported(df: DataFrame, min_support: int) -> DataFrame:
@@ -144,6 +147,8 @@ def patch_rho(
     pairs = check_pairs(scanlines, pairs)
     keys = IMAGE + PAIR + PATCH
     if method == "pearson":
+        if 2 * len(pairs) > len({c for pair in pairs for c in pair}):
+            return _supported(gram_rho(scanlines, pairs, nx, ny).select(*keys, "n", "rho"), min_support)
         return _supported(pearson(pair_pixels(scanlines, pairs, nx, ny), keys), min_support)
 
     if largest is None:
