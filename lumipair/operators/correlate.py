@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumipair.functions.columns import has_signal
 from lumipair.operators import large_patches
 from lumipair.operators.gram import gram_rho
-from lumipair.operators.patches import check_grid, patch_column, patch_grid, patch_rows
+from lumipair.operators.patches import check_grid, patch_column, patch_grid, patch_height, patch_rows, patch_width
 from lumipair.operators.rank_methods import rho_of_arrays
 from lumipair.schema import IMAGE, PAIR, PATCH, channel_pairs, channels_of
 
@@ -70,8 +70,10 @@ def pair_pixels(
     )
 
 
-def gathered_patches(scanlines: DataFrame, channels: list[int], nx: int, ny: int) -> DataFrame:
+def gathered_patches(scanlines: DataFrame, channels: list[int], nx: int | Column, ny: int | Column) -> DataFrame:
     """One row per patch with each channel's pixels as one array. What is shuffled are runs of an image row."""
+    keys = [*IMAGE, *[c for c in ("resolution",) if c in scanlines.columns], *PATCH]
+    columns = ny if isinstance(ny, Column) else F.lit(ny)
     start = ((F.col("patch_j") - 1) * F.col("patch_w") + 1).cast("int")
     none = F.lit(None).cast("double")
 
@@ -82,11 +84,11 @@ def gathered_patches(scanlines: DataFrame, channels: list[int], nx: int, ny: int
 
     runs = (
         patch_rows(scanlines, nx, ny)
-        .withColumn("patch_j", F.explode(F.sequence(F.lit(1), F.lit(ny))))
-        .select(*IMAGE, *PATCH, F.struct(*map(run, channels)).alias("_run"))
+        .withColumn("patch_j", F.explode(F.sequence(F.lit(1), columns)))
+        .select(*keys, F.struct(*map(run, channels)).alias("_run"))
     )
-    gathered = runs.groupBy(*IMAGE, *PATCH).agg(F.collect_list("_run").alias("_runs"))
-    return gathered.select(*IMAGE, *PATCH, *[F.flatten(F.col(f"_runs.c{c}")).alias(f"c{c}") for c in channels])
+    gathered = runs.groupBy(*keys).agg(F.collect_list("_run").alias("_runs"))
+    return gathered.select(*keys, *[F.flatten(F.col(f"_runs.c{c}")).alias(f"c{c}") for c in channels])
 
 
 def both_have_signal() -> Column:
@@ -119,10 +121,13 @@ def pearson(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return masked.groupBy(*keys).agg(F.count("x").alias("n"), moments_rho(F.col("x"), F.col("y")).alias("rho"))
 
 
-def largest_patch(scanlines: DataFrame, nx: int, ny: int | None = None) -> int:
+def _patch_size(nx: int | Column, ny: int | Column) -> Column:
+    return patch_height(nx).cast("long") * patch_width(ny)
+
+
+def largest_patch(scanlines: DataFrame, nx: int | Column, ny: int | Column | None = None) -> int:
     """Pixels of the largest patch; reads the size columns only."""
-    ny = nx if ny is None else ny
-    size = F.max(F.expr(f"cast(height div {nx} as bigint) * (width div {ny})"))
+    size = F.max(_patch_size(nx, nx if ny is None else ny))
     return scanlines.agg(size.alias("size")).first()["size"] or 0
 
 
@@ -151,22 +156,32 @@ def patch_rho(
             return _supported(gram_rho(scanlines, pairs, nx, ny).select(*keys, "n", "rho"), min_support)
         return _supported(pearson(pair_pixels(scanlines, pairs, nx, ny), keys), min_support)
 
+    return _supported(rank_rho(scanlines, pairs, nx, ny, method, whole_patch, largest), min_support)
+
+
+def rank_rho(
+    scanlines: DataFrame, pairs: list[tuple[int, int]], nx: int | Column, ny: int | Column, method: str,
+    whole_patch: int = WHOLE_PATCH_PIXELS, largest: int | None = None,
+) -> DataFrame:
+    """Rank correlation of every (image, channel pair, patch), of any support; of scanlines with a ``resolution``, for each."""
+    place = [*IMAGE, *[c for c in ("resolution",) if c in scanlines.columns]]
+    keys = place + PAIR + PATCH
     if largest is None:
         largest = largest_patch(scanlines, nx, ny)
-    size = F.expr(f"cast(height div {nx} as bigint) * (width div {ny})")
+    size = _patch_size(nx, ny)
     small = scanlines if largest <= whole_patch else scanlines.filter(size <= whole_patch)
     gathered = gathered_patches(small, sorted({c for pair in pairs for c in pair}), nx, ny)
-    rho = rho_of_arrays(gathered, IMAGE + PATCH, pairs, method).select(*keys, "n", "rho")
+    rho = rho_of_arrays(gathered, place + PATCH, pairs, method).select(*keys, "n", "rho")
     if largest > whole_patch:
         large = scanlines.filter(size > whole_patch)
         pixels = pair_pixels(large, pairs, nx, ny).filter(both_have_signal())
         each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
-        grid = patch_grid(large, nx, ny).select(*IMAGE, F.inline(each), *PATCH)
+        grid = patch_grid(large, nx, ny).select(*place, F.inline(each), *PATCH)
         ranked = large_patches.METHODS[method](pixels, keys, whole_patch)
         rho = rho.unionByName(
             grid.join(ranked, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "rho")
         )
-    return _supported(rho, min_support)
+    return rho
 
 
 def usable_rho(rho: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def plane_matrix(column: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarr
     return np.where(np.arange(width) < lengths, values[np.minimum(places, len(values) - 1)], np.nan)
 
 
-def _of_pixels(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> list[float]:
+def of_pixels(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> list[float]:
     x, y = x[both], y[both]
     dx, dy = x - x.mean(), y - y.mean()
     return [len(x), x.mean(), y.mean(), dx @ dx, dy @ dy, dx @ dy, x.min(), x.max(), y.min(), y.max()]
@@ -72,7 +72,7 @@ def run_moments(planes: np.ndarray, ny: int, x: np.ndarray, y: np.ndarray) -> np
     sure = (found[:, SXX] > DOUBTFUL * qx) & (found[:, SYY] > DOUBTFUL * qy) & np.isfinite(found[:, :LOX]).all(1)
     for j, k in np.argwhere(~sure):
         both = signal[j, x[k]] & signal[j, y[k]]
-        found[j, :, k] = _of_pixels(values[j, x[k]], values[j, y[k]], both) if both.any() else none
+        found[j, :, k] = of_pixels(values[j, x[k]], values[j, y[k]], both) if both.any() else none
     return found
 
 
@@ -107,7 +107,7 @@ def _batch_of(keys: list[tuple], columns: list[pa.Array], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([*places, *columns], names=[*IMAGE, *PATCH, *names])
 
 
-def _lists(rows: np.ndarray, mask: np.ndarray | None = None, kind: pa.DataType | None = None) -> pa.ListArray:
+def lists(rows: np.ndarray, mask: np.ndarray | None = None, kind: pa.DataType | None = None) -> pa.ListArray:
     flat = pa.array(rows.ravel(), kind, mask=None if mask is None else mask.ravel())
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), flat)
 
@@ -125,7 +125,7 @@ def gram_rho(scanlines: DataFrame, pairs: list[tuple[int, int]], nx: int, ny: in
             keys = [(*key, j + 1) for key in kept for j in range(ny)]
             moments = np.concatenate(list(kept.values()))
             kept.clear()
-            return _batch_of(keys, [_lists(moments.reshape(len(moments), -1))], ["moments"])
+            return _batch_of(keys, [lists(moments.reshape(len(moments), -1))], ["moments"])
 
         for batch in batches:
             runs: dict[tuple, list[int]] = {}
@@ -152,7 +152,7 @@ def gram_rho(scanlines: DataFrame, pairs: list[tuple[int, int]], nx: int, ny: in
         def closed(keys: list[tuple], moments: np.ndarray) -> pa.RecordBatch:
             with np.errstate(all="ignore"):
                 rho = correlations(moments)
-            return _batch_of(keys, [_lists(moments[:, N].astype(np.int64)), _lists(rho, np.isnan(rho))], ["n", "rho"])
+            return _batch_of(keys, [lists(moments[:, N].astype(np.int64)), lists(rho, np.isnan(rho))], ["n", "rho"])
 
         for batch in batches:
             if not batch.num_rows:

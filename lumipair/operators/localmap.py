@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from lumipair.operators.correlate import (
     MIN_SUPPORT,
     WHOLE_PATCH_PIXELS,
-    both_have_signal,
     check_pairs,
-    pair_pixels,
     patch_rho,
-    pearson,
+    rank_rho,
 )
 from lumipair.operators.images import dimensions
+from lumipair.operators.summed_areas import grid_rho
 from lumipair.schema import IMAGE, PAIR, PATCH
 from lumipair.shared import lookup_join, written
 
@@ -53,27 +52,18 @@ def map_rho(
     if failed.isEmpty():
         return fine
 
-    # First only counts, for every grid whose patches could hold enough pixels; then the correlations of the chosen grid.
-    coarse = F.explode(F.array(*[F.lit(c) for c in candidates]))
-    enough = F.expr("cast(height div resolution as bigint) * (width div resolution)") > min_support
+    # Counts and moments of every grid from one pass over the images that failed.
     retried = lookup_join(scanlines, failed.select(*IMAGE).distinct(), IMAGE)
-    retried = retried.withColumn("resolution", coarse).filter(enough)
-    keys = [*IMAGE, *PAIR, "resolution", *PATCH]
-    usable = pair_pixels(retried, pairs, F.col("resolution")).filter(both_have_signal()).groupBy(*keys).count()
-    best = usable.filter(F.col("count") > min_support).groupBy(*IMAGE, *PAIR).agg(F.max("resolution").alias("resolution"))
+    tried = written(grid_rho(retried, pairs, candidates, min_support), "tried")
+    best = tried.filter(F.col("n") > min_support).groupBy(*IMAGE, *PAIR).agg(F.max("resolution").alias("resolution"))
     chosen = written(best.join(failed, [*IMAGE, *PAIR], "left_semi"), "chosen")
-    lines = lookup_join(scanlines, chosen.select(*IMAGE, "resolution").distinct(), IMAGE)
     if method == "pearson":
-        again = pearson(pair_pixels(lines, pairs, F.col("resolution")), keys)
-        again = again.withColumn("rho", F.when(F.col("n") > min_support, F.col("rho"))).select(*_RESULT)
+        again = tried
     else:
-        again = fine.limit(0)
-        for c in sorted(r.resolution for r in chosen.select("resolution").distinct().collect()):
-            one = patch_rho(
-                lines.filter(F.col("resolution") == c).drop("resolution"), c, pairs=pairs, method=method,
-                min_support=min_support, whole_patch=whole_patch,
-            )
-            again = again.unionByName(one.withColumn("resolution", F.lit(c)).select(*_RESULT))
+        lines = lookup_join(scanlines, chosen.select(*IMAGE, "resolution").distinct(), IMAGE)
+        grid = F.col("resolution")
+        again = rank_rho(lines, pairs, grid, grid, method, whole_patch)
+    again = again.withColumn("rho", F.when(F.col("n") > min_support, F.col("rho")))
     again = again.join(chosen, [*IMAGE, *PAIR, "resolution"], "left_semi")
     kept = fine.join(has_value, [*IMAGE, *PAIR], "left_semi")
     return kept.select(*_RESULT).unionByName(again.select(*_RESULT))
