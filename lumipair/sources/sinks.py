@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +14,23 @@ def write_samples(samples: DataFrame, folder: str) -> None:
     samples.write.mode("errorifexists").partitionBy("kind", "ch_x", "ch_y").option("header", True).csv(folder)
 
 
-def append_report(report: DataFrame, folder: str, digits: int = 6) -> None:
-    """Append report lines, separated by ``|`` and rounded half to even. Read back with ``header=True, sep='|'``."""
+def append_report(report: DataFrame, folder: str, digits: int = 6, run_id: str | None = None) -> None:
+    """Append report lines, separated by ``|`` and rounded half to even. Read back with ``header=True, sep='|'``.
+
+    The lines of a run are a partition, ``run=<run_id>``. A job that is run again with its ``run_id`` replaces what it wrote
+    before, finished or not, and leaves the lines of other runs alone. Without one every call is a run of its own.
+    """
+    run_id = uuid.uuid4().hex if run_id is None else run_id
+    if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", run_id):
+        raise ValueError("a run id consists of letters, digits, dots, hyphens and underscores")
     rounded = [
         F.when(F.isnan(f.name) | F.col(f.name).isin(float("inf"), float("-inf")), F.col(f.name))
         .otherwise(F.bround(f.name, digits)).alias(f.name)
         if f.dataType.typeName() == "double" else F.col(f.name)
         for f in report.schema.fields
     ]
-    report.select(*rounded).write.mode("append").option("header", True).option("sep", "|").csv(folder)
+    lines = report.select(*rounded).write.mode("overwrite").option("header", True).option("sep", "|")
+    lines.csv(f"{folder.rstrip('/')}/run={run_id}")
 
 
 def write_new(df: DataFrame, folder: str) -> None:

@@ -108,6 +108,19 @@ def test_sinks(spark, tmp_path):
         sinks.write_new(line, report)
 
 
+def test_a_run_that_is_appended_again_replaces_its_lines(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    for value, run in ((1.0, "a"), (2.0, "b"), (3.0, "a"), (3.0, "a"), (4.0, None), (5.0, None)):
+        line = spark.createDataFrame([(1, value)], "channel_1 int, mean double")
+        sinks.append_report(line, folder, run_id=run)
+    back = spark.read.schema("channel_1 int, mean double").csv(folder, header=True, sep="|")
+    assert sorted(r["mean"] for r in back.collect()) == [2.0, 3.0, 4.0, 5.0]
+    assert {r.run for r in back.filter("mean < 4").collect()} == {"a", "b"}
+    for bad in ("", "a/b", "../x", "a=b"):
+        with pytest.raises(ValueError, match="run id"):
+            sinks.append_report(line, folder, run_id=bad)
+
+
 def test_image_table_and_stack(spark, make_scanlines):
     plane = [[1, 2], [3, 4], [5, 6]]
     scanlines = make_scanlines({("sample", k): [plane, plane] for k in ("b", "a", "c")})
