@@ -9,6 +9,7 @@ from lumipair.operators.correlate import (
     MIN_SUPPORT,
     WHOLE_PATCH_PIXELS,
     check_pairs,
+    dropped_images,
     patch_rho,
     rank_rho,
 )
@@ -69,6 +70,11 @@ def map_rho(
     return kept.select(*_RESULT).unionByName(again.select(*_RESULT))
 
 
+def dropped_from_map(scanlines: DataFrame, n: int, pairs: list[tuple[int, int]] | None = None, **options) -> DataFrame:
+    """Images without a place in the map or without any correlation in it, with the reason (``correlate.dropped_images``)."""
+    return dropped_images(scanlines, map_rho(scanlines, n, pairs, **options), pairs)
+
+
 def local_map(scanlines: DataFrame, n: int, **options) -> DataFrame:
     """The table behind a local correlation map: plot position in pixels and the correlation or ``MISSING``."""
     rho = lookup_join(map_rho(scanlines, n, **options), dimensions(scanlines), IMAGE)

@@ -92,6 +92,11 @@ class Result:
         pairs = [self.options.pair] if self.options.pair else None
         return localmap.local_map(self.masked, self.options.map_patches, pairs=pairs, method=self.options.method)
 
+    def dropped_from_map(self) -> DataFrame:
+        """Images that the local map leaves out or shows without any correlation."""
+        pairs = [self.options.pair] if self.options.pair else None
+        return localmap.dropped_from_map(self.masked, self.options.map_patches, pairs=pairs, method=self.options.method)
+
     def bayes_factor_curve(self) -> DataFrame:
         thresholds = evidence.thresholds_between(*self.options.rho_range, self.options.rho_step)
         factors = evidence.draw_bayes_factors(self.samples, thresholds, rows_per_group=self.options.draws)

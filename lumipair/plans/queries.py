@@ -495,7 +495,8 @@ def samples_round_trip(spark, sf):
     """All draws written as CSV and read back."""
     folder = new_table_path(spark, "samples")
     write_samples(lineitem_samples(spark, sf)[0], folder)
-    back = spark.read.csv(folder, header=True, inferSchema=True)
+    kinds = ", ".join([*[f"{p} double" for p in GLOBAL_PARAMETERS], "kind string", "ch_x int", "ch_y int"])
+    back = spark.read.schema(f"draw long, {kinds}").csv(folder, header=True, enforceSchema=False)
     return back.groupBy("kind", *[F.col(c).cast("int").alias(c) for c in PAIR]).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("mu_sample"), 6).alias("mean_sample"), F.round(F.avg("mu_control"), 6).alias("mean_control")
     )

@@ -95,6 +95,13 @@ def test_map_falls_back_to_the_finest_usable_grid(mixed, method):
     assert usable == {"fine": 144, "sparse": 4, "tiny": 4}
 
 
+def test_images_that_a_map_drops_are_listed(mixed):
+    dropped = localmap.dropped_from_map(mixed, 12, step=2).collect()
+    assert [(r.image_id, r.ch_x, r.ch_y, r.reason) for r in dropped] == [("dark", 1, 2, "no_patch")]
+    dropped = localmap.dropped_from_map(mixed, 6, step=10).collect()
+    assert {(r.image_id, r.reason) for r in dropped} >= {("dark", "no_usable_patch")}
+
+
 def test_map_without_coarser_grids_keeps_missing_values(mixed):
     shown = localmap.local_map(mixed, 6, step=10).toPandas()
     assert set(shown["image_id"]) == {"fine", "sparse", "dark", "tiny"}
