@@ -5,12 +5,14 @@ square roots scaled to length one. Linear support vector machines, trained by av
 between families (each against the rest) and then, inside the family found, between every two of its languages. The
 language with most won duels is taken, ties going to the larger sum of margins.
 
-The machines are fitted on a bounded sample: about ``SAMPLE`` labelled documents of each language, chosen by a hash of
-the id. Prediction reads every text whole and shuffles nothing.
-
-Defined results: ``und`` with score 0 for a null text, a text without a letter, or if no language could be learned;
-languages with fewer than ``FEWEST`` labelled documents in the sample are not learned; rows with a null label are not
-used; repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
+The machines are fitted on a bounded sample: about ``SAMPLE`` different texts of each language, chosen by a hash of the
+text, so that the bound holds whatever ids are null or repeated. Every language with a labelled text is learned; the
+driver holds the cells of the sample and a machine for each family and for each pair of languages of a family.
+Prediction reads every text whole and shuffles nothing.
+
+Defined results: ``und`` with score 0 for a null text, a text without a letter, or if no language could be learned; rows
+with a null label are not used; a text counts once for each language it is labelled with, however often it is repeated;
+repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from lumipair.llm.common import batches, documents, fold
 
 DIMENSIONS = 4096
 SAMPLE = 1000
-FEWEST = 5
 UNKNOWN = "und"
 # Language families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -68,17 +69,20 @@ class Machine:
         return float(self.weights[at] @ value) + self.bias
 
 
-def fit_machine(rows: np.ndarray, sign: np.ndarray, epochs: int = 12, rate: float = 0.5, penalty: float = 1e-4) -> Machine:
+Cells = tuple[np.ndarray, np.ndarray]
+
+
+def fit_machine(rows: list[Cells], sign: np.ndarray, epochs: int = 12, rate: float = 0.5, penalty: float = 1e-4) -> Machine:
     """Hinge loss with classes of equal weight; the average over the later half of the steps is returned."""
     n, rng = len(rows), np.random.default_rng(7)
     weight_of = {s: n / (2 * max(1, int((sign == s).sum()))) for s in (1, -1)}
-    w, bias, w_sum, bias_sum, taken = np.zeros(rows.shape[1]), 0.0, np.zeros(rows.shape[1]), 0.0, 0
+    w, bias, w_sum, bias_sum, taken = np.zeros(DIMENSIONS), 0.0, np.zeros(DIMENSIONS), 0.0, 0
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(n):
-            s = sign[i]
-            if s * (rows[i] @ w + bias) < 1:
-                w += step * s * weight_of[s] * rows[i]
+            s, (at, value) = sign[i], rows[i]
+            if s * (w[at] @ value + bias) < 1:
+                w[at] += step * s * weight_of[s] * value
                 bias += 0.1 * step * s * weight_of[s]
         w *= 1 - penalty * step * n
         if 2 * epoch >= epochs:
@@ -120,38 +124,42 @@ def _sigmoid(x: float) -> float:
 
 
 def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [cells(t) for t in batch.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))],
-        names=["lang", "at", "value"],
-    )
+    found = [cells(t) for t in batch.column(2).to_pylist()]
+    at = pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32()))
+    value = pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, value], names=["lang", "key", "at", "value"])
+
+
+def chosen_texts(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, key, text): about ``sample`` different texts of each language with a letter, all where there are fewer."""
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("key"), "text")
+    texts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
+    if not texts:
+        return usable
+    share = F.create_map(*[F.lit(x) for lang, n in texts.items() for x in (lang, min(1.0, sample / n))])
+    # A text may be a third of all rows: its copies are combined in the tasks that read them.
+    return usable.filter(F.pmod("key", F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)).dropDuplicates(["lang", "key"])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from (doc_id, text, lang) on the bounded sample; the driver holds its descriptions only."""
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return Model({}, {}, {})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    found = batches(chosen.select("lang", "text"), _describe, "lang string, at array<int>, value array<float>").toArrow()
+    """Learn from (text, lang) on the bounded sample; the driver holds its cells only."""
+    found = batches(chosen_texts(labelled, sample), _describe, "lang string, key long, at array<int>, value array<float>").toArrow()
+    found = found.sort_by([("lang", "ascending"), ("key", "ascending")])
     langs = np.array(found.column("lang").to_pylist(), object)
-    rows = np.zeros((len(langs), DIMENSIONS), np.float32)
-    for i, (at, value) in enumerate(zip(found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True)):
-        rows[i, at] = value
-    learned = sorted(lang for lang in counts if (langs == lang).sum() >= FEWEST)
+    rows = [
+        (at.values.to_numpy(), value.values.to_numpy().astype(np.float64))
+        for at, value in zip(found.column("at"), found.column("value"), strict=True)
+    ]
     families: dict[str, list[str]] = {}
-    for lang in learned:
+    for lang in dict.fromkeys(langs):
         families.setdefault(family_of(lang), []).append(lang)
     family = np.array([family_of(lang) for lang in langs], object)
-    known = np.isin(langs, learned)
-    families_fit = {f: fit_machine(rows[known], np.where(family[known] == f, 1, -1)) for f in families} if len(families) > 1 else {}
+    families_fit = {f: fit_machine(rows, np.where(family == f, 1, -1)) for f in families} if len(families) > 1 else {}
     pairs = {}
     for members in families.values():
         for a, b in combinations(members, 2):
-            both = (langs == a) | (langs == b)
-            pairs[a, b] = fit_machine(rows[both], np.where(langs[both] == a, 1, -1))
+            both = np.flatnonzero((langs == a) | (langs == b))
+            pairs[a, b] = fit_machine([rows[i] for i in both], np.where(langs[both] == a, 1, -1))
     return Model(families, families_fit, pairs)
 
 
@@ -171,5 +179,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs.filter(fold(4) != 2).select("doc_id", "text", "lang"))
+    model = fit(docs.filter(fold(4) != 2).select("text", "lang"))
     return predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")

@@ -10,7 +10,8 @@ is one step of the search and not thousands. Bitmaps are exact: bits are numbere
 occur there more than once have one.
 
 Documents are dealt by hash to shards of about ``SHARD_TOKENS`` tokens, which are packed independently of each other; a
-source or cluster of any size spreads over all of them. A document longer than a bin is cut: its full pieces are bins of
+source or cluster of any size spreads over all of them. Equal rows are counted first and dealt in portions of at most an
+eighth of a shard, so that a third of all rows with one null id and one length spread as well. A document longer than a bin is cut: its full pieces are bins of
 their own and the rest is packed like any other, as part of the same document.
 
 Defined results: a null source or cluster conflicts with nothing; a length that is null or below 1 counts as 1, the end
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,8 +76,9 @@ def pack_shard(rows: Iterable[tuple[int | None, int | None, str | None, int | No
     """(doc_id, piece, bin, begin, n_tokens) from (doc_id, n_tokens, source, cluster)."""
     known = [(i, max(1, n or 1), s, c) for i, n, s, c in rows]
     times = Counter(c for *_, c in known if c is not None)
-    clusters = {c: 1 << k for k, c in enumerate(c for c, n in times.items() if n > 1)}
-    sources = {s: 1 << k for k, s in enumerate(dict.fromkeys(s for _, _, s, _ in known if s is not None))}
+    # Bits are numbered in order of the names, so that a task that is run again gives the same bins.
+    clusters = {c: 1 << k for k, c in enumerate(sorted(c for c, n in times.items() if n > 1))}
+    sources = {s: 1 << k for k, s in enumerate(sorted({s for _, _, s, _ in known if s is not None}))}
     n_full, rest = 0, []
     for i, n, s, c in known:
         pieces, left = divmod(n, capacity)
@@ -91,11 +93,26 @@ def pack_shard(rows: Iterable[tuple[int | None, int | None, str | None, int | No
         yield i, piece, f"{shard}-{number}", begin, -size
 
 
+def portions(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, n_shards: int = 1) -> DataFrame:
+    """(doc_id, n_tokens, source, cluster, times, shard): equal rows as portions of at most an eighth of a shard."""
+    row = ["doc_id", "n_tokens", "source", "cluster"]
+    kinds = ["long", "long", "string", "long"]
+    counted = docs.select(*[F.col(c).cast(k) for c, k in zip(row, kinds, strict=True)]).groupBy(*row).agg(F.count(F.lit(1)).alias("_all"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(shard_tokens / 8) / _size()))
+    cut = counted.withColumn("_most", most).withColumn("_portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / F.col("_most")))))
+    times = F.least("_most", F.col("_all") - F.col("_portion") * F.col("_most")).cast("long")
+    shard = F.pmod(F.xxhash64(*row, "_portion"), F.lit(n_shards)).cast("int")
+    return cut.select(*row, times.alias("times"), shard.alias("shard"))
+
+
+def _size() -> Column:
+    return (F.greatest(F.lit(1), F.coalesce("n_tokens", F.lit(1))) + ROW_TOKENS).cast("long")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pack (doc_id, n_tokens, source, cluster): one row for each piece, with the bin and its place there."""
     ship(docs.sparkSession)
-    size = F.greatest(F.lit(1), F.coalesce("n_tokens", F.lit(1))) + ROW_TOKENS
-    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    total = docs.agg(F.sum(_size())).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard_tokens))
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +120,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TO
         shard = 0
         for item in items:
             columns = [c.to_pylist() for c in item.columns]
-            rows.extend(zip(*columns[:4], strict=True))
-            shard = columns[4][0] if columns[4] else shard
+            for *row, times, shard in zip(*columns, strict=True):
+                rows.extend([tuple(row)] * times)
         held: list[tuple] = []
         for row in pack_shard(rows, shard, capacity):
             held.append(row)
@@ -113,9 +130,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TO
                 held = []
         yield _batch(held)
 
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"), F.lit(n_shards)).cast("int").alias("shard")
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), shard)
-    return dealt.repartitionById(n_shards, "shard").mapInArrow(run, PACKED)
+    return portions(docs, shard_tokens, n_shards).repartitionById(n_shards, "shard").mapInArrow(run, PACKED)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -144,16 +159,25 @@ def _token_lengths(texts: pa.Array) -> pa.Array:
     return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known)], pa.int64()))
 
 
-def packable(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, source, cluster) of documents. A cluster holds the texts with the same letters and digits, whatever
-    their case, punctuation and white space."""
+def packable(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, source, cluster) of documents.
+
+    ``clusters`` (doc_id, cluster), an id once at most, are the clusters of a near-duplicate operator, such as its
+    components; a document that is not listed has none. Without them a cluster holds the texts with the same letters and
+    digits, whatever their case, punctuation and white space; a text without a letter or digit has none.
+    """
     ship(docs.sparkSession)
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    return docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source", F.xxhash64(F.trim(plain)).alias("cluster"))
+    if clusters is not None:
+        lengths = docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source")
+        return lengths.join(clusters.select("doc_id", F.col("cluster").cast("long")), "doc_id", "left")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source", F.when(plain != "", F.xxhash64(plain)).alias("cluster"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    return pack(written(packable(docs), "packable"), capacity, shard_tokens)
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, clusters: DataFrame | None = None
+) -> DataFrame:
+    return pack(written(packable(docs, clusters), "packable"), capacity, shard_tokens)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bi
 
 def slow_pack(rows, capacity):
     """The tightest compatible bin for each document, by looking at all bins; the oldest of bins in equal state."""
-    sources = {s: 1 << k for k, s in enumerate(dict.fromkeys(s for _, _, s, _ in rows if s is not None))}
+    sources = {s: 1 << k for k, s in enumerate(sorted({s for _, _, s, _ in rows if s is not None}))}
     clusters = [c for *_, c in rows if c is not None]
-    bits = {c: 1 << k for k, c in enumerate(c for c in dict.fromkeys(clusters) if clusters.count(c) > 1)}
+    bits = {c: 1 << k for k, c in enumerate(c for c in sorted(set(clusters)) if clusters.count(c) > 1)}
     bins, placed, since = [], {}, 0
     for i, n, s, c in sorted(rows, key=lambda r: (-r[1], r[0], r[3] is not None, r[3] or 0)):
         n %= capacity
@@ -68,6 +68,30 @@ def test_pieces_conflicts_and_room(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long, source string, cluster long")).count() == 0
 
 
+def test_equal_rows_spread_over_shards(spark):
+    rows = [(None, 12, "s", None)] * 4000 + [(i, 12, "s", None) for i in range(2000)] + [(5, 12, None, 7)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long")
+    cut = packing.portions(docs, 8000, 33)
+    hot = cut.filter("doc_id is null").groupBy("shard").sum("times").collect()
+    assert sum(r[1] for r in hot) == 4000 and len(hot) > 20 and max(r[1] for r in hot) < 4000 / 5
+    assert cut.agg({"times": "sum"}).first()[0] == len(rows)
+    got = packing.pack(docs, 2048, 8000)
+    assert got.groupBy("doc_id").count().exceptAll(docs.groupBy("doc_id").count()).count() == 0
+    assert got.filter("doc_id = 5").count() == 5 - 1
+
+
+def test_clusters_of_near_copies_conflict(spark):
+    words = [f"word{i}" for i in range(200)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in (50, 120)]
+    rows = [(1, near[0], "a"), (2, near[1], "b"), (3, "short text", "c"), (4, "?!", "d"), (5, "--", "e"), (6, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = {r.doc_id: r.bin for r in packing.pack_documents(docs, 10_000).collect()}
+    assert len(set(own.values())) == 1  # nothing is a copy by letters and digits; texts without them have no cluster
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "doc_id long, cluster long")
+    apart = {r.doc_id: r.bin for r in packing.pack_documents(docs, 10_000, clusters=clusters).collect()}
+    assert apart.keys() == own.keys() and apart[1] != apart[2] and len(set(apart.values())) == 2
+
+
 def test_packing_query_holds_every_document(spark):
     got = QUERIES["op2_packing"](spark, SF)
     lengths = packing.packable(spark.read.parquet(f"{SF}/documents.parquet"))
