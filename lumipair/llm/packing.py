@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumipair.llm import tokens
 from lumipair.llm.common import documents, each_slice, ship
 from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import written
@@ -38,7 +39,8 @@ from lumipair.shared import written
 CAPACITY = 2048
 SHARD_TOKENS = 6_000_000
 ROW_TOKENS = 32  # what a document counts besides its tokens, so that a shard of short ones stays small
-# Other stages of a pipeline use the same workers, so that this one remembers less than the others.
+# What workers remember of token counts where other stages of a pipeline use the same workers; a packing of its own
+# remembers as much as other token operators.
 REMEMBERED_BYTES = 48_000_000
 PACKED = "doc_id long, piece int, bin string, begin int, n_tokens int"
 
@@ -140,7 +142,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 @lru_cache(maxsize=1)
-def _library_counts(path: str) -> Memory:
+def _library_counts(path: str, most_bytes: int) -> Memory:
     """Piece of text to the number of its tokens, by the tokenizers library."""
     tokenizer = library_tokenizer(path)
 
@@ -148,18 +150,22 @@ def _library_counts(path: str) -> Memory:
         found = tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return list(map(len, found))
 
-    return by_parts(vocabulary(path), count, sum, REMEMBERED_BYTES)
+    return by_parts(vocabulary(path), count, sum, most_bytes)
 
 
-@F.arrow_udf(T.LongType())
-def _token_lengths(texts: pa.Array) -> pa.Array:
+def _token_lengths(most_bytes: int):
     """Tokens of each text, with the end of the document."""
-    path = vocabulary_path()
-    own, known = vocabulary(path), _library_counts(path)
-    return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known)], pa.int64()))
 
+    @F.arrow_udf(T.LongType())
+    def lengths(texts: pa.Array) -> pa.Array:
+        path = vocabulary_path()
+        own, known = vocabulary(path), _library_counts(path, most_bytes)
+        return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known)], pa.int64()))
 
-def packable(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    return lengths
+
+
+def packable(docs: DataFrame, clusters: DataFrame | None = None, remembered_bytes: int = REMEMBERED_BYTES) -> DataFrame:
     """(doc_id, n_tokens, source, cluster) of documents.
 
     ``clusters`` (doc_id, cluster), an id once at most, are the clusters of a near-duplicate operator, such as its
@@ -167,18 +173,20 @@ def packable(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     digits, whatever their case, punctuation and white space; a text without a letter or digit has none.
     """
     ship(docs.sparkSession)
+    n_tokens = _token_lengths(remembered_bytes)("text").alias("n_tokens")
     if clusters is not None:
-        lengths = docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source")
+        lengths = docs.select("doc_id", n_tokens, "source")
         return lengths.join(clusters.select("doc_id", F.col("cluster").cast("long")), "doc_id", "left")
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return docs.select("doc_id", _token_lengths("text").alias("n_tokens"), "source", F.when(plain != "", F.xxhash64(plain)).alias("cluster"))
+    return docs.select("doc_id", n_tokens, "source", F.when(plain != "", F.xxhash64(plain)).alias("cluster"))
 
 
 def pack_documents(
-    docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, clusters: DataFrame | None = None
+    docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, clusters: DataFrame | None = None,
+    remembered_bytes: int = REMEMBERED_BYTES,
 ) -> DataFrame:
-    return pack(written(packable(docs, clusters), "packable"), capacity, shard_tokens)
+    return pack(written(packable(docs, clusters, remembered_bytes), "packable"), capacity, shard_tokens)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir), remembered_bytes=tokens.REMEMBERED_BYTES)

@@ -10,7 +10,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import Any
@@ -52,20 +52,23 @@ class Memory:
 
     def learn(self, pieces: set[bytes]) -> list[bytes]:
         """Make what is not known of ``pieces``; returns the long ones among them, which are to be forgotten after use."""
-        fresh = pieces.difference(self.known)
-        if fresh and self.held > self.most_bytes:
-            self.known.clear()
-            self.held, fresh = 0, pieces
-        new = list(fresh)
+        new = list(pieces.difference(self.known))
+        if new and self.held > self.most_bytes:
+            # The pieces at hand stay, as those that are common are among them.
+            self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
+            self.held = self._bytes(self.known, self.known.values())
         made = self.make(new) if new else []
         self.known.update(zip(new, made, strict=True))
-        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(len(m) for m in made if isinstance(m, bytes))
+        self.held += self._bytes(new, made)
         return [p for p in new if len(p) > LONGEST_REMEMBERED]
 
     def forget(self, pieces: list[bytes]) -> None:
         for piece in pieces:
-            made = self.known.pop(piece)
-            self.held -= ENTRY_BYTES + len(piece) + (len(made) if isinstance(made, bytes) else 0)
+            self.held -= self._bytes([piece], [self.known.pop(piece)])
+
+    @staticmethod
+    def _bytes(pieces: Collection[bytes], made: Iterable[Any]) -> int:
+        return ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + sum(len(m) for m in made if isinstance(m, bytes))
 
     def each(self, groups: list[list[bytes]]) -> Iterator[list[Any]]:
         """The results for each list of pieces; what is not known is made together."""

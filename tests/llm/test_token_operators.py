@@ -92,6 +92,14 @@ def test_memory_is_bounded_by_bytes():
         assert memory.held <= 60_000 and len(memory.known) <= 400 and b"x" * 1000 not in memory.known
 
 
+def test_common_pieces_are_made_once():
+    made = []
+    memory = Memory(lambda pieces: made.extend(pieces) or pieces, 20_000)
+    for i in range(50):
+        memory.of([b"common", *(b"%d-%d" % (i, k) for k in range(50))])
+    assert made.count(b"common") == 1 and len(memory.known) < 250
+
+
 def test_encode_decode_and_counts_match_the_library(odd, library):
     got = bpe.decode(bpe.encode(odd)).join(token_counts.token_counts(odd).dropDuplicates(), "doc_id").collect()
     assert len(got) == len(ODD) + 1
