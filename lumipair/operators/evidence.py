@@ -91,8 +91,14 @@ def summarise(draws: DataFrame, keys: list[str], columns: list[str], rows_per_gr
     )
 
 
-def bandwidths(draws: DataFrame, keys: list[str], column: str, rows_per_group: int | None = None) -> DataFrame:
-    """Kernel bandwidth after Silverman (1986): 0.9 min(sd, IQR / 1.34) n^(-1/5)."""
+def bandwidths(
+    draws: DataFrame, keys: list[str], column: str, rows_per_group: int | None = None, sd_if_flat: bool = True
+) -> DataFrame:
+    """Kernel bandwidth after Silverman (1986): 0.9 min(sd, IQR / 1.34) n^(-1/5).
+
+    Where the middle half of the draws is one value, the standard deviation takes the quartiles' place, or, without
+    ``sd_if_flat``, the width is 0.
+    """
     long = draws.select(*keys, F.col(column).alias("value")).filter(F.col("value").isNotNull())
     moments = (
         F.count("value").alias("n"), F.stddev_samp("value").alias("sd"),
@@ -100,23 +106,30 @@ def bandwidths(draws: DataFrame, keys: list[str], column: str, rows_per_group: i
     )
     quarters = quantiles(long, keys, [0.25, 0.75], rows_per_group, moments)
     iqr = (F.col("quantiles")[1] - F.col("quantiles")[0]) / F.lit(1.34)
-    spread = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
+    least = F.least("sd", iqr)
+    spread = F.when(iqr > 0, least).otherwise(F.col("sd")) if sd_if_flat else least
     return quarters.select(
         *keys, "n", "low", "high", (F.lit(0.9) * spread * F.pow(F.col("n"), F.lit(-0.2))).alias("h")
     )
 
 
+def _over_width(distance: Column, sd_if_flat: bool) -> Column:
+    return (F.try_divide if sd_if_flat else ieee_divide)(distance, F.col("h"))
+
+
 def kde_tail(
-    draws: DataFrame, keys: list[str], column: str, thresholds: list[float], rows_per_group: int | None = None
+    draws: DataFrame, keys: list[str], column: str, thresholds: list[float], rows_per_group: int | None = None,
+    sd_if_flat: bool = True,
 ) -> DataFrame:
     """P(value > t) under a Gaussian kernel density of the draws (``p_above``) and as a plain share (``p_empirical``).
 
-    Equal draws are counted first, so thresholds multiply distinct values only.
+    Equal draws are counted first, so thresholds multiply distinct values only. At a width of 0, which ``sd_if_flat`` keeps
+    for draws that are all equal, a draw counts as a step; without it, a draw at the threshold gives 0 / 0, which is NaN.
     """
-    width = bandwidths(draws, keys, column, rows_per_group)
+    width = bandwidths(draws, keys, column, rows_per_group, sd_if_flat)
     values = draws.groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("m"))
     at = _at_each(lookup_join(values.filter(F.col("value").isNotNull()), width, keys), thresholds)
-    z = F.try_divide(F.col("value") - F.col("rho_threshold"), F.col("h"))
+    z = _over_width(F.col("value") - F.col("rho_threshold"), sd_if_flat)
     step = F.when(F.col("value") > F.col("rho_threshold"), F.lit(1.0)).otherwise(F.lit(0.0))
     above = F.coalesce(normal_cdf(z), step)
     below = F.coalesce(normal_cdf(-z), F.lit(1.0) - step)
@@ -129,10 +142,13 @@ def kde_tail(
 
 def kde_density(
     draws: DataFrame, keys: list[str], column: str, points: int = 256, bins: int = DENSITY_BINS,
-    rows_per_group: int | None = None,
+    rows_per_group: int | None = None, sd_if_flat: bool = True,
 ) -> DataFrame:
-    """Density curve of a column: draws are counted in fixed bins, and bins are smoothed at evenly spaced points."""
-    width = bandwidths(draws, keys, column, rows_per_group)
+    """Density curve of a column: draws are counted in fixed bins, and bins are smoothed at evenly spaced points.
+
+    A width of 0 has no density: NULL, or NaN without ``sd_if_flat``.
+    """
+    width = bandwidths(draws, keys, column, rows_per_group, sd_if_flat)
     values = draws.select(*keys, F.col(column).alias("value")).filter(F.col("value").isNotNull())
     placed = lookup_join(values, width, keys)
     span = F.col("high") - F.col("low")
@@ -142,15 +158,14 @@ def kde_density(
     centre = F.col("low") + (F.col("bin") + F.lit(0.5)) * span / F.lit(float(bins))
     left, right = F.col("low") - 3 * F.col("h"), F.col("high") + 3 * F.col("h")
     x = left + F.col("point") * (right - left) / F.lit(float(points - 1))
-    z = F.try_divide(F.col("x") - F.col("centre"), F.col("h"))
+    z = _over_width(F.col("x") - F.col("centre"), sd_if_flat)
     mass = F.sum(F.col("m") * F.exp(F.lit(-0.5) * z * z))
+    area = F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))
+    divide = F.try_divide if sd_if_flat else ieee_divide
     return (
         counts.withColumn("centre", centre).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", x).groupBy(*keys, "point", "x", "n", "h").agg(mass.alias("mass"))
-        .select(
-            *keys, "point", "x",
-            F.try_divide(F.col("mass"), F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))).alias("density"),
-        )
+        .select(*keys, "point", "x", divide(F.col("mass"), area).alias("density"))
     )
 
 
@@ -176,9 +191,11 @@ def grid_bayes_factors(grid: DataFrame, thresholds: list[float], tie_weight: flo
     return bayes_factors(grid_tail(distribution, thresholds, tie_weight))
 
 
-def draw_bayes_factors(samples: DataFrame, thresholds: list[float], rows_per_group: int | None = None) -> DataFrame:
+def draw_bayes_factors(
+    samples: DataFrame, thresholds: list[float], rows_per_group: int | None = None, sd_if_flat: bool = True
+) -> DataFrame:
     delta = samples.select("kind", *PAIR, delta_rho().alias("delta_rho"))
-    return bayes_factors(kde_tail(delta, ["kind", *PAIR], "delta_rho", thresholds, rows_per_group))
+    return bayes_factors(kde_tail(delta, ["kind", *PAIR], "delta_rho", thresholds, rows_per_group, sd_if_flat))
 
 
 def bayes_factor_curve(factors: DataFrame) -> DataFrame:

@@ -202,3 +202,17 @@ def test_thresholds():
         evidence.thresholds_between(0.5, 0.5, 0.1)
     with pytest.raises(ValueError):
         evidence.thresholds_between(0.0, 0.5, 0.0)
+
+
+def test_a_middle_half_of_one_value_has_the_width_of_the_sql(spark):
+    """The named queries' SQL takes min(sd, IQR / 1.34) as it is: 0 here, and 0 / 0 for a draw at the threshold."""
+    drawn = spark.createDataFrame([("a", v) for v in [-0.5] + [0.25] * 8 + [0.5]], "k string, v double")
+    plain = {
+        r.rho_threshold: r for r in evidence.kde_tail(drawn, ["k"], "v", [0.0, 0.25], 10, sd_if_flat=False).collect()
+    }
+    assert (plain[0.0].p_above, plain[0.0].p_below) == pytest.approx((0.9, 0.1), abs=1e-12)
+    assert math.isnan(plain[0.25].p_above) and plain[0.25].p_empirical == pytest.approx(0.1)
+    density = evidence.kde_density(drawn, ["k"], "v", points=4, rows_per_group=10, sd_if_flat=False).toPandas()
+    assert sorted(density["x"]) == pytest.approx([-0.5, -1 / 6, 1 / 6, 0.5]) and density["density"].isna().all()
+    smooth = {r.rho_threshold: r for r in evidence.kde_tail(drawn, ["k"], "v", [0.0, 0.25], 10).collect()}
+    assert 0 < smooth[0.25].p_above < 1
