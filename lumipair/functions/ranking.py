@@ -8,13 +8,19 @@ which also keeps the result the same if executors are lost afterwards.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumipair.shared import lookup_join, written
 
-# Below this many rows per group the built-in exact percentile, which gathers a group's distinct values, is used.
-SMALL_GROUP_ROWS = 2_000_000
+# Up to this many rows per group the built-in exact percentile, which gathers a group's distinct values, is used.
+SMALL_GROUP_ROWS = 100_000
+
+# Bins of equal width that a group's values are counted in, to find those that hold a quantile.
+QUANTILE_BINS = 4096
 
 
 def _rows_before(slices: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,28 +80,37 @@ def quantiles(
 
     ``also`` are further aggregates of the groups, taken in the same pass where there is one.
 
-    ``rows_per_group`` is an upper bound the caller can prove. Without one, or above ``SMALL_GROUP_ROWS``, the
-    quantiles come from distributed ranks.
+    ``rows_per_group`` is an upper bound the caller can prove. Without one, or above ``SMALL_GROUP_ROWS``, values are
+    counted in bins between the group's ends first, and only the values of bins that hold a quantile are ranked.
     """
     if rows_per_group is not None and rows_per_group <= SMALL_GROUP_ROWS:
         wanted = F.array(*[F.lit(p) for p in probabilities])
         return long.groupBy(*keys).agg(F.percentile("value", wanted).alias("quantiles"), *also)
-    ranked = value_ranks(long.filter(F.col("value").isNotNull()), keys, "value")
-    first, end = F.col("before"), F.col("before") + F.col("ties")
-    parts: list[Column] = []
-    for k, p in enumerate(probabilities):
-        position = (F.col("group_rows") - 1) * F.lit(p)
-        lower = F.floor(position)
-        upper = F.ceil(position)
-        parts += [
-            F.max(F.when((first <= lower) & (end > lower), F.col("value"))).alias(f"_lo{k}"),
-            F.max(F.when((first <= upper) & (end > upper), F.col("value"))).alias(f"_hi{k}"),
-        ]
-    found = ranked.groupBy(*keys).agg(*parts, F.max("group_rows").alias("_n"))
+    present = long.filter(F.col("value").isNotNull())
+    ends = [F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("value").alias("_n")]
+    groups = written(long.groupBy(*keys).agg(*ends, *also), "groups")
+    ends = groups.select(*keys, "_low", "_high", "_n")
+    # Without a finite width there is one bin only. The bin number never falls as the value grows.
+    span = F.col("_high") - F.col("_low")
+    share = F.when((span > 0) & (span < float("inf")), (F.col("value") - F.col("_low")) / span).otherwise(F.lit(0.0))
+    bin_ = F.least(F.floor(share * F.lit(float(QUANTILE_BINS))), F.lit(QUANTILE_BINS - 1).cast("long"))
+    binned = lookup_join(present.select(*keys, "value"), ends, keys).withColumn("_bin", bin_)
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*keys, "_bin", "_n").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_earlier", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    )
+    positions = [(F.col("_n") - 1) * F.lit(p) for p in probabilities]
+    places = [place for position in positions for place in (F.floor(position), F.ceil(position))]
+    holds = [(F.col("_earlier") <= place) & (F.col("_earlier") + F.col("_rows") > place) for place in places]
+    bins = counts.filter(reduce(or_, holds)).select(*keys, "_bin", "_earlier")
+    ranked = value_ranks(lookup_join(binned.select(*keys, "_bin", "value"), bins, [*keys, "_bin"]), [*keys, "_bin", "_earlier"], "value")
+    first = F.col("_earlier") + F.col("before")
+    ranked = lookup_join(ranked, ends.select(*keys, "_n"), keys)
+    at = [F.max(F.when((first <= place) & (first + F.col("ties") > place), F.col("value"))) for place in places]
+    found = ranked.groupBy(*keys, "_n").agg(*[value.alias(f"_at{k}") for k, value in enumerate(at)])
     between = []
-    for k, p in enumerate(probabilities):
-        position = (F.col("_n") - 1) * F.lit(p)
-        share = position - F.floor(position)
-        between.append(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * share)
+    for k, position in enumerate(positions):
+        low, high = F.col(f"_at{2 * k}"), F.col(f"_at{2 * k + 1}")
+        between.append(low + (high - low) * (position - F.floor(position)))
     middle = found.select(*keys, F.array(*between).alias("quantiles"))
-    return middle.join(long.groupBy(*keys).agg(*also), keys) if also else middle
+    return lookup_join(groups.drop("_low", "_high", "_n"), middle, keys) if also else middle

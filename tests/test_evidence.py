@@ -216,3 +216,25 @@ def test_a_middle_half_of_one_value_has_the_width_of_the_sql(spark):
     assert sorted(density["x"]) == pytest.approx([-0.5, -1 / 6, 1 / 6, 0.5]) and density["density"].isna().all()
     smooth = {r.rho_threshold: r for r in evidence.kde_tail(drawn, ["k"], "v", [0.0, 0.25], 10).collect()}
     assert 0 < smooth[0.25].p_above < 1
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_quantiles_of_large_groups_rank_only_the_bins_that_hold_them(spark, rng, monkeypatch, bins):
+    from lumipair.functions import ranking
+
+    ranked = []
+    plain = ranking.value_ranks
+    monkeypatch.setattr(ranking, "QUANTILE_BINS", bins)
+    monkeypatch.setattr(ranking, "value_ranks", lambda df, *rest: ranked.append(df.count()) or plain(df, *rest))
+    groups = {
+        "spread": rng.normal(size=3000), "ties": rng.integers(0, 4, 999).astype(float), "one": np.array([2.5]),
+        "equal": np.full(50, -1.0), "far": np.append(rng.normal(size=400), 1e300), "ends": np.array([-1.7e308, 0.5, 1.7e308]),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("spread", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(6)
+    wanted = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    found = quantiles(df, ["k"], wanted, also=(F.count("value").alias("n"),)).collect()
+    assert {r.k: r.n for r in found} == {k: len(v) for k, v in groups.items()}
+    for r in found:
+        assert r["quantiles"] == pytest.approx(np.quantile(groups[r.k], wanted).tolist(), rel=1e-12), r.k
+    assert ranked[0] < len(rows) / 2 or bins < 4096
