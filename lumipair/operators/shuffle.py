@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from lumipair.functions.columns import key_number, random_key
 from lumipair.schema import IMAGE, channels_of, plain_columns, scanlines_schema
 from lumipair.shared import lookup_join
-from lumipair.sources.bands import to_pixels
 
 # Send this module's functions to the executors with the tasks, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +34,9 @@ SLICE_ROWS = 65_536
 # Largest image whose pixels are gathered into one row, over all channels: 48 MB.
 WHOLE_IMAGE_PIXELS = 6_000_000
 
+# Pixels of a channel whose keys are computed at once.
+BATCH_PIXELS = 500_000
+
 DEFAULT_BLOCK = 9
 METHODS = ("block", "pixel")
 
@@ -124,22 +126,77 @@ def _shuffle_whole_images(scanlines: DataFrame, seed: int) -> DataFrame:
     return gathered.mapInArrow(permute, scanlines_schema(channels))
 
 
+def _slices(scanlines: DataFrame, seed: int, slice_rows: int, counted: bool) -> DataFrame:
+    """The pixels with their slice of the key's range and ``_key``, or, ``counted``, rows of a slice with their number."""
+    channels = channels_of(scanlines)
+    offsets = [
+        o.alias(f"{name}{c}")
+        for c in channels for name, o in zip("ab", _offsets(seed, F.col("image_id"), F.lit(c)))
+    ]
+    place = [*IMAGE, "height", "width"]
+
+    def keyed(part: pa.RecordBatch, c: int) -> Iterator[pa.RecordBatch]:
+        sizes = part.column(f"c{c}").value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        line = np.repeat(np.arange(part.num_rows), sizes)
+        row, height, width, first, second = (
+            part.column(n).to_numpy().astype(np.int64) for n in ("row", "height", "width", f"a{c}", f"b{c}")
+        )
+        position = (row * width)[line] + np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = _fifth_power((_fifth_power((position % PRIME + first[line]) % PRIME) + second[line]) % PRIME)
+        slices = np.ceil(height.astype(np.float64) * width / slice_rows)
+        slice_ = np.floor(key / float(PRIME) * slices[line]).astype(np.int64)
+        if counted:
+            most = int(slices.max(initial=0)) + 1
+            found, rows = np.unique(line * most + slice_, return_counts=True)
+            line, last = found // most, {"_slice": found % most, "_rows": rows}
+        else:
+            last = {"_slice": slice_, "_key": key, "_position": position, "value": part.column(f"c{c}").flatten()}
+        of_line = [part.column(n).take(pa.array(line)) for n in place]
+        arrays = [*of_line, pa.array(np.full(len(line), c), pa.int32()), *[pa.array(v) if isinstance(v, np.ndarray) else v for v in last.values()]]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*place, "channel", *last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, sizes = 0, np.cumsum(batch.column("width").to_numpy().astype(np.int64))
+            while begin < batch.num_rows:
+                before = sizes[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, before + BATCH_PIXELS, "right")))
+                for c in channels:
+                    yield from keyed(batch.slice(begin, end - begin), c)
+                begin = end
+
+    last = "_rows long" if counted else "_key long, _position long, value double"
+    schema = f"condition string, image_id string, height int, width int, channel int, _slice long, {last}"
+    planes = [f"c{c}" for c in channels]
+    return scanlines.select(*place, "row", *offsets, *planes).mapInArrow(run, schema)
+
+
 def _shuffle_sliced_images(scanlines: DataFrame, seed: int, slice_rows: int) -> DataFrame:
+    """Pixels move once, to their slice of the key's range; from there runs of the new rows move, not pixels."""
     channels = channels_of(scanlines)
-    pixels = to_pixels(scanlines)
-    position = F.col("row").cast("long") * F.col("width") + F.col("col")
-    keyed = _with_key(pixels, position, *_offsets(seed, F.col("image_id"), F.col("channel")))
-    size = F.col("height").cast("double") * F.col("width")
-    moved = _key_rank(keyed, [*IMAGE, "channel"], ["row", "col"], size, slice_rows).drop("row", "col")
-    line = F.array_sort(F.collect_list(F.struct("channel", "_col", "value")))
-    lines = (
-        moved.withColumn("_col", F.col("rank") % F.col("width"))
-        .groupBy(*IMAGE, F.expr("cast(rank div width as int)").alias("row"), "height", "width")
-        .agg(line.alias("_line"))
+    place = [*IMAGE, "height", "width", "channel"]
+    keys = [*place, "_slice"]
+    earlier = Window.partitionBy(*place).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _slices(scanlines, seed, slice_rows, True).groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
+    counts = counts.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    # Dealt before they are gathered: lists of one or two pixels each would be larger than the pixels.
+    dealt = _slices(scanlines, seed, slice_rows, False).repartition(*keys).groupBy(*keys).agg(
+        F.collect_list(F.struct("_key", "_position", "value")).alias("_px")
+    )
+    ordered = lookup_join(dealt.select(*keys, F.sort_array("_px")["value"].alias("_px")), counts, keys)
+    begin = F.greatest(F.col("row") * F.col("width") - F.col("_before"), F.lit(0))
+    end = F.least((F.col("row") + 1) * F.col("width") - F.col("_before"), F.size("_px"))
+    rows = F.sequence(F.expr("_before div width"), F.expr("(_before + size(_px) - 1) div width"))
+    runs = ordered.withColumn("row", F.explode(rows)).select(
+        *place, "_before", F.col("row").cast("int").alias("row"),
+        F.slice("_px", (begin + 1).cast("int"), (end - begin).cast("int")).alias("_run"),
+    )
+    lines = runs.groupBy(*IMAGE, "row", "height", "width").agg(
+        F.sort_array(F.collect_list(F.struct("channel", "_before", "_run"))).alias("_runs")
     )
 
     def plane(c: int) -> Column:
-        return F.filter("_line", lambda e: e["channel"] == c)["value"].alias(f"c{c}")
+        return F.flatten(F.filter("_runs", lambda e: e["channel"] == c)["_run"]).alias(f"c{c}")
 
     return lines.select(*IMAGE, "row", "height", "width", *[plane(c) for c in channels])
 

@@ -109,3 +109,15 @@ def test_map_without_coarser_grids_keeps_missing_values(mixed):
     assert len(dark) == 36 and (dark["rho"] == localmap.MISSING).all()
     corner = shown[(shown["image_id"] == "fine") & (shown["patch_i"] == 1) & (shown["patch_j"] == 6)].iloc[0]
     assert (corner["x"], corner["y"]) == (60, 60)
+
+
+def test_sliced_shuffle_moves_runs_of_rows_and_bounds_its_batches(make_scanlines, planes_of, rng, monkeypatch):
+    planes = rng.integers(0, 99, (2, 9, 13)).astype(float).tolist()
+    planes[1][4][7] = None
+    scanlines = make_scanlines({("sample", "a"): planes, ("control", "b"): planes})
+    whole = planes_of(shuffle.shuffle_pixels(scanlines, 3))
+    monkeypatch.setattr(shuffle, "BATCH_PIXELS", 20)
+    sliced = shuffle.shuffle_pixels(scanlines, 3, 10, 0)
+    assert "_run" in sliced._jdf.queryExecution().optimizedPlan().toString()
+    found = planes_of(sliced)
+    assert found.keys() == whole.keys() and all(np.array_equal(found[k], whole[k], equal_nan=True) for k in whole)
