@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 # Send this module's functions to the executors with the tasks, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Pixels of a channel that are computed at once, unless one patch has more: some twenty arrays of this length are held.
+BATCH_PIXELS = 250_000
+
 
 def _runs(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorting order by (group, value), and the first and end position of each run of equal values in that order."""
@@ -133,6 +136,16 @@ def spearman(group: np.ndarray, x: np.ndarray, y: np.ndarray, n_groups: int) ->
 METHODS = {"spearman": spearman, "kendall": kendall}
 
 
+def of_few_pixels(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold ``BATCH_PIXELS`` pixels of a channel at most, or one patch."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + BATCH_PIXELS, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def rho_of_arrays(patches: DataFrame, keys: list[str], pairs: list[tuple[int, int]], method: str) -> DataFrame:
     """Correlation of every channel pair of patches whose channels are array columns ``c1 .. cN`` of equal length."""
     types = dict(patches.dtypes)
@@ -140,25 +153,29 @@ def rho_of_arrays(patches: DataFrame, keys: list[str], pairs: list[tuple[int, in
     correlation = METHODS[method]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_groups = batch.num_rows
-            planes = {
-                c: batch.column(f"c{c}").flatten().to_numpy(zero_copy_only=False) for pair in pairs for c in pair
-            }
-            sizes = batch.column(f"c{pairs[0][0]}").value_lengths().to_numpy(zero_copy_only=False)
-            group = np.repeat(np.arange(n_groups, dtype=np.int64), sizes)
-            signal = {c: (v != 0) & ~np.isnan(v) for c, v in planes.items()}
-            for x, y in pairs:
-                both = signal[x] & signal[y]
-                of_pair = group[both]
-                rho = correlation(of_pair, planes[x][both], planes[y][both], n_groups)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in keys] + [
-                        pa.array(np.full(n_groups, x), pa.int32()), pa.array(np.full(n_groups, y), pa.int32()),
-                        pa.array(np.bincount(of_pair, minlength=n_groups), pa.int64()),
-                        pa.array(rho, pa.float64(), mask=np.isnan(rho)),
-                    ],
-                    names=[*keys, "ch_x", "ch_y", "n", "rho"],
-                )
+        for whole in batches:
+            for batch in of_few_pixels(whole, whole.column(f"c{pairs[0][0]}").value_lengths().to_numpy(zero_copy_only=False)):
+                yield from of_batch(batch)
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n_groups = batch.num_rows
+        planes = {
+            c: batch.column(f"c{c}").flatten().to_numpy(zero_copy_only=False) for pair in pairs for c in pair
+        }
+        sizes = batch.column(f"c{pairs[0][0]}").value_lengths().to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(n_groups, dtype=np.int64), sizes)
+        signal = {c: (v != 0) & ~np.isnan(v) for c, v in planes.items()}
+        for x, y in pairs:
+            both = signal[x] & signal[y]
+            of_pair = group[both]
+            rho = correlation(of_pair, planes[x][both], planes[y][both], n_groups)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k) for k in keys] + [
+                    pa.array(np.full(n_groups, x), pa.int32()), pa.array(np.full(n_groups, y), pa.int32()),
+                    pa.array(np.bincount(of_pair, minlength=n_groups), pa.int64()),
+                    pa.array(rho, pa.float64(), mask=np.isnan(rho)),
+                ],
+                names=[*keys, "ch_x", "ch_y", "n", "rho"],
+            )
 
     return patches.mapInArrow(compute, schema)

@@ -185,3 +185,22 @@ def test_heavy_value_has_a_slice_of_its_own(spark, rng):
     df = spark.createDataFrame([("p", float(a), float(b)) for a, b in zip(x, y)], "k string, x double, y double")
     found = large_patches.kendall(df, ["k"], 100).collect()
     assert found[0].n == 3000 and found[0].rho == pytest.approx(brute_tau(x, y), abs=1e-12)
+
+
+def test_rank_methods_compute_few_pixels_at_once(spark, rng, monkeypatch):
+    import pyarrow as pa
+
+    from lumipair.operators import rank_methods
+
+    sizes = np.array([3, 0, 9, 2, 2, 40, 1])
+    batch = pa.RecordBatch.from_pydict({"c1": [rng.normal(size=n).tolist() for n in sizes]})
+    monkeypatch.setattr(rank_methods, "BATCH_PIXELS", 12)
+    parts = list(rank_methods.of_few_pixels(batch, sizes))
+    assert [p.num_rows for p in parts] == [3, 2, 1, 1] and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+    rows = [(k, [float(v) for v in rng.integers(0, 9, 20)], [float(v) for v in rng.integers(0, 9, 20)]) for k in range(9)]
+    patches = spark.createDataFrame(rows, "k int, c1 array<double>, c2 array<double>").coalesce(1)
+    for method in ("spearman", "kendall"):
+        small = rank_methods.rho_of_arrays(patches, ["k"], [(1, 2)], method).collect()
+        monkeypatch.setattr(rank_methods, "BATCH_PIXELS", 10**6)
+        assert sorted(rank_methods.rho_of_arrays(patches, ["k"], [(1, 2)], method).collect()) == sorted(small)
+        monkeypatch.setattr(rank_methods, "BATCH_PIXELS", 12)
