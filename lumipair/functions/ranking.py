@@ -32,12 +32,16 @@ def _rows_before(slices: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ordinals(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``ordinal``, the 0-based position within the group, and ``group_rows``. ``order`` must identify a row."""
+def ordinals(df: DataFrame, keys: list[str], order: list[str], carry: list[str] | None = None) -> DataFrame:
+    """Add ``ordinal``, the 0-based position within the group, and ``group_rows``. ``order`` must identify a row.
+
+    ``carry`` names the columns that are kept beside the keys; all are by default.
+    """
+    kept = df.columns if carry is None else list(dict.fromkeys([*keys, *carry]))
     placed = written(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_place", F.monotonically_increasing_id()),
+        .select(*kept, F.monotonically_increasing_id().alias("_place")),
         "ordinals",
     ).withColumn("_slice", F.shiftright("_place", 33))
     slices = placed.groupBy(*keys, "_slice").agg(

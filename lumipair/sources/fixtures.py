@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +18,9 @@ from lumipair.schema import IMAGE, scanlines_schema
 from lumipair.shared import new_table_path
 from lumipair.sources.bands import align_channels, with_row_ranges
 
+# Send this module's functions to the executors with the tasks, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LINEITEM_WIDTH = 100
 EMBEDDING_SIDE = 8
 
@@ -21,6 +31,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _runs_of_rows(placed: DataFrame, channels: list[int]) -> DataFrame:
+    """One row for each stretch of pixels of one image row that follow each other: ``col`` of the first, arrays of values."""
+    planes = [f"c{c}" for c in channels]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            fresh[0] = True
+            for name in (*IMAGE, "row"):
+                values = batch.column(name)
+                fresh[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            col = batch.column("col").to_numpy()
+            fresh[1:] |= col[1:] != col[:-1] + 1
+            first = np.flatnonzero(fresh)
+            ends = pa.array(np.append(first, batch.num_rows), pa.int32())
+            heads = [batch.column(n).take(pa.array(first)) for n in (*IMAGE, "row", "height", "col")]
+            lists = [pa.ListArray.from_arrays(ends, batch.column(p)) for p in planes]
+            yield pa.RecordBatch.from_arrays([*heads, *lists], names=[*IMAGE, "row", "height", "col", *planes])
+
+    schema = "condition string, image_id string, row int, height int, col long, " + ", ".join(f"{p} array<double>" for p in planes)
+    return placed.select(*IMAGE, "row", "height", F.col("col").cast("long").alias("col"), *planes).mapInArrow(run, schema)
+
+
 def ingest_lineitem(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Lay the line items of each (return flag, status) out as one image of four channels and write its scanlines."""
     values = {1: "l_quantity", 2: "l_extendedprice", 3: "l_discount", 4: "l_tax"}
@@ -30,20 +65,22 @@ def ingest_lineitem(spark: SparkSession, sf_dir: str, path: str) -> None:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *values.values(),
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    placed = ordinals(items, IMAGE, order).select(
+    placed = ordinals(items, IMAGE, order, list(values.values())).select(
         *IMAGE,
         F.expr(f"cast(ordinal div {LINEITEM_WIDTH} as int)").alias("row"),
         (F.col("ordinal") % LINEITEM_WIDTH).alias("col"),
         F.ceil(F.col("group_rows") / LINEITEM_WIDTH).cast("int").alias("height"),
         *[F.col(v).alias(f"c{c}") for c, v in values.items()],
     )
-    lines = placed.groupBy(*IMAGE, "row", "height").agg(
-        F.array_sort(F.collect_list(F.struct("col", *[f"c{c}" for c in values]))).alias("line")
-    )
+    # Items lie in order, so those of a row become one run, or two where a task or batch ends, and runs are what is shuffled.
+    runs = _runs_of_rows(placed, list(values))
+    planes = F.struct("col", *[f"c{c}" for c in values])
+    gathered = runs.groupBy(*IMAGE, "row", "height").agg(F.sort_array(F.collect_list(planes)).alias("_runs"))
+    lines = gathered.select(*IMAGE, "row", "height", *[F.flatten(f"_runs.c{c}").alias(f"c{c}") for c in values])
 
     def padded(c):
-        absent = F.array_repeat(F.lit(None).cast("double"), F.lit(LINEITEM_WIDTH) - F.size("line"))
-        return F.concat(F.col(f"line.c{c}"), absent)
+        absent = F.array_repeat(F.lit(None).cast("double"), F.lit(LINEITEM_WIDTH) - F.size(f"c{c}"))
+        return F.concat(F.col(f"c{c}"), absent)
 
     scanlines = lines.select(
         *IMAGE, "row", "height", F.lit(LINEITEM_WIDTH).alias("width"), *[padded(c).alias(f"c{c}") for c in values]

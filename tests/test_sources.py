@@ -173,3 +173,18 @@ def test_stack_refuses_files_without_rows(spark):
     assert [(r.c1, r.c2) for r in stack.collect()] == [([1.0, 1.0], [1.0, 2.0])]
     with pytest.raises(ValueError, match="no band rows for /f/a_x_c2.tif"):
         bands.stack_from_manifest(spark.createDataFrame(rows[:1], schema), files, 2, "sample")
+
+
+def test_line_items_are_laid_out_from_runs_that_batches_cut(spark):
+    from lumipair.sources import fixtures
+
+    rows = [("sample", k, i // 5, 3, i % 5, float(i), None if i == 4 else -float(i)) for k in ("a", "b") for i in range(13)]
+    placed = spark.createDataFrame(rows, "condition string, image_id string, row int, height int, col long, c1 double, c2 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        runs = fixtures._runs_of_rows(placed.coalesce(1), [1, 2]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 6 < len(runs) < len(rows)
+    back = [(r.condition, r.image_id, r.row, r.height, r.col + k, x, y) for r in runs for k, (x, y) in enumerate(zip(r.c1, r.c2, strict=True))]
+    assert back == rows
