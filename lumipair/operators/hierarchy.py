@@ -337,13 +337,17 @@ def _mixed(history: list, temper: bool) -> tuple[np.ndarray, np.ndarray]:
 def picked(weighted: DataFrame, draws: DataFrame, pairs: list[tuple[int, int]], seed: int = 0, buckets: int = CDF_BUCKETS) -> DataFrame:
     """Posterior draws of all eight parameters per channel pair; pairs without data on one side give no rows.
 
-    Cumulative weights are cut at buckets of [0, 1), so that a draw finds its interval by an equi-join.
+    Cumulative weights are cut at buckets of [0, 1), so that a draw finds its interval by an equi-join. An interval begins
+    where the one before it ends, so that a draw lies in exactly one.
     """
+    order = f"(partition by {', '.join(GROUP)} order by cell)"
     intervals = weighted.selectExpr(
-        *GROUP, *PARAMETERS, "w",
-        f"sum(w) over (partition by {', '.join(GROUP)} order by cell rows between unbounded preceding and current row) as hi",
-        f"lead(cell) over (partition by {', '.join(GROUP)} order by cell) is null as last",
-    ).selectExpr(*GROUP, *PARAMETERS, "hi - w as lo", "case when last then 1.0D else hi end as hi")
+        *GROUP, *PARAMETERS, "cell",
+        f"sum(w) over (partition by {', '.join(GROUP)} order by cell rows between unbounded preceding and current row) as upto",
+    ).selectExpr(
+        *GROUP, *PARAMETERS, f"coalesce(lag(upto) over {order}, 0.0D) as lo",
+        f"case when lead(upto) over {order} is null then 1.0D else upto end as hi",
+    ).filter("lo < hi")
     first, last = F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1).cast("long"))
     cells = written(intervals.withColumn("bucket", F.explode(F.sequence(F.least(first, last), last))), "weighted-draws")
     each = F.array(*[F.struct(F.lit(x).alias("ch_x"), F.lit(y).alias("ch_y")) for x, y in pairs])
@@ -355,7 +359,7 @@ def picked(weighted: DataFrame, draws: DataFrame, pairs: list[tuple[int, int]],
         names = [F.col(p).alias(f"{p}_{side}") for p in PARAMETERS]
         of_side = cells.filter(F.col("condition") == side).select(*PAIR, "bucket", "lo", "hi", *names)
         inside = lookup_join(rows, of_side, [*PAIR, "bucket"], at_most=most).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-        rows = inside.drop("u", "bucket", "lo", "hi").dropDuplicates([*PAIR, "draw"])
+        rows = inside.drop("u", "bucket", "lo", "hi")
     return rows.select(*PAIR, "draw", *[f"{p}_{side}" for side in ("control", "sample") for p in PARAMETERS])
 
 

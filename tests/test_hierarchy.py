@@ -102,3 +102,18 @@ def test_normal_mass():
 def test_no_correlations(spark, rho):
     assert h.posterior_draws(rho.limit(0), draw_ids(spark, 10), [(1, 2)]).count() == 0
     assert h.image_levels(rho).count() == 7
+
+
+def test_picking_draws_gathers_none_of_them(spark):
+    """Weights whose sums do not come back when one is taken off: a draw still lies in one interval, and rows are not compared."""
+    weights = np.random.default_rng(8).random(3000) ** 6
+    weights /= weights.sum()
+    rows = [(c, 1, 2, k, float(w), float(k), 1.0, 1.0, 1.0) for c in ("control", "sample") for k, w in enumerate(weights)]
+    schema = f"condition string, ch_x int, ch_y int, cell int, w double, {', '.join(f'{p} double' for p in h.PARAMETERS)}"
+    found = h.picked(spark.createDataFrame(rows, schema), draw_ids(spark, 20_000), [(1, 2)], 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Deduplicate" not in plan
+    draws = found.toPandas()
+    assert sorted(draws.draw) == list(range(20_000))
+    for side in ("control", "sample"):
+        assert abs(draws[f"mu_{side}"].mean() - (weights * np.arange(3000)).sum()) < 30
