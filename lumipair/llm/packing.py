@@ -178,7 +178,8 @@ def packable(docs: DataFrame, clusters: DataFrame | None = None, remembered_byte
         lengths = docs.select("doc_id", n_tokens, "source")
         return lengths.join(clusters.select("doc_id", F.col("cluster").cast("long")), "doc_id", "left")
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return docs.select("doc_id", n_tokens, "source", F.when(plain != "", F.xxhash64(plain)).alias("cluster"))
+    # The condition reads the text and not ``plain``, which would be made for it and once more for the hash.
+    return docs.select("doc_id", n_tokens, "source", F.when(F.col("text").rlike(r"[\p{L}\p{N}]"), F.xxhash64(plain)).alias("cluster"))
 
 
 def pack_documents(

@@ -92,6 +92,18 @@ def test_clusters_of_near_copies_conflict(spark):
     assert apart.keys() == own.keys() and apart[1] != apart[2] and len(set(apart.values())) == 2
 
 
+def test_cluster_keys_are_made_once(spark):
+    """Same clusters as the plain text's hash, null without a letter or digit, with one replacement for each text."""
+    texts = ["A b", "a, B!", None, "", " \n", "?!", "\u0130x", "i\u0307X", "\u00c9t\u00e9 9", "7", "\u0301", "\u00bd"]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = packing.packable(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    plain = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}]+', ' '))"
+    want = docs.selectExpr("doc_id", f"if({plain} = '', null, xxhash64({plain})) as cluster")
+    assert dict(found.select("doc_id", "cluster").collect()) == dict(want.collect())
+    assert [r.doc_id for r in found.filter("cluster is null").orderBy("doc_id").collect()] == [2, 3, 4, 5, 10]
+
+
 def test_packing_query_holds_every_document(spark):
     got = QUERIES["op2_packing"](spark, SF)
     lengths = packing.packable(spark.read.parquet(f"{SF}/documents.parquet"))
