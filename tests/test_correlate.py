@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lumipair.operators import correlate, images, large_patches
@@ -204,3 +206,29 @@ def test_rank_methods_compute_few_pixels_at_once(spark, rng, monkeypatch):
         monkeypatch.setattr(rank_methods, "BATCH_PIXELS", 10**6)
         assert sorted(rank_methods.rho_of_arrays(patches, ["k"], [(1, 2)], method).collect()) == sorted(small)
         monkeypatch.setattr(rank_methods, "BATCH_PIXELS", 12)
+
+
+def test_slices_are_computed_many_at_a_time(spark, rng, monkeypatch):
+    """Slices that go on in the next batch, null keys and batches of one slice give the same scores as slice by slice."""
+    n = 4000
+    cells = pd.DataFrame({
+        "k": [None if v == 0 else f"g{v}" for v in np.sort(rng.integers(0, 4, n))],
+        "s": 0, "x": rng.integers(0, 30, n).astype(float), "y": rng.integers(0, 20, n).astype(float), "w": rng.integers(1, 4, n),
+    })
+    cells["s"] = np.sort(rng.integers(0, 6, n)) * 2
+    cells = cells.sort_values(["k", "s"], na_position="first", kind="stable").reset_index(drop=True)
+    want = []
+    for (k, _), part in cells.groupby(["k", "s"], dropna=False, sort=False):
+        x, y, w = (part[c].to_numpy() for c in "xyw")
+        signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        want.append((None if pd.isna(k) else k, float((signs * w[:, None] * w).sum() / 2)))
+    schema = pa.schema([("k", pa.string()), ("s", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("w", pa.int64())])
+    batch = pa.RecordBatch.from_pandas(cells, schema, preserve_index=False)
+    for most, rows in ((100_000, 4000), (700, 93), (1, 10)):
+        monkeypatch.setattr(large_patches, "BATCH_CELLS", most)
+        items = [batch.slice(i, rows) for i in range(0, n, rows)]
+        got = [r for b in large_patches._scores(iter(items), ["k"], ["s", "x", "y", "w"]) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == want
+    df = spark.createDataFrame([(1, float(i % 7), float(i * 5 % 11)) for i in range(300)], "k int, x double, y double")
+    plan = large_patches.kendall(df, ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
