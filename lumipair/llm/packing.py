@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from lumipair.llm import tokens
 from lumipair.llm.common import documents, each_slice, ship
-from lumipair.llm.tokens import Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
+from lumipair.llm.tokens import GROUP_BYTES, Memory, by_parts, library_tokenizer, remembered, vocabulary, vocabulary_path
 from lumipair.shared import written
 
 CAPACITY = 2048
@@ -41,7 +41,7 @@ SHARD_TOKENS = 6_000_000
 ROW_TOKENS = 32  # what a document counts besides its tokens, so that a shard of short ones stays small
 # What workers remember of token counts where other stages of a pipeline use the same workers; a packing of its own
 # remembers as much as other token operators.
-REMEMBERED_BYTES = 48_000_000
+REMEMBERED_BYTES = 16_000_000
 PACKED = "doc_id long, piece int, bin string, begin int, n_tokens int"
 
 
@@ -160,7 +160,9 @@ def _token_lengths(most_bytes: int):
     def lengths(texts: pa.Array) -> pa.Array:
         path = vocabulary_path()
         own, known = vocabulary(path), _library_counts(path, most_bytes)
-        return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known)], pa.int64()))
+        # The pieces at hand take several times the bytes of their text.
+        group = min(GROUP_BYTES, most_bytes // 16)
+        return each_slice(texts, lambda part: pa.array([1 + sum(f) for f in remembered(part, own, known, group)], pa.int64()))
 
     return lengths
 

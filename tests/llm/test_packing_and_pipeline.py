@@ -154,3 +154,20 @@ def test_stages_take_nulls_and_nothing(spark):
             assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
         assert len(packed) == docs.count() == (len({r[1] for r in rows if r[1]}) if found else 0)
+
+
+def test_remembering_goes_by_the_bytes_given():
+    from lumipair.llm import tokens
+
+    class Seen:
+        groups: list[int] = []
+
+        def each(self, groups):
+            self.groups.append(len(groups))
+            return [[len(p) for p in g] for g in groups]
+
+    class Words:
+        pieces = staticmethod(bytes.split)
+
+    seen = Seen()
+    assert list(tokens.remembered([b"aa b"] * 10, Words, seen, 12)) == [[2, 1]] * 10 and seen.groups == [3, 3, 3, 1]
