@@ -21,15 +21,16 @@ Defined results: A-Z are lowered, words are runs of anything but ASCII white spa
 is one shingle; a null text or one without words has fingerprint 0, which links like any other; repeated rows are in one
 component; null ids count as larger than all others; an empty table gives an empty result.
 
-``keep_one`` takes no fingerprints: its links are those of ``similar``, a Jaccard similarity of five-word shingles of 0.8
-or more. It keeps all other columns, whatever their names, and of each component the row with the smallest doc_id,
+``keep_one`` links texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of these shingles
+go steps 1 to 3, with every link verified on the whole sets; as they lie more than 2 bits apart for many such texts,
+``similar`` finds the links between the components that this leaves, so that none is missed. It keeps all other columns, whatever their names, and of each component the row with the smallest doc_id,
 whichever of repeated rows; texts without words are in one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -57,7 +58,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     if not words:
         return 0
     runs = [words[i:] for i in range(min(shingle_words, len(words)))]
-    hashed = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*runs, strict=False)], np.uint64)
+    return of_hashes(np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*runs, strict=False)], np.uint64))
+
+
+def of_hashes(hashed: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones, octets = np.zeros(64, np.int64), hashed.view(np.uint8).reshape(-1, 8)
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
     for i in range(8):
@@ -142,22 +147,26 @@ def _split_large(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[0] for m in made])), pa.array(np.concatenate([m[1] for m in made]))], names=["key", "fp"])
 
 
-def link_bucket(fps: np.ndarray) -> list[tuple[int, int]]:
-    """(fingerprint, smallest one reachable inside the bucket by links of at most DISTANCE bits), others only."""
+def link_bucket(fps: np.ndarray, direct: bool = False) -> list[tuple[int, int]]:
+    """(fingerprint, smallest one reachable inside the bucket by links of at most DISTANCE bits), others only.
+
+    ``direct`` gives the one it was reached from instead, which is within DISTANCE bits itself.
+    """
     found, left = [], np.unique(fps)
     while len(left) > 1:
         root, frontier, left = left[0], [left[0]], left[1:]
         while frontier and len(left):
-            near = np.bitwise_count(left.view(np.uint64) ^ np.int64(frontier.pop()).view(np.uint64)) <= DISTANCE
+            here = frontier.pop()
+            near = np.bitwise_count(left.view(np.uint64) ^ np.int64(here).view(np.uint64)) <= DISTANCE
             if near.any():
                 joined = left[near].tolist()
-                found.extend((x, int(root)) for x in joined)
+                found.extend((x, int(here if direct else root)) for x in joined)
                 frontier.extend(joined)
                 left = left[~near]
     return found
 
 
-def _link(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link(items: Iterator[pa.RecordBatch], direct: bool = False) -> Iterator[pa.RecordBatch]:
     """Buckets of a partition sorted by key, one after the other; the last one of a batch may go on in the next."""
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -165,7 +174,7 @@ def _link(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         for b, e in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
-            found.extend(link_bucket(fps[b:e]))
+            found.extend(link_bucket(fps[b:e], direct))
         table = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["u", "v"])
 
@@ -179,7 +188,7 @@ def _link(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked(np.array([len(keys)])[:len(keys)])
 
 
-def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
+def links(distinct: DataFrame, large: int = LARGE, direct: bool = False) -> DataFrame:
     """Links (u, v) that connect all fingerprints (column fp, distinct) within DISTANCE bits of each other."""
     keys = written(batches(distinct.select("fp"), _emit_keys, "key long, fp long"), "fingerprint-keys")
     crowded = keys.groupBy("key").count().filter(F.col("count") > large).select("key")
@@ -187,7 +196,7 @@ def links(distinct: DataFrame, large: int = LARGE) -> DataFrame:
         crowded = written(crowded, "crowded-keys")
         split = batches(keys.join(crowded, "key", "left_semi").select("key", "fp"), _split_large, "key long, fp long")
         keys = keys.join(crowded, "key", "left_anti").select("key", "fp").unionByName(split)
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "u long, v long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_link, direct=direct), "u long, v long")
 
 
 def _component_of(rows: DataFrame, large: int = LARGE, linked: DataFrame | None = None) -> DataFrame:
@@ -219,15 +228,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, large:
     )
 
 
+def close_texts(distinct: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the texts (fp, print) that connect what fingerprints within DISTANCE bits connect, to be verified."""
+    holders = written(distinct.groupBy("print").agg(F.min("fp").alias("holder")), "fingerprint-holders")
+    equal = distinct.join(holders, "print").filter("fp <> holder").select(F.col("holder").alias("u"), F.col("fp").alias("v"))
+    pairs = links(holders.select(F.col("print").alias("fp")), direct=True).distinct()
+    for end in ("u", "v"):
+        of_end = holders.select(F.col("print").alias(end), F.col("holder").alias(f"holder_{end}"))
+        pairs = pairs.join(of_end, end)
+    return equal.unionByName(pairs.select(F.col("holder_u").alias("u"), F.col("holder_v").alias("v")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of each component of similar texts, with all their columns."""
     ship(docs.sparkSession)
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    found = similar.described(similar.common_shingles(docs))(docs["text"]).alias("s")
+    found = similar.described(similar.common_shingles(docs), of_hashes)(docs["text"]).alias("s")
     # Written with a number for each row, so that one of several equal rows can be told from the others.
     rows = written(docs.select(row, _null_last("doc_id").alias("id"), found).withColumn("number", F.monotonically_increasing_id()), "similar-rows")
     slim = rows.select(F.col("s.fp").alias("fp"), "number", F.struct("id.unknown", "id.id", "number").alias("order"))
-    first = _component_of(slim, linked=similar.links(rows.select("number", F.col("row.text").alias("text"), "s")))
+    first = _component_of(slim, linked=similar.links(rows.select("number", F.col("row.text").alias("text"), "s"), first=close_texts))
     dropped = slim.join(first, "fp").filter("first.number <> number").select("number")
     return rows.join(dropped, "number", "left_anti").select("row.*")
 

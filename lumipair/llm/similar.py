@@ -18,11 +18,14 @@ Texts that meet under a key are candidates, and every candidate is verified on t
    words of their own have the key too late.
 
 Sets are compared by their 64-bit hashes, and texts with the same set are one text.
+
+Links that another method proposes (``first``) are verified before all that; two texts that these connect are no candidates
+any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,19 +80,21 @@ def shingles_of(texts: pa.Array) -> pa.Array:
     return each_slice(texts, lambda part: _lists(list(map(shingles, part))))
 
 
-def described(common: np.ndarray):
-    """A text's digest (fp), the size of its set (n) and its keys."""
+def described(common: np.ndarray, fingerprint: Callable[[np.ndarray], int]):
+    """A text's digest (fp), the size of its set (n), its keys and the fingerprint of the set."""
 
     def of_slice(part: list[bytes]) -> pa.Array:
-        fps, sizes, keys = [], [], []
+        fps, sizes, keys, prints = [], [], [], []
         for t in part:
             found = shingles(t)
             fps.append(digest(found))
             sizes.append(len(found))
             keys.append(prefix(found, common))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], names=["fp", "n", "keys"])
+            prints.append(fingerprint(found.view(np.uint64)))
+        columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys), pa.array(np.array(prints, np.uint64).view(np.int64))]
+        return pa.StructArray.from_arrays(columns, names=["fp", "n", "keys", "print"])
 
-    @F.arrow_udf("fp long, n int, keys array<long>")
+    @F.arrow_udf("fp long, n int, keys array<long>, print long")
     def run(texts: pa.Array) -> pa.Array:
         return each_slice(texts, of_slice)
 
@@ -232,14 +237,28 @@ def _verified(pairs: DataFrame, rows: DataFrame, one: DataFrame) -> DataFrame:
     return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def links(rows: DataFrame, small: int = SMALL, piece: int = PIECE) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) that do not lie in one component of ``roots`` (node, root)."""
+    for end in ("u", "v"):
+        pairs = lookup_join(pairs, roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), [end], "left")
+    return pairs.filter("root_u is null or root_v is null or root_u <> root_v").select("u", "v")
+
+
+def links(
+    rows: DataFrame, small: int = SMALL, piece: int = PIECE, *, first: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Links (u, v) between digests, at least one path for each two texts of similarity 0.8 or more.
 
-    ``rows`` has number, text and s (fp, n, keys). Sets of equal digests are one text, and those without shingles have no
-    links; neither nulls nor ties play a part, as digests are numbers and any row of a set stands for it.
+    ``rows`` has number, text and s (fp, n, keys, print). Sets of equal digests are one text, and those without shingles have
+    no links; neither nulls nor ties play a part, as digests are numbers and any row of a set stands for it. ``first`` makes
+    the pairs (u, v) that are verified first from the distinct texts (fp, print).
     """
-    one = rows.groupBy("s.fp").agg(F.min("number").alias("number"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"))
+    one = rows.groupBy("s.fp").agg(
+        F.min("number").alias("number"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.print").alias("print")
+    )
     one = written(one.filter("n > 0"), "similar-distinct")
+    early = written(_verified(written(first(one.select("fp", "print")), "fingerprint-candidates"), rows, one), "fingerprint-links")
+    connected = written(components(early), "fingerprint-roots")
     keys = one.select(F.posexplode("keys").alias("place", "key"), "fp", "n").select("key", "fp", "n", "place")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     counts = written(counts, "similar-keys")
@@ -252,8 +271,8 @@ def links(rows: DataFrame, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     n_pieces = F.ceil(F.col("texts") / piece).cast("int")
     crowded = kept.filter(F.col("texts") > small).withColumn("pieces", n_pieces)
     if crowded.isEmpty():
-        pairs = written(found.filter("met >= needed and spare >= 0").select("u", "v"), "similar-candidates")
-        return written(_verified(pairs, rows, one), "similar-links")
+        pairs = written(_apart(found.filter("met >= needed and spare >= 0").select("u", "v"), connected), "similar-candidates")
+        return early.unionByName(written(_verified(pairs, rows, one), "similar-links"))
     # Keys that are not counted here, as they are crowded, may make up for missing ones.
     hidden = written(crowded.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("hidden")), "similar-hidden")
     for end in ("u", "v"):
@@ -263,8 +282,8 @@ def links(rows: DataFrame, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", "key"), F.col("pieces")).cast("int")
     pieces = crowded.select("key", own.alias("piece"), "fp", "n", "place")
     near = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_neighbours, "u long, v long")
-    pairs = written(found.unionByName(near).distinct(), "similar-candidates")
-    sure = written(_verified(pairs, rows, one), "similar-links")
+    pairs = written(_apart(found.unionByName(near).distinct(), connected), "similar-candidates")
+    sure = early.unionByName(written(_verified(pairs, rows, one), "similar-links"))
     roots = written(components(sure), "similar-roots").withColumnRenamed("node", "fp")
     placed = crowded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = written(placed.select("key", own.alias("piece"), "pieces", "fp", "n", "place", "root"), "similar-placed")

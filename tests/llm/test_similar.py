@@ -84,3 +84,24 @@ def test_texts_with_a_common_passage_make_few_rows(spark, monkeypatch):
     assert near_dedup.keep_one(docs).count() == 2000
     rows = {label: df.count() for label, df in made if label in ("similar-candidates", "similar-pairs", "similar-placed")}
     assert sum(rows.values()) < 5 * 2000, rows
+
+
+def test_fingerprints_link_first_and_the_rest_follows(spark, monkeypatch):
+    """Copies with a word more among many are within two bits; the links that these miss come from the prefixes."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(1500)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    texts += planted(rng)
+    made = {}
+    plain = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, label: made.update({label: plain(df, label)}) or made[label])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == slow_kept(texts)
+    early = {(min(r), max(r)) for r in made["fingerprint-links"].collect()}
+    assert len(early) >= 15 and len(early) <= made["fingerprint-candidates"].count()
+    assert not early & {(min(r), max(r)) for r in made["similar-candidates"].collect()}
+    assert made["similar-links"].count() > 0
+    prints = {r.fp: r.print % 2 ** 64 for r in made["similar-distinct"].select("fp", "print").collect()}
+    assert all((prints[u] ^ prints[v]).bit_count() <= near_dedup.DISTANCE for u, v in early)
