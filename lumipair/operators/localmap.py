@@ -41,9 +41,12 @@ def map_rho(
     coarser grid to try: then the map of missing values stays.
     """
     pairs = check_pairs(scanlines, pairs)
-    fine = patch_rho(scanlines, n, pairs=pairs, method=method, min_support=min_support, whole_patch=whole_patch)
-    fine = written(fine.withColumn("resolution", F.lit(n)).select(*_RESULT), "map")
     candidates = list(range(step, n + 1, step))
+    # Images whose patches cannot hold enough pixels go to the coarser grids at once.
+    holds = F.expr(f"cast(height div {n} as bigint) * (width div {n})") > min_support
+    usable = scanlines.filter(holds) if candidates else scanlines
+    fine = patch_rho(usable, n, pairs=pairs, method=method, min_support=min_support, whole_patch=whole_patch)
+    fine = written(fine.withColumn("resolution", F.lit(n)).select(*_RESULT), "map")
     if not candidates:
         return fine
     has_value = fine.groupBy(*IMAGE, *PAIR).agg((F.max("n") > min_support).alias("_ok")).filter("_ok")

@@ -103,13 +103,18 @@ def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of embedding vectors as two-channel images of 8 x 8 pixels; even image numbers are samples."""
+    """Pairs of embedding vectors as two-channel images of 8 x 8 pixels; even image numbers are samples.
+
+    Vectors are dealt by image before they are cut into rows, so that an image's rows are never dealt again by its keys.
+    """
     side = EMBEDDING_SIDE
-    return table(spark, sf_dir, "embeddings").select(
+    vectors = table(spark, sf_dir, "embeddings").select(
         F.when(F.expr("(vec_id div 2) % 2") == 0, "sample").otherwise("control").alias("condition"),
         F.expr("cast(vec_id div 2 as string)").alias("image_id"),
-        F.expr("cast(vec_id % 2 + 1 as int)").alias("channel"),
-        F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("row"),
+        F.expr("cast(vec_id % 2 + 1 as int)").alias("channel"), "embedding",
+    )
+    return vectors.repartition(*IMAGE).select(
+        *IMAGE, "channel", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("row"),
         F.lit(side).alias("height"), F.lit(side).alias("width"),
         F.col("embedding").cast("array<double>").alias("_vector"),
     ).withColumn("values", F.slice("_vector", F.col("row") * side + 1, F.lit(side))).drop("_vector")

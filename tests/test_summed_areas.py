@@ -78,3 +78,47 @@ def test_rank_maps_gather_grids_together(scanlines, method):
     for image, grid in chosen.items():
         one = correlate.patch_rho(sparse.filter(f"image_id = '{image}'"), grid, method=method, min_support=15)
         assert same({k: v for k, v in got.items() if k[0] == image}, answers(one.selectExpr("*", f"{grid} as resolution")))
+
+
+def test_small_tiles_are_summed_together(make_scanlines, monkeypatch):
+    """Many small images: no table of sums for each of them, the same answers as with one for each."""
+    rng = np.random.default_rng(13)
+    images = {("sample", str(k)): (rng.random((2, 8, 8 + k % 2)) * (rng.random((2, 8, 8 + k % 2)) < 0.9)).tolist() for k in range(60)}
+    images[("control", "c")] = [[[5.5] * 8] * 8, rng.random((8, 8)).tolist()]
+    images[("control", "d")] = np.zeros((2, 8, 8)).tolist()
+    images[("control", "e")] = [[[float("inf"), *[1.0] * 7]] * 8, rng.random((8, 8)).tolist()]
+    images[("control", "f")] = [[[None, 3.0, float("nan"), 1.0, 2.0, 7.0, 9.0, 4.0]] * 8, rng.random((8, 8)).tolist()]
+    lines = make_scanlines(images).repartition(3)
+    want = answers(summed_areas.grid_rho(lines, [(1, 2)], [1, 2, 3], 3).localCheckpoint())
+    for limit in (0, 10 ** 6):
+        monkeypatch.setattr(summed_areas, "SMALL_TILE", limit)
+        assert same(answers(summed_areas.grid_rho(lines, [(1, 2)], [1, 2, 3], 3)), want)
+    calls = []
+    monkeypatch.setattr(summed_areas, "Tile", lambda *a: calls.append(a))
+    pixels = rng.random((2, 160, 8))
+    rows, tile = np.tile(np.arange(8), 20), np.repeat(np.arange(20), 8)
+    first, found = summed_areas.moments_of_small(*pixels, rows, tile, 2, 4, 4)
+    assert first.tolist() == list(range(0, 160, 4)) and found.shape == (40, 2, 10) and not calls
+    np.testing.assert_allclose(found[3, 1, 1], pixels[0, 12:16, 4:8].mean())
+
+
+def test_images_too_small_for_a_grid_are_not_cut_for_it(mixed_sizes, monkeypatch):
+    read = []
+    plain = localmap.patch_rho
+    monkeypatch.setattr(localmap, "patch_rho", lambda lines, *a, **k: read.append({r.image_id for r in lines.collect()}) or plain(lines, *a, **k))
+    got = answers(localmap.map_rho(mixed_sizes, 4, step=1))
+    assert read == [{"large"}] and {k[0]: k[3] for k in got} == {"large": 4, "small": 2}
+
+
+@pytest.fixture
+def mixed_sizes(make_scanlines):
+    rng = np.random.default_rng(14)
+    return make_scanlines({("sample", "large"): rng.random((2, 20, 20)).tolist(), ("sample", "small"): rng.random((2, 8, 8)).tolist()})
+
+
+def test_rows_of_vector_images_are_dealt_once(spark):
+    from lumipair.sources import fixtures
+
+    rho = correlate.patch_rho(fixtures.embedding_scanlines(spark, "/root/testdata/sf0.001"), 2)
+    rho.collect()
+    assert rho._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
