@@ -9,9 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Directories that a task writes to at the same time. With more of them its rows are sorted by directory.
+OPEN_DIRECTORIES = 64
+
+
 def write_samples(samples: DataFrame, folder: str) -> None:
-    """Write draws as CSV, one directory per kind and channel pair. A folder that is already in use is refused."""
-    samples.write.mode("errorifexists").partitionBy("kind", "ch_x", "ch_y").option("header", True).csv(folder)
+    """Write draws as CSV, one directory per kind and channel pair. A folder that is already in use is refused.
+
+    A task keeps a file of each directory open, so that draws are not sorted, and spilled, to be written.
+    """
+    conf, name = samples.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_DIRECTORIES)
+    try:
+        samples.write.mode("errorifexists").partitionBy("kind", "ch_x", "ch_y").option("header", True).csv(folder)
+    finally:
+        conf.set(name, before)
 
 
 def append_report(report: DataFrame, folder: str, digits: int = 6, run_id: str | None = None) -> None:

@@ -188,3 +188,19 @@ def test_line_items_are_laid_out_from_runs_that_batches_cut(spark):
     assert 6 < len(runs) < len(rows)
     back = [(r.condition, r.image_id, r.row, r.height, r.col + k, x, y) for r in runs for k, (x, y) in enumerate(zip(r.c1, r.c2, strict=True))]
     assert back == rows
+
+
+def test_draws_are_written_once_and_not_sorted(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lumipair.plans import queries
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen, labels = spark.conf.get(name), [], []
+    plain, keep = DataFrameWriter.csv, queries.written
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda w, *a, **k: seen.append(int(spark.conf.get(name))) or plain(w, *a, **k))
+    monkeypatch.setattr(queries, "written", lambda df, label: labels.append(label) or keep(df, label))
+    rows = queries.samples_round_trip(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 12 and len({r.n for r in rows}) == 1
+    assert seen == [64] and spark.conf.get(name) == before
+    assert labels == ["draws"]
