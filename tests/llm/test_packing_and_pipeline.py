@@ -171,3 +171,21 @@ def test_remembering_goes_by_the_bytes_given():
 
     seen = Seen()
     assert list(tokens.remembered([b"aa b"] * 10, Words, seen, 12)) == [[2, 1]] * 10 and seen.groups == [3, 3, 3, 1]
+
+
+def test_lengths_are_counted_without_offsets(monkeypatch):
+    from lumipair.llm import tokens
+
+    path, called = tokens.vocabulary_path(), []
+    library = tokens.library_tokenizer(path)
+
+    class Fast:
+        def encode_batch_fast(self, texts, **options):
+            called.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(packing, "library_tokenizer", lambda _: Fast())
+    texts = ["Plain words, 12 of them.", "Été it's naïvé 中文", "", "<|endoftext|> a b"]
+    memory = packing._library_counts.__wrapped__(path, 1_000_000)
+    got = [sum(f) for f in tokens.remembered([t.encode() for t in texts], tokens.vocabulary(path), memory)]
+    assert got == [len(library.encode(t, add_special_tokens=False)) for t in texts] and called
