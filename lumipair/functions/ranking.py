@@ -9,6 +9,7 @@ which also keeps the result the same if executors are lost afterwards.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,10 @@ from lumipair.shared import lookup_join, written
 # Up to this many rows per group the built-in exact percentile, which gathers a group's distinct values, is used.
 SMALL_GROUP_ROWS = 100_000
 
+# Rows of a slice that is sorted at once, some 40 MB, so that no sort spills, and the most slices; more rows make them longer.
+SLICE_ROWS = 250_000
+MOST_SLICES = 20_000
+
 # Bins of equal width that a group's values are counted in, to find those that hold a quantile.
 QUANTILE_BINS = 4096
 
@@ -32,6 +37,12 @@ def _rows_before(slices: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def sorting_slices(df: DataFrame) -> int:
+    """Range partitions to sort ``df`` in. By the bytes of a shuffle, which are compressed, they would be too few and spill."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, ceil(df.count() / SLICE_ROWS))
+    return min(wanted, MOST_SLICES)
+
+
 def ordinals(df: DataFrame, keys: list[str], order: list[str], carry: list[str] | None = None) -> DataFrame:
     """Add ``ordinal``, the 0-based position within the group, and ``group_rows``. ``order`` must identify a row.
 
@@ -39,7 +50,7 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], carry: list[str]
     """
     kept = df.columns if carry is None else list(dict.fromkeys([*keys, *carry]))
     placed = written(
-        df.repartitionByRange(*keys, *order)
+        df.repartitionByRange(sorting_slices(df), *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .select(*kept, F.monotonically_increasing_id().alias("_place")),
         "ordinals",

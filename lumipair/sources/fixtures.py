@@ -72,20 +72,25 @@ def ingest_lineitem(spark: SparkSession, sf_dir: str, path: str) -> None:
         F.ceil(F.col("group_rows") / LINEITEM_WIDTH).cast("int").alias("height"),
         *[F.col(v).alias(f"c{c}") for c, v in values.items()],
     )
-    # Items lie in order, so those of a row become one run, or two where a task or batch ends, and runs are what is shuffled.
-    runs = _runs_of_rows(placed, list(values))
-    planes = F.struct("col", *[f"c{c}" for c in values])
-    gathered = runs.groupBy(*IMAGE, "row", "height").agg(F.sort_array(F.collect_list(planes)).alias("_runs"))
-    lines = gathered.select(*IMAGE, "row", "height", *[F.flatten(f"_runs.c{c}").alias(f"c{c}") for c in values])
+    # Items lie in order, so those of a row become one run, or two where a task or batch ends. Whole rows stay where they are; only
+    # the runs of cut and short rows are shuffled, from the written table, and their rows added to it.
+    width, names = F.lit(LINEITEM_WIDTH), [f"c{c}" for c in values]
+    runs = _runs_of_rows(placed, list(values)).select(*IMAGE, "row", "height", width.alias("width"), *names, "col")
+    with_row_ranges(runs.withColumn("whole", F.size("c1") == width)).write.parquet(path)
+    parts = spark.read.parquet(path).filter(~F.col("whole"))
+    gathered = parts.groupBy(*IMAGE, "row", "height").agg(F.sort_array(F.collect_list(F.struct("col", *names))).alias("_runs"))
+    lines = gathered.select(*IMAGE, "row", "height", *[F.flatten(f"_runs.{c}").alias(c) for c in names])
 
     def padded(c):
-        absent = F.array_repeat(F.lit(None).cast("double"), F.lit(LINEITEM_WIDTH) - F.size(f"c{c}"))
-        return F.concat(F.col(f"c{c}"), absent)
+        return F.concat(c, F.array_repeat(F.lit(None).cast("double"), width - F.size(c)))
 
-    scanlines = lines.select(
-        *IMAGE, "row", "height", F.lit(LINEITEM_WIDTH).alias("width"), *[padded(c).alias(f"c{c}") for c in values]
-    )
-    with_row_ranges(scanlines).write.parquet(path)
+    scanlines = lines.select(*IMAGE, "row", "height", width.alias("width"), *[padded(c).alias(c) for c in names], F.lit(0).cast("long").alias("col"))
+    with_row_ranges(scanlines.withColumn("whole", F.lit(True))).write.mode("append").parquet(path)
+
+
+def _whole_rows(spark: SparkSession, path: str) -> DataFrame:
+    schema = scanlines_schema([1, 2, 3, 4], ranges=True)
+    return spark.read.schema(schema.add("whole", "boolean")).parquet(path).filter("whole").drop("whole")
 
 
 def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +98,13 @@ def lineitem_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _ingested:
         try:
-            return spark.read.schema(scanlines_schema([1, 2, 3, 4], ranges=True)).parquet(_ingested[key])
+            return _whole_rows(spark, _ingested[key])
         except AnalysisException:
             del _ingested[key]
     path = new_table_path(spark, "lineitem")
     ingest_lineitem(spark, sf_dir, path)
     _ingested[key] = path
-    return spark.read.schema(scanlines_schema([1, 2, 3, 4], ranges=True)).parquet(path)
+    return _whole_rows(spark, path)
 
 
 def embedding_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumipair import shared
-from lumipair.functions import columns
+from lumipair.functions import columns, ranking
 from lumipair.functions.ranking import ordinals, quantiles, unpivot, value_ranks
 from lumipair.operators import evidence, posterior
 from pyspark.sql import functions as F
@@ -34,6 +34,20 @@ def test_ordinals_and_ranks_split_a_hot_group(spark, rng):
             assert (r.before, r.ties, r.group_rows) == ((own < r.v).sum(), (own == r.v).sum(), len(own))
 
 
+def test_slices_that_are_sorted_at_once_do_not_grow_with_the_rows(spark, monkeypatch):
+    found, plain = [], ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, label: found.append(plain(df, label)) or found[-1])
+    df = spark.range(1_200_000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        ranking.ordinals(df, ["k"], ["v"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    slices = found[0].groupBy(F.shiftright("_place", 33).alias("slice")).count().toPandas()
+    assert slices["count"].sum() == 1_200_000 and slices["count"].max() < 400_000
+
+
 def test_both_quantile_paths_agree(spark, rng):
     rows = [("a" if i % 3 else "b", float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(500, 2)).round(1))]
     df = unpivot(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], ["v", "w"])

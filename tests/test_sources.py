@@ -204,3 +204,33 @@ def test_draws_are_written_once_and_not_sorted(spark, monkeypatch):
     assert len(rows) == 12 and len({r.n for r in rows}) == 1
     assert seen == [64] and spark.conf.get(name) == before
     assert labels == ["draws"]
+
+
+def test_only_runs_of_cut_rows_of_line_items_are_shuffled(spark, tmp_path):
+    import numpy as np
+
+    from lumipair.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "350")
+    try:
+        fixtures.ingest_lineitem(spark, sf, str(tmp_path / "lineitem"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stored = spark.read.parquet(str(tmp_path / "lineitem")).toPandas()
+    # Rows of 100 items that no batch cuts are written at once; parts of the others stay beside the rows made of them.
+    parts = stored[~stored["whole"]]
+    cut = set(zip(parts["condition"], parts["image_id"], parts["row"]))
+    rows = stored[stored["whole"]]
+    assert 0 < len(cut) < len(rows) and not rows.duplicated(["condition", "image_id", "row"]).any()
+    found = fixtures._whole_rows(spark, str(tmp_path / "lineitem")).orderBy("row").toPandas()
+    assert len(found) == len(rows)
+    for (status, flag), own in items.sort_values(order).groupby(["l_linestatus", "l_returnflag"]):
+        image = found[(found["condition"] == ("sample" if status == "F" else "control")) & (found["image_id"] == flag)]
+        assert image["row"].tolist() == list(range(-(-len(own) // 100))) and set(image["height"]) == {len(image)}
+        for c, name in {1: "l_quantity", 2: "l_extendedprice", 3: "l_discount", 4: "l_tax"}.items():
+            lines = np.full(100 * len(image), np.nan)
+            lines[:len(own)] = own[name]
+            np.testing.assert_array_equal(np.array([list(v) for v in image[f"c{c}"]], dtype=float).ravel(), lines)
