@@ -20,8 +20,11 @@ from lumipair.shared import lookup_join, written
 # Up to this many rows per group the built-in exact percentile, which gathers a group's distinct values, is used.
 SMALL_GROUP_ROWS = 100_000
 
-# Rows of a slice that is sorted at once, some 40 MB, so that no sort spills, and the most slices; more rows make them longer.
+# Rows of a slice that is sorted at once, some 40 MB, so that no sort spills. A shuffle to more than 200 partitions sorts its input,
+# too, and spills where it is large (spark.shuffle.sort.bypassMergeThreshold), so that slices grow eightfold before there are more.
 SLICE_ROWS = 250_000
+LARGE_SLICE_ROWS = 2_000_000
+UNSORTED_SLICES = 200
 MOST_SLICES = 20_000
 
 # Bins of equal width that a group's values are counted in, to find those that hold a quantile.
@@ -39,8 +42,9 @@ def _rows_before(slices: DataFrame, keys: list[str]) -> DataFrame:
 
 def sorting_slices(df: DataFrame) -> int:
     """Range partitions to sort ``df`` in. By the bytes of a shuffle, which are compressed, they would be too few and spill."""
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, ceil(df.count() / SLICE_ROWS))
-    return min(wanted, MOST_SLICES)
+    rows = df.count()
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / SLICE_ROWS))
+    return min(wanted, max(UNSORTED_SLICES, ceil(rows / LARGE_SLICE_ROWS)), MOST_SLICES)
 
 
 def ordinals(df: DataFrame, keys: list[str], order: list[str], carry: list[str] | None = None) -> DataFrame:

@@ -48,6 +48,10 @@ def test_slices_that_are_sorted_at_once_do_not_grow_with_the_rows(spark, monkeyp
     assert slices["count"].sum() == 1_200_000 and slices["count"].max() < 400_000
 
 
+def test_a_shuffle_to_slices_holds_no_rows_while_slices_are_of_moderate_size(spark):
+    assert [ranking.sorting_slices(spark.range(n)) for n in (10_000_000, 60_000_000, 1_000_000_000)] == [40, 200, 500]
+
+
 def test_both_quantile_paths_agree(spark, rng):
     rows = [("a" if i % 3 else "b", float(v), float(w)) for i, (v, w) in enumerate(rng.normal(size=(500, 2)).round(1))]
     df = unpivot(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], ["v", "w"])
