@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from lumipair.llm import similar
 from lumipair.llm.common import SEED, batches, documents, ship
 from lumipair.llm.components import components
-from lumipair.shared import written
+from lumipair.shared import lookup_join, written
 
 SHINGLE_WORDS = 3
 DISTANCE = 2
@@ -249,7 +249,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     slim = rows.select(F.col("s.fp").alias("fp"), "number", F.struct("id.unknown", "id.id", "number").alias("order"))
     first = _component_of(slim, linked=similar.links(rows.select("number", F.col("row.text").alias("text"), "s"), first=close_texts))
     dropped = slim.join(first, "fp").filter("first.number <> number").select("number")
-    return rows.join(dropped, "number", "left_anti").select("row.*")
+    # Looked up by its measured size: a join that Spark plans shuffles the texts before it knows that little is dropped.
+    return lookup_join(rows, dropped, ["number"], "left_anti").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from lumipair.llm.common import SEED, each_slice, give_back
 from lumipair.llm.components import components
-from lumipair.shared import lookup_join, written
+from lumipair.shared import lookup_join, remove_tables, written
 
 SHINGLE_WORDS = 5
 SMALL = 64
@@ -227,14 +227,16 @@ def _outsiders(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _sent(parts(), ["u", "v"], PAIR_KINDS[:2])
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, one: DataFrame) -> DataFrame:
-    """The pairs (u, v) of similarity 0.8 or more. ``one`` has the number of one row for each digest."""
+def _verified(pairs: DataFrame, rows: DataFrame, one: DataFrame, label: str) -> DataFrame:
+    """The pairs (u, v) of similarity 0.8 or more, written. ``one`` has the number of one row for each digest."""
     nodes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     texts = lookup_join(rows.select("number", "text"), one.join(nodes, "fp").select("number", "fp"), ["number"])
     sets = written(texts.select("fp", shingles_of("text").alias("s")), "candidate-shingles")
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
     both = both.join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+    found = written(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), label)
+    remove_tables(sets)
+    return found
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -253,17 +255,19 @@ def links(
     no links; neither nulls nor ties play a part, as digests are numbers and any row of a set stands for it. ``first`` makes
     the pairs (u, v) that are verified first from the distinct texts (fp, print).
     """
-    one = rows.groupBy("s.fp").agg(
-        F.min("number").alias("number"), F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.print").alias("print")
-    )
-    one = written(one.filter("n > 0"), "similar-distinct")
-    early = written(_verified(written(first(one.select("fp", "print")), "fingerprint-candidates"), rows, one), "fingerprint-links")
+    one = rows.filter("s.n > 0").groupBy("s.fp").agg(F.min(F.struct("number", "s.n", "s.print")).alias("one")).select("fp", "one.*")
+    one = written(one, "similar-distinct")
+    # Keys stay where they are, but those of rows that another row stands for.
+    others = rows.filter("s.n > 0").select("number").join(one, "number", "left_anti")
+    described = lookup_join(rows.filter("s.n > 0").select("number", "s.fp", "s.n", "s.keys"), others, ["number"], "left_anti")
+    early = _verified(written(first(one.select("fp", "print")), "fingerprint-candidates"), rows, one, "fingerprint-links")
     connected = written(components(early), "fingerprint-roots")
-    keys = one.select(F.posexplode("keys").alias("place", "key"), "fp", "n").select("key", "fp", "n", "place")
+    keys = described.select(F.posexplode("keys").alias("place", "key"), "fp", "n").select("key", "fp", "n", "place")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     counts = written(counts, "similar-keys")
     kept = keys.join(counts, "key")
     kept = written(kept.select("key", "fp", "n", "place", "texts"), "similar-met")
+    remove_tables(counts)
     few = kept.filter(F.col("texts") <= small).select("key", "fp", "n", "place").repartition("key").sortWithinPartitions("key")
     found = few.mapInArrow(_small_pairs, PAIRS).groupBy("u", "v").agg(
         F.count(F.lit(1)).alias("met"), F.min("needed").alias("needed"), F.max("spare").alias("spare")
@@ -272,7 +276,7 @@ def links(
     crowded = kept.filter(F.col("texts") > small).withColumn("pieces", n_pieces)
     if crowded.isEmpty():
         pairs = written(_apart(found.filter("met >= needed and spare >= 0").select("u", "v"), connected), "similar-candidates")
-        return early.unionByName(written(_verified(pairs, rows, one), "similar-links"))
+        return early.unionByName(_verified(pairs, rows, one, "similar-links"))
     # Keys that are not counted here, as they are crowded, may make up for missing ones.
     hidden = written(crowded.groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("hidden")), "similar-hidden")
     for end in ("u", "v"):
@@ -283,7 +287,7 @@ def links(
     pieces = crowded.select("key", own.alias("piece"), "fp", "n", "place")
     near = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_neighbours, "u long, v long")
     pairs = written(_apart(found.unionByName(near).distinct(), connected), "similar-candidates")
-    sure = early.unionByName(written(_verified(pairs, rows, one), "similar-links"))
+    sure = early.unionByName(_verified(pairs, rows, one, "similar-links"))
     roots = written(components(sure), "similar-roots").withColumnRenamed("node", "fp")
     placed = crowded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = written(placed.select("key", own.alias("piece"), "pieces", "fp", "n", "place", "root"), "similar-placed")
@@ -292,10 +296,13 @@ def links(
     )
     most = written(most.filter("roots > 1").select("key", "main"), "similar-main")
     mixed = placed.join(most, "key")
-    mixed = written(mixed.join(one.select("fp", "keys"), "fp"), "similar-mixed")
+    mixed = written(mixed, "similar-mixed")
+    remove_tables(kept, hidden)
+    its_keys = lookup_join(described.select("fp", "keys"), mixed.select("fp").distinct(), ["fp"])
+    mixed = mixed.join(its_keys, "fp")
     names = ["key", "piece", "fp", "n", "place", "root", "guest", "keys"]
     guests = mixed.filter("root <> main").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     both = mixed.withColumn("guest", F.lit(False)).select(names).unionByName(guests.withColumn("guest", F.lit(True)).select(names))
     apart = both.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_outsiders, "u long, v long")
     apart = written(apart.distinct().join(pairs, ["u", "v"], "left_anti"), "similar-pairs")
-    return sure.unionByName(written(_verified(apart, rows, one), "similar-links"))
+    return sure.unionByName(_verified(apart, rows, one, "similar-links"))

@@ -1,11 +1,13 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 from test_dedup_operators import classes
 
 from lumipair.llm import near_dedup, similar
+from lumipair.shared import remove_tables, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, s string"
@@ -105,3 +107,28 @@ def test_fingerprints_link_first_and_the_rest_follows(spark, monkeypatch):
     assert made["similar-links"].count() > 0
     prints = {r.fp: r.print % 2 ** 64 for r in made["similar-distinct"].select("fp", "print").collect()}
     assert all((prints[u] ^ prints[v]).bit_count() <= near_dedup.DISTANCE for u, v in early)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*")}
+
+
+def test_stage_leaves_no_shuffles_and_moves_no_text_to_drop_copies(spark):
+    texts = planted(random.Random(8))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    before = shuffle_files(spark)
+    kept = near_dedup.keep_one(docs)
+    # What is counted beside the tables that are written is a few numbers for each file.
+    assert sum(f.stat().st_size for f in shuffle_files(spark) - before if f.exists()) < 20_000
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(number" not in plan
+
+
+def test_tables_that_are_read_no_more_are_removed(spark):
+    table = written(spark.range(5), "test")
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    other = spark.range(3)
+    assert folder.exists()
+    remove_tables(table, other)
+    assert not folder.exists()
