@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumipair.functions.columns import ieee_divide, normal_cdf
+from lumipair.functions.columns import ieee_divide
 from lumipair.functions.ranking import quantiles, unpivot
 from lumipair.operators.posterior import GROUP, MU_POINTS, MU_STEP, mu_marginal, prior_mu_marginal
+from lumipair.operators.tails import kernel_tails
 from lumipair.schema import PAIR
 from lumipair.shared import lookup_join, written
 
@@ -29,10 +30,6 @@ def thresholds_between(low: float, high: float, step: float) -> list[float]:
     return [round(low + k * step, 10) for k in range(int(math.floor((high - low) / step + 1e-9)) + 1)]
 
 
-def _at_each(df: DataFrame, thresholds: list[float]) -> DataFrame:
-    return df.withColumn("rho_threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-
-
 # ---- from the grid -------------------------------------------------------------------------------------------------
 
 
@@ -128,16 +125,7 @@ def kde_tail(
     """
     width = bandwidths(draws, keys, column, rows_per_group, sd_if_flat)
     values = draws.groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("m"))
-    at = _at_each(lookup_join(values.filter(F.col("value").isNotNull()), width, keys), thresholds)
-    z = _over_width(F.col("value") - F.col("rho_threshold"), sd_if_flat)
-    step = F.when(F.col("value") > F.col("rho_threshold"), F.lit(1.0)).otherwise(F.lit(0.0))
-    above = F.coalesce(normal_cdf(z), step)
-    below = F.coalesce(normal_cdf(-z), F.lit(1.0) - step)
-    return at.groupBy(*keys, "rho_threshold").agg(
-        (F.sum(F.col("m") * above) / F.sum("m")).alias("p_above"),
-        (F.sum(F.col("m") * below) / F.sum("m")).alias("p_below"),
-        (F.sum(F.col("m") * step) / F.sum("m")).alias("p_empirical"),
-    )
+    return kernel_tails(lookup_join(values.filter(F.col("value").isNotNull()), width, keys), keys, thresholds, flat_is_step=sd_if_flat)
 
 
 def kde_density(
@@ -192,10 +180,21 @@ def grid_bayes_factors(grid: DataFrame, thresholds: list[float], tie_weight: flo
 
 
 def draw_bayes_factors(
-    samples: DataFrame, thresholds: list[float], rows_per_group: int | None = None, sd_if_flat: bool = True
+    samples: DataFrame, thresholds: list[float], rows_per_group: int | None = None, sd_if_flat: bool = True,
+    prior: DataFrame | None = None,
 ) -> DataFrame:
-    delta = samples.select("kind", *PAIR, delta_rho().alias("delta_rho"))
-    return bayes_factors(kde_tail(delta, ["kind", *PAIR], "delta_rho", thresholds, rows_per_group, sd_if_flat))
+    """Bayes factors from draws of both kinds and all pairs. With ``prior``, draws that hold for every pair, ``samples`` are the
+    posterior ones, and what the prior gives is computed once."""
+
+    def tails(draws: DataFrame, keys: list[str]) -> DataFrame:
+        return kde_tail(draws.select(*keys, delta_rho().alias("delta_rho")), keys, "delta_rho", thresholds, rows_per_group, sd_if_flat)
+
+    if prior is None:
+        return bayes_factors(tails(samples, ["kind", *PAIR]))
+    of_posterior = written(tails(samples.withColumn("kind", F.lit("posterior")), ["kind", *PAIR]), "tails")
+    of_prior = tails(prior.withColumn("kind", F.lit("prior")), ["kind"])
+    each = of_posterior.select(*PAIR, "rho_threshold").join(of_prior, "rho_threshold")
+    return bayes_factors(of_posterior.unionByName(each.select(*of_posterior.columns)))
 
 
 def bayes_factor_curve(factors: DataFrame) -> DataFrame:

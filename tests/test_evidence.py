@@ -6,7 +6,7 @@ import pytest
 from lumipair import shared
 from lumipair.functions import columns, ranking
 from lumipair.functions.ranking import ordinals, quantiles, unpivot, value_ranks
-from lumipair.operators import evidence, posterior
+from lumipair.operators import evidence, posterior, tails
 from pyspark.sql import functions as F
 
 SUMMARY = "condition string, image_id string, ch_x int, ch_y int, n_patches long, mean_rho double, sd_rho double"
@@ -256,3 +256,39 @@ def test_quantiles_of_large_groups_rank_only_the_bins_that_hold_them(spark, rng,
     for r in found:
         assert r["quantiles"] == pytest.approx(np.quantile(groups[r.k], wanted).tolist(), rel=1e-12), r.k
     assert ranked[0] < len(rows) / 2 or bins < 4096
+
+
+def test_tails_in_blocks_equal_those_of_column_expressions(spark, rng, monkeypatch):
+    """Whole groups and cut ones, null keys, values without a number, and widths of 0 and none at all."""
+    monkeypatch.setattr(tails, "BLOCK", 64)
+    odd = [math.nan, math.inf, -math.inf, 0.25, -0.1]
+    rows = [(k, float(v), int(n), h) for k, h in (("a", 0.05), (None, 1e-3), ("c", 0.0), ("d", None)) for v, n in zip(rng.normal(0, 0.3, 60), rng.integers(1, 5, 60))]
+    rows += [(k, v, 2, h) for k, h in (("e", 0.1), ("f", 0.0)) for v in odd]
+    values = spark.createDataFrame(rows, "k string, value double, m long, h double").repartition(3)
+    thresholds = [-0.8, 0.0, 0.25]
+    for flat in (True, False):
+        at = values.withColumn("rho_threshold", F.explode(F.array(*map(F.lit, thresholds))))
+        z = (F.try_divide if flat else columns.ieee_divide)(F.col("value") - F.col("rho_threshold"), F.col("h"))
+        step = F.when(F.col("value") > F.col("rho_threshold"), 1.0).otherwise(0.0)
+        above, below = F.coalesce(columns.normal_cdf(z), step), F.coalesce(columns.normal_cdf(-z), 1.0 - step)
+        wanted = at.groupBy("k", "rho_threshold").agg(*[F.sum(F.col("m") * c) / F.sum("m") for c in (above, below, step)]).collect()
+        found = tails.kernel_tails(values, ["k"], thresholds, flat_is_step=flat).collect()
+        assert len(found) == len(wanted) == 18
+        by_place = {(r[0], r[1]): r[2:] for r in found}
+        for r in wanted:
+            np.testing.assert_allclose(by_place[r[0], r[1]], r[2:], rtol=1e-12, err_msg=f"{r} {flat}")
+
+
+def test_a_prior_of_all_pairs_is_computed_once(spark, rng, monkeypatch):
+    drawn = samples(spark, rng.normal(0.3, 0.05, 400), rng.normal(0, 0.4, 400))
+    drawn = drawn.withColumn("ch_y", F.explode(F.array(F.lit(2), F.lit(3))))
+    prior = drawn.filter("kind = 'prior' and ch_y = 2").drop("kind", "ch_x", "ch_y")
+    rows = []
+    plain = evidence.kernel_tails
+    monkeypatch.setattr(evidence, "kernel_tails", lambda values, *a, **b: rows.append(values.count()) or plain(values, *a, **b))
+    once = evidence.draw_bayes_factors(drawn.filter("kind = 'posterior'").drop("kind"), [0.0, 0.25], 400, prior=prior)
+    assert sum(rows) == 400 + 2 * 400
+    each = evidence.draw_bayes_factors(drawn, [0.0, 0.25], 400)
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert len(order(once)) == 4
+    np.testing.assert_allclose(order(once), order(each), rtol=1e-9)
