@@ -5,28 +5,45 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumipair.schema import PAIR
 
 # Directories that a task writes to at the same time. With more of them its rows are sorted by directory.
 OPEN_DIRECTORIES = 64
 
 
+# Rows of a compressed file, which one task reads: some 100 MB.
+FILE_ROWS = 2_000_000
+
+
 def write_samples(samples: DataFrame, folder: str) -> None:
-    """Write draws as CSV, one directory per kind and channel pair. A folder that is already in use is refused.
+    """Write draws as compressed CSV, one directory per kind and channel pair. A folder that is already in use is refused.
 
+    Draws that hold for every pair, as those of the prior do, need be given once only, with null for the pair (``read_samples``).
     A task keeps a file of each directory open, so that draws are not sorted, and spilled, to be written.
     """
     conf, name = samples.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
     before = conf.get(name)
     conf.set(name, OPEN_DIRECTORIES)
     try:
-        samples.write.mode("errorifexists").partitionBy("kind", "ch_x", "ch_y").option("header", True).csv(folder)
+        rows = samples.write.mode("errorifexists").partitionBy("kind", *PAIR).option("maxRecordsPerFile", FILE_ROWS)
+        rows.option("header", True).option("compression", "gzip").csv(folder)
     finally:
         conf.set(name, before)
 
 
+def read_samples(spark: SparkSession, folder: str, columns: str, pairs: DataFrame) -> DataFrame:
+    """Draws that ``write_samples`` wrote; those without a pair are given to each of ``pairs`` (ch_x, ch_y, distinct).
+
+    ``columns`` are the names and types of a file's columns, in their order.
+    """
+    rows = spark.read.schema(f"{columns}, kind string, ch_x int, ch_y int").csv(folder, header=True, enforceSchema=False)
+    of_all = rows.filter(F.col("ch_x").isNull()).drop(*PAIR).crossJoin(F.broadcast(pairs.select(*PAIR)))
+    return rows.filter(F.col("ch_x").isNotNull()).unionByName(of_all)
+
+
 def append_report(report: DataFrame, folder: str, digits: int = 6, run_id: str | None = None) -> None:
     """Append report lines, separated by ``|`` and rounded half to even. Read back with ``header=True, sep='|'``.
 

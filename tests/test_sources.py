@@ -234,3 +234,20 @@ def test_only_runs_of_cut_rows_of_line_items_are_shuffled(spark, tmp_path):
             lines = np.full(100 * len(image), np.nan)
             lines[:len(own)] = own[name]
             np.testing.assert_array_equal(np.array([list(v) for v in image[f"c{c}"]], dtype=float).ravel(), lines)
+
+
+def test_draws_of_all_pairs_are_written_once_and_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 400)
+    drawn = spark.range(1000).selectExpr("id as draw", "rand(1) as mu_sample")
+    prior = drawn.selectExpr("*", "'prior' as kind", "cast(null as int) as ch_x", "cast(null as int) as ch_y")
+    posterior = drawn.selectExpr("draw", "0.25D as mu_sample", "'posterior' as kind", "1 as ch_x", "explode(array(2, 3)) as ch_y")
+    folder = tmp_path / "samples"
+    sinks.write_samples(prior.unionByName(posterior).coalesce(1), str(folder))
+    files = list(folder.rglob("part-*"))
+    # One file of 1000 draws holds at most 400 of them.
+    assert len(files) == 9 and all(f.name.endswith(".csv.gz") for f in files)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "ch_x int, ch_y int")
+    back = sinks.read_samples(spark, str(folder), "draw long, mu_sample double", pairs).collect()
+    wanted = [(r.draw, r.mu_sample, "prior", 1, y) for r in drawn.collect() for y in (2, 3)]
+    wanted += [(i, 0.25, "posterior", 1, y) for i in range(1000) for y in (2, 3)]
+    assert sorted((r.draw, r.mu_sample, r.kind, r.ch_x, r.ch_y) for r in back) == sorted(wanted)
