@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from lumipair.operators import correlate, images, large_patches
+from pyspark.sql import functions as F
 from lumipair.operators.rank_methods import concordance, kendall, spearman
 
 
@@ -232,3 +233,23 @@ def test_slices_are_computed_many_at_a_time(spark, rng, monkeypatch):
     df = spark.createDataFrame([(1, float(i % 7), float(i * 5 % 11)) for i in range(300)], "k int, x double, y double")
     plan = large_patches.kendall(df, ["k"], 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_ranks_are_counted_on_from_batch_to_batch(spark, rng):
+    """Groups that go on in the next batch or slice, with weights and a sum that is carried along."""
+    from lumipair.functions.ranking import value_ranks
+
+    n = 3000
+    rows = pd.DataFrame({"k": rng.integers(0, 4, n), "v": rng.integers(0, 300, n) / 7, "w": rng.integers(1, 5, n), "z": rng.integers(0, 9, n)})
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        ranks = value_ranks(spark.createDataFrame(rows).repartition(3), ["k"], "v", "w", (F.sum("z").alias("z"),))
+        got = sorted(map(tuple, ranks.select("k", "v", "ties", "before", "group_rows", "z").collect()))
+    finally:
+        spark.conf.set(name, before)
+    of_value = rows.groupby(["k", "v"])[["w", "z"]].sum().reset_index()
+    of_value["before"] = of_value.groupby("k")["w"].cumsum() - of_value["w"]
+    of_value["rows"] = of_value.groupby("k")["w"].transform("sum")
+    assert got == [(r.k, r.v, r.w, r.before, r.rows, r.z) for r in of_value.itertuples()]
