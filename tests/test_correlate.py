@@ -253,3 +253,10 @@ def test_ranks_are_counted_on_from_batch_to_batch(spark, rng):
     of_value["before"] = of_value.groupby("k")["w"].cumsum() - of_value["w"]
     of_value["rows"] = of_value.groupby("k")["w"].transform("sum")
     assert got == [(r.k, r.v, r.w, r.before, r.rows, r.z) for r in of_value.itertuples()]
+
+
+def test_pairs_between_slices_are_spread_by_number(spark):
+    """Rows of block and slice are small, but many: joined by their bytes, partitions became one long task."""
+    df = spark.createDataFrame([(1, float(i % 7), float(i * 5 % 11)) for i in range(300)], "k int, x double, y double")
+    plan = large_patches.kendall(df, ["k"], 20)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
