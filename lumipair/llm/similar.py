@@ -26,6 +26,8 @@ any more.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ PIECE = 16_384
 SAMPLE = 8000
 COMMON = 2  # texts of the sample that hold a common shingle
 MOST_COMMON = 200_000
+PAIRS_A_SET = 4  # pairs that are verified at once, for each set in them
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -232,11 +235,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, one: DataFrame, label: str) ->
     nodes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     texts = lookup_join(rows.select("number", "text"), one.join(nodes, "fp").select("number", "fp"), ["number"])
     sets = written(texts.select("fp", shingles_of("text").alias("s")), "candidate-shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
-    both = both.join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    found = written(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), label)
+    # A pair carries a set to the other one, so that pairs are taken in rounds that move a few times the sets each; a write
+    # removes its shuffles, and what lies on the disk at once does not grow with the number of pairs to a set.
+    n_rounds = max(1, ceil(pairs.count() / max(1, PAIRS_A_SET * sets.count())))
+    found = []
+    for turn in range(n_rounds):
+        part = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(n_rounds)) == turn) if n_rounds > 1 else pairs
+        both = part.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
+        both = both.join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+        alike = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
+        found.append(written(both.filter(alike).select("u", "v"), label))
     remove_tables(sets)
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

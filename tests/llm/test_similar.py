@@ -132,3 +132,15 @@ def test_tables_that_are_read_no_more_are_removed(spark):
     assert folder.exists()
     remove_tables(table, other)
     assert not folder.exists()
+
+
+def test_pairs_are_verified_in_rounds(spark, monkeypatch):
+    """Many pairs to a set are verified a part at a time, and none is left out."""
+    texts = planted(random.Random(5))
+    monkeypatch.setattr(similar, "PAIRS_A_SET", 0.3)
+    made = []
+    plain = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, label: made.append(label) or plain(df, label))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == slow_kept(texts)
+    assert made.count("similar-links") > 2
